@@ -277,20 +277,15 @@ def q_dataset_profile(spark, sf):
 # --- neighbours, search, recommendations -----------------------------------------------
 
 
-def cells_and_ids(spark, sf):
-    cells = matrix.rating_matrix(interactions(spark, sf))
-    return cells, identity.dense_codes(matrix.item_norms(cells).select("asin"), "asin", "item_idx")
+def stored_model(spark, sf):
+    return knn_recommender.KnnRecommender.fit(titled(spark, sf), scratch_path(spark, "knn-model"))
 
 
 def q_item_knn(spark, sf):
-    near = cosine_neighbours(*cells_and_ids(spark, sf), top_k=10)
+    near = stored_model(spark, sf).neighbours(10)
     return near.select("item_idx", "rank", "other_idx", six(F.col("score"), "score"))
 
 
-def stored_model(spark, sf):
-    return knn_recommender.KnnRecommender.fit(titled(spark, sf), scratch_path(spark, "knn-model"))
-
-
 def q_recommend_seed(spark, sf):
     """Every part is asked for; parts nobody ordered come back as not found."""
     seeds = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("seed"))
@@ -365,22 +360,27 @@ def q_random_baseline(spark, sf):
     return items.select(F.explode(F.array(*rows)).alias("r")).select("r.k", F.round("r.hit", 9).alias("hit"))
 
 
-def event_lists(spark, sf):
-    """Per user the events' items as a ranked list, and part sizes as the known catalogue."""
-    lists = event_cells(spark, sf).select(F.col("reviewerID").alias("query"), "asin", F.col("event_id").alias("rank"))
-    known = table(spark, sf, "part").select(F.col("p_size").cast("string").alias("asin")).distinct()
-    asked = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("query"))
-    return lists, known, asked
+def known_items(spark, sf):
+    """Items with enough reviews; what else a list holds counts as unknown."""
+    return cleaning.activity_counts(interactions(spark, sf), "asin").where(F.col("n") >= 28)
+
+
+def neighbour_lists(spark, sf):
+    """The ten neighbours of every item as ranked lists."""
+    model = stored_model(spark, sf)
+    names = model.catalogue.select(F.col("item_idx").alias("other_idx"), "asin")
+    return model.neighbours(10).join(names, "other_idx").select(F.col("item_idx").alias("query"), "asin", "rank")
 
 
 def q_eval_skips(spark, sf):
-    lists, known, asked = event_lists(spark, sf)
-    return metrics.skip_counts(lists, known, asked, "query", "asin")
+    """Every part number is asked for; neighbours nobody reviewed often are unknown."""
+    asked = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("seed"))
+    answers = stored_model(spark, sf).recommend(asked, 10).where(F.col("status") == "ok")
+    return metrics.skip_counts(answers, known_items(spark, sf), asked, "seed", "asin")
 
 
 def q_eval_known_ranks(spark, sf):
-    lists, known, _ = event_lists(spark, sf)
-    return metrics.drop_unknown_items(lists, known, "query", "asin")
+    return metrics.drop_unknown_items(neighbour_lists(spark, sf), known_items(spark, sf), "query", "asin")
 
 
 def q_latency_summary(spark, sf):
@@ -513,6 +513,7 @@ sims AS (SELECT l.item_idx, r.item_idx AS other_idx, round(sum(l.x * r.x), 9) AS
 near AS (SELECT item_idx, other_idx, score,
                 CAST(row_number() OVER (PARTITION BY item_idx ORDER BY score DESC, other_idx) AS INTEGER) AS rank
          FROM sims)"""
+KNOWN = "known AS (SELECT asin FROM inter GROUP BY asin HAVING count(*) >= 28)"
 ROWS = "l_orderkey, l_linenumber, l_partkey, l_quantity"
 SEVEN = 'reviewerID, asin, rating, reviewText, "timestamp", product_title, main_category'
 
@@ -646,14 +647,16 @@ ORDER BY md5('42-' || reviewerID), 1 LIMIT 300""",
         + ", round(sqrt(avg((value - CAST(asin AS DOUBLE)) * (value - CAST(asin AS DOUBLE)))), 6) AS rmse FROM ranked",
         "random_baseline": f"""WITH {INTER}, n AS (SELECT count(DISTINCT asin) AS n FROM inter)
 SELECT CAST(k AS INTEGER) AS k, round(k::DOUBLE / n, 9) AS hit FROM n, (SELECT unnest([5, 10, 20]) AS k)""",
-        "eval_skips": f"""WITH {EVENTS}, known AS (SELECT DISTINCT CAST(p_size AS VARCHAR) AS asin FROM part)
-SELECT 'queries' AS what, count(*) AS n FROM customer
-UNION ALL SELECT 'skipped_inference', count(*) FROM customer
-  WHERE CAST(c_custkey AS VARCHAR) NOT IN (SELECT reviewerID FROM ev)
-UNION ALL SELECT 'skipped_unknown_item', count(*) FROM ev WHERE asin NOT IN (SELECT asin FROM known)""",
-        "eval_known_ranks": f"""WITH {EVENTS}, known AS (SELECT DISTINCT CAST(p_size AS VARCHAR) AS asin FROM part)
-SELECT reviewerID AS query, asin, CAST(row_number() OVER (PARTITION BY reviewerID ORDER BY event_id) AS INTEGER) AS rank
-FROM ev WHERE asin IN (SELECT asin FROM known)""",
+        "eval_skips": f"""WITH {titled_ids}, {CELLS}, {PAIRS}, {KNOWN}
+SELECT 'queries' AS what, count(*) AS n FROM part
+UNION ALL SELECT 'skipped_inference', count(*) FROM part
+  WHERE CAST(p_partkey AS VARCHAR) NOT IN (SELECT asin FROM ids JOIN near USING (item_idx))
+UNION ALL SELECT 'skipped_unknown_item', count(*) FROM near JOIN ids ON other_idx = ids.item_idx
+  WHERE rank <= 10 AND asin NOT IN (SELECT asin FROM known)""",
+        "eval_known_ranks": f"""WITH {INTER}, {CELLS}, {IDS}, {PAIRS}, {KNOWN}
+SELECT near.item_idx AS query, asin,
+  CAST(row_number() OVER (PARTITION BY near.item_idx ORDER BY near.rank) AS INTEGER) AS rank
+FROM near JOIN ids ON other_idx = ids.item_idx WHERE near.rank <= 10 AND asin IN (SELECT asin FROM known)""",
         "latency_summary": """SELECT count(value) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS "min",
   round(max(value), 6) AS "max", round(quantile_cont(value, 0.5), 6) AS median,
   round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events""",

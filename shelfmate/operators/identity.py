@@ -18,13 +18,14 @@ def distinct_keys(frames: list[DataFrame], key: str) -> DataFrame:
 
 
 def dense_codes(keys: DataFrame, key: str, code: str) -> DataFrame:
-    """Codes 0..n-1 for a column of distinct keys, ordered by the MD5 of the key.
+    """Codes 0..n-1 for a column of distinct keys, ordered by the MD5 of the key. Other
+    columns are kept.
 
     Numbering in hash order needs no global sort: keys fall evenly into 4096 hash buckets,
     each bucket is numbered on its own, and its start is a running sum over the
     4096 bucket sizes. The order depends on the keys alone, not on the partitioning.
     """
-    hashed = keys.select(key, F.md5(F.col(key).cast("string")).alias("h")).withColumn("bucket", F.substring("h", 1, 3))
+    hashed = keys.withColumn("h", F.md5(F.col(key).cast("string"))).withColumn("bucket", F.substring("h", 1, 3))
     sizes = hashed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     # At most 4096 rows, so one task and a broadcast are safe here.
     before = W.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -33,18 +34,19 @@ def dense_codes(keys: DataFrame, key: str, code: str) -> DataFrame:
     return (
         hashed.withColumn("place", place)
         .join(F.broadcast(starts), "bucket")
-        .select(key, (F.col("start") + F.col("place")).cast("int").alias(code))
+        .select(*keys.columns, (F.col("start") + F.col("place")).cast("int").alias(code))
     )
 
 
-def build_catalogue(df: DataFrame, item: str = ITEM, title: str = "product_title") -> DataFrame:
-    """One row per item: key, code and title.
+def item_titles(df: DataFrame, item: str = ITEM, title: str = "product_title") -> DataFrame:
+    """One title per item. Where an item has several, the smallest one is taken: unlike the
+    first one met, it does not depend on the order of files."""
+    return df.where(F.col(item).isNotNull()).groupBy(item).agg(F.min(title).alias("title"))
 
-    The reference keeps whichever title it meets first; the smallest non-null one is the
-    same for a clean catalogue and does not depend on file order.
-    """
-    titles = df.where(F.col(item).isNotNull()).groupBy(item).agg(F.min(title).alias("title"))
-    return titles.join(dense_codes(titles.select(item), item, "item_idx"), item).select(item, "item_idx", "title")
+
+def build_catalogue(df: DataFrame, item: str = ITEM, title: str = "product_title") -> DataFrame:
+    """One row per item: key, code and title."""
+    return dense_codes(item_titles(df, item, title), item, "item_idx").select(item, "item_idx", "title")
 
 
 def title_or_default(title="title"):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmate.functions.columns import confidence
+from shelfmate.operators.identity import dense_codes
 from shelfmate.schemas import ITEM, USER
 
 
@@ -24,4 +25,11 @@ def confidence_matrix(
 
 
 def item_norms(cells: DataFrame, item: str = ITEM, weight: str = "w") -> DataFrame:
-    return cells.groupBy(item).agg(F.sqrt(F.sum(F.col(weight) * F.col(weight))).alias("norm"))
+    """(item, norm, n_cells): length and number of stored cells of every item row."""
+    norm = F.sqrt(F.sum(F.col(weight) * F.col(weight)))
+    return cells.groupBy(item).agg(norm.alias("norm"), F.count(F.lit(1)).alias("n_cells"))
+
+
+def coded_items(cells: DataFrame) -> DataFrame:
+    """(item, norm, n_cells, item_idx): everything the neighbour search needs to know of an item."""
+    return dense_codes(item_norms(cells), ITEM, "item_idx")

@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmate.operators.holdout import leave_one_out, sample_users, time_holdout
-from shelfmate.operators.identity import build_catalogue
 from shelfmate.operators.matrix import rating_matrix
 from shelfmate.operators.metrics import drop_unknown_items, rank_metrics, target_ranks
 from shelfmate.plans.als_recommender import AlsParams, AlsRecommender, observed_ratings
-from shelfmate.plans.knn_recommender import recommend_histories
+from shelfmate.plans.knn_recommender import model_catalogue, recommend_histories
 from shelfmate.schemas import ITEM, USER
 
 
@@ -27,7 +26,7 @@ def evaluate_knn(
 ) -> DataFrame:
     """Random leave-one-out; the neighbours were computed with the target in the matrix."""
     cells = rating_matrix(interactions)
-    catalogue = build_catalogue(interactions) if catalogue is None else catalogue
+    catalogue = model_catalogue(cells, interactions) if catalogue is None else catalogue
     split = leave_one_out(cells, n_users, min_history, max_history, seed)
     histories = split.where(F.col("pos") > 0).select(F.col(USER).alias("query"), "pos", ITEM)
     targets = split.where(F.col("pos") == 0).select(F.col(USER).alias("query"), ITEM)

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfmate.operators.identity import build_catalogue, title_or_default
+from shelfmate.operators.identity import item_titles, title_or_default
 from shelfmate.operators.knn import cosine_neighbours
-from shelfmate.operators.matrix import rating_matrix
+from shelfmate.operators.matrix import coded_items, rating_matrix
 from shelfmate.operators.search import search_titles
 from shelfmate.schemas import ITEM, UNKNOWN_TITLE, USER
 
@@ -96,6 +96,11 @@ def recommend_histories(
     )
 
 
+def model_catalogue(cells: DataFrame, interactions: DataFrame) -> DataFrame:
+    """(asin, norm, n_cells, item_idx, title)"""
+    return coded_items(cells).join(item_titles(interactions), ITEM, "left")
+
+
 class KnnRecommender:
     """The stored model: the matrix cells and the catalogue as Parquet tables."""
 
@@ -106,9 +111,11 @@ class KnnRecommender:
     @classmethod
     def fit(cls, interactions: DataFrame, path: str) -> "KnnRecommender":
         """Write both tables once; every later query scans them instead of the reviews."""
+        spark = interactions.sparkSession
         rating_matrix(interactions).write.mode("overwrite").parquet(f"{path}/cells")
-        build_catalogue(interactions).write.mode("overwrite").parquet(f"{path}/catalogue")
-        return cls.load(interactions.sparkSession, path)
+        catalogue = model_catalogue(spark.read.parquet(f"{path}/cells"), interactions)
+        catalogue.write.mode("overwrite").parquet(f"{path}/catalogue")
+        return cls.load(spark, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "KnnRecommender":
