@@ -30,8 +30,7 @@ def build_interactions(
     if metadata is not None:
         shared = [c for c in (scope or []) if c in metadata.columns]
         kept = join_metadata(kept, metadata, [*shared, "parent_asin"])
-    table = interaction_columns(kept)
-    return kept.select(*scope, *table.columns) if scope else table
+    return interaction_columns(kept, scope)
 
 
 def run_category(

@@ -38,18 +38,15 @@ def read_shards(spark: SparkSession, paths: list[str], columns: list[str] | None
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def interaction_columns(df: DataFrame) -> DataFrame:
-    """The seven columns in order; those that do not exist (no metadata given) are NULL."""
-    return df.select(
-        [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in INTERACTION_COLUMNS]
-    )
+def interaction_columns(df: DataFrame, leading: list[str] | None = None) -> DataFrame:
+    """The seven columns in order, after any ``leading`` ones; those that do not exist (no
+    metadata given) are NULL."""
+    columns = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in INTERACTION_COLUMNS]
+    return df.select(*(leading or []), *columns)
 
 
 def write_interactions(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    table = interaction_columns(df)
-    if partition_by and partition_by not in INTERACTION_COLUMNS:
-        table = df.select(partition_by, *[c for c in INTERACTION_COLUMNS if c in df.columns])
-    writer = table.write.mode("overwrite")
+    writer = interaction_columns(df, [partition_by] if partition_by else None).write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
