@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmate.functions.columns import finite, strict_number
+from shelfmate.operators.joins import splittable_join
 from shelfmate.schemas import ITEM, JOIN_KEY, USER
 
 # Activity thresholds of the interaction table.
@@ -33,11 +34,11 @@ def min_rating(df: DataFrame, floor: float = 4.0, column: str = "rating") -> Dat
 
 def join_metadata(reviews: DataFrame, metadata: DataFrame, on: list[str] | None = None) -> DataFrame:
     """Left join on the product key. Spark broadcasts the metadata when its size allows;
-    otherwise the adaptive skew join splits a product that owns most of the reviews."""
+    otherwise a product that owns most of the reviews is split over many tasks."""
     keys = on or [JOIN_KEY]
     left = reviews.withColumn(JOIN_KEY, F.col(JOIN_KEY).cast("string"))
     right = metadata.withColumn(JOIN_KEY, F.col(JOIN_KEY).cast("string"))
-    return left.join(right, keys, "left")
+    return splittable_join(left, right, keys, "left")
 
 
 def activity_counts(df: DataFrame, key: str, scope: list[str] | None = None) -> DataFrame:
@@ -58,10 +59,11 @@ def core_filter(
 
     Both counts are taken on the unfiltered rows, so a surviving user may keep fewer rows
     than the threshold. Two semi joins against the passing keys: rows never get wider, a
-    small key set is broadcast by size, a large one is shuffled and skewed users or
-    items are split by the adaptive skew join. ``scope`` counts within e.g. a category.
+    small key set is broadcast by size, a large one is shuffled and the rows of a hot user
+    or item are split. ``scope`` counts within e.g. a category.
     """
     keys = scope or []
     users = activity_counts(df, user, scope).where(F.col("n") >= min_user).select(*keys, user)
     items = activity_counts(df, item, scope).where(F.col("n") >= min_item).select(*keys, item)
-    return df.join(users, [*keys, user], "left_semi").join(items, [*keys, item], "left_semi").select(df.columns)
+    by_active_users = splittable_join(df, users, [*keys, user], "left_semi")
+    return splittable_join(by_active_users, items, [*keys, item], "left_semi").select(df.columns)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from shelfmate.session import ship_package
 
 # Vectors per block, and rows of a block scored at a time inside a task.
-FACTOR_BLOCK = 4096
+FACTOR_BLOCK = 2048
 SCORED_AT_ONCE = 512
 SCORE_DIGITS = 9
 

@@ -16,7 +16,7 @@ from shelfmate.operators.matrix import confidence_matrix
 from shelfmate.operators.search import search_titles
 from shelfmate.plans.knn_recommender import answer_seeds, check_top_k
 from shelfmate.schemas import ITEM, USER
-from shelfmate.session import ensure_checkpoint_dir
+from shelfmate.session import cut_lineage, ensure_checkpoint_dir
 
 # Spark reads a zero preference as "not observed".
 SMALLEST_PREFERENCE = 1e-6
@@ -166,7 +166,8 @@ class AlsRecommender:
         """Top items for histories (query, item_idx) of people outside the training matrix."""
         check_top_k(top_k)
         items = self.tables["item_factors"]
-        queries = fold_in(histories, items, self.params.regularization)
+        # Scoring counts the queries before it uses them, so they are solved once and kept.
+        queries = cut_lineage(fold_in(histories, items, self.params.regularization))
         return self._described(top_items(queries, items, top_k, exclude=histories.select("query", "item_idx")))
 
     def similar(self, seeds: DataFrame, top_k: int = 10) -> DataFrame:

@@ -105,6 +105,16 @@ def test_exact_for_any_blocking_and_skew(spark, monkeypatch, hot_user, hot_item,
             assert [f[2] for f in found] == pytest.approx([e[1] for e in expected[i]], abs=2e-9)
 
 
+def test_only_users_of_a_seed_send_messages(spark):
+    df = spark.createDataFrame(
+        [(f"u{u}", f"i{u // 10}", 1.0) for u in range(100)] + [("u0", "i7", 1.0)], "reviewerID string, asin string, w double"
+    )
+    items = matrix.coded_items(df)
+    seed = items.where("asin = 'i7'").select("item_idx", F.lit(3).alias("k"))
+    vectors = knn.normalized_cells(df, items, 64, seed)
+    assert knn.block_messages(vectors, 64, knn.TILE_CELLS).count() == 11
+
+
 def test_seeds_have_their_own_depth(spark):
     _, df = random_cells(spark)
     items = matrix.coded_items(df)
@@ -124,7 +134,7 @@ def test_a_busy_user_does_not_send_every_pair(spark):
     """A user with n items in B blocks sends B * (B + 1) / 2 messages."""
     df = spark.createDataFrame([("hot", f"i{i}", 1.0) for i in range(640)], "reviewerID string, asin string, w double")
     vectors = knn.normalized_cells(df, matrix.coded_items(df), 64)
-    messages = knn.block_messages(vectors, 64, knn.TILE_CELLS, None)
+    messages = knn.block_messages(vectors, 64, knn.TILE_CELLS)
     assert messages.count() == 10 * 11 // 2
     assert messages.agg(F.sum(F.size("li") + F.size("ri"))).first()[0] == 640 * 11
 
