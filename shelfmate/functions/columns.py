@@ -18,11 +18,6 @@ def strict_number(text: Column) -> Column:
     return F.when(trimmed.rlike(NUMBER), trimmed.try_cast("double"))
 
 
-def finite(number: Column) -> Column:
-    """NaN becomes NULL; Spark orders NaN above every number, so it would pass ``>=``."""
-    return F.when(~F.isnan(number), number)
-
-
 def confidence(rating: Column, alpha: float = 40.0) -> Column:
     return F.lit(1.0) + F.lit(float(alpha)) * rating
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmate.functions.columns import finite, strict_number
+from shelfmate.functions.columns import strict_number
 from shelfmate.operators.joins import splittable_join
 from shelfmate.schemas import ITEM, JOIN_KEY, USER
 
@@ -18,10 +18,10 @@ MIN_REVIEWS_PER_ITEM = 11
 def coerce_rating(df: DataFrame, column: str = "rating", also_required: list[str] | None = None) -> DataFrame:
     """Rating as double; rows whose rating (or another required column) is missing are dropped."""
     if isinstance(df.schema[column].dataType, T.StringType):
-        value = strict_number(F.col(column))
+        out = df.withColumn(column, strict_number(F.col(column)))
     else:
-        value = finite(F.col(column).cast("double"))
-    out = df.withColumn(column, value)
+        # NaN is filtered, not rewritten, so that later comparisons still reach the file reader.
+        out = df.withColumn(column, F.col(column).cast("double")).where(~F.isnan(column))
     for name in [column, *(also_required or [])]:
         out = out.where(F.col(name).isNotNull())
     return out

@@ -83,3 +83,11 @@ def test_numeric_nan_is_dropped_and_floor_applies(spark):
 def test_required_columns(spark):
     df = spark.createDataFrame([("4", 1), ("5", None)], "rating string, timestamp long")
     assert cleaning.coerce_rating(df, also_required=["timestamp"]).count() == 1
+
+
+def test_rating_floor_and_columns_reach_the_file_reader(spark, tmp_path):
+    spark.createDataFrame(FIXTURE, SCHEMA).write.parquet(str(tmp_path / "t"))
+    kept = cleaning.min_rating(cleaning.coerce_rating(spark.read.parquet(str(tmp_path / "t")))).select("asin")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(rating,4.0)" in plan
+    assert "ReadSchema: struct<asin:string,rating:double>" in plan

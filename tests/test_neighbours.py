@@ -105,6 +105,35 @@ def test_exact_for_any_blocking_and_skew(spark, monkeypatch, hot_user, hot_item,
             assert [f[2] for f in found] == pytest.approx([e[1] for e in expected[i]], abs=2e-9)
 
 
+@pytest.mark.parametrize("tied", [False, True])
+def test_dense_tile_shortcut_equals_full_sort(monkeypatch, tied):
+    rng = np.random.default_rng(9)
+    tile = np.where(rng.random((64, 64)) < 0.9, rng.integers(1, 4, (64, 64)) / 7 if tied else rng.random((64, 64)), 0)
+    k = np.full(64, 5)
+    for by_column in (False, True):
+        monkeypatch.setattr(knn, "DENSE_FACTOR", 0)
+        short = knn.best_of_tile(tile, k, by_column)
+        monkeypatch.setattr(knn, "DENSE_FACTOR", 10**9)
+        full = knn.best_of_tile(tile, k, by_column)
+        assert all((a == b).all() for a, b in zip(short, full))
+        assert len(full[0]) == 64 * 5
+
+
+def test_long_messages_equal_short_ones(monkeypatch):
+    rng = np.random.default_rng(2)
+    sizes = [(3, 4), (30, 20), (1, 1), (32, 32)]
+    li = np.concatenate([rng.permutation(32)[:n] for n, _ in sizes])
+    ri = np.concatenate([rng.permutation(32)[:n] for _, n in sizes])
+    lo, ro = np.cumsum([0, *[n for n, _ in sizes]]), np.cumsum([0, *[n for _, n in sizes]])
+    lx, rx = rng.random(len(li)), rng.random(len(ri))
+    tiles = []
+    for limit in (10, 10**6):
+        monkeypatch.setattr(knn, "LONG_MESSAGE", limit)
+        tiles.append(np.zeros((32, 32)))
+        knn.add_products(tiles[-1], li, lx, lo, ri, rx, ro)
+    assert np.allclose(*tiles)
+
+
 def test_only_users_of_a_seed_send_messages(spark):
     df = spark.createDataFrame(
         [(f"u{u}", f"i{u // 10}", 1.0) for u in range(100)] + [("u0", "i7", 1.0)], "reviewerID string, asin string, w double"
