@@ -22,7 +22,7 @@ from shelfmate.operators.knn import cosine_neighbours  # noqa: E402
 from shelfmate.operators.search import search_titles  # noqa: E402
 from shelfmate.plans import als_recommender, categories, evaluation, knn_recommender  # noqa: E402
 from shelfmate.plans.driver_tables import ROW_ID, event_cells, interactions, metadata, table  # noqa: E402
-from shelfmate.session import scratch_path  # noqa: E402
+from shelfmate.session import cut_lineage, scratch_path  # noqa: E402
 from shelfmate.sources import json_lines, tables  # noqa: E402
 
 KS = [5, 10, 20]
@@ -375,7 +375,7 @@ def neighbour_lists(spark, sf):
 def q_eval_skips(spark, sf):
     """Every part number is asked for; neighbours nobody reviewed often are unknown."""
     asked = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("seed"))
-    answers = stored_model(spark, sf).recommend(asked, 10).where(F.col("status") == "ok")
+    answers = cut_lineage(stored_model(spark, sf).recommend(asked, 10).where(F.col("status") == "ok"))
     return metrics.skip_counts(answers, known_items(spark, sf), asked, "seed", "asin")
 
 
@@ -389,7 +389,7 @@ def q_latency_summary(spark, sf):
 
 
 def q_eval_report(spark, sf):
-    row = evaluation.evaluate_knn(interactions(spark, sf).withColumn("product_title", F.lit("t")), KS)
+    row = evaluation.evaluate_knn(stored_model(spark, sf), KS)
     return row.select("n_evaluated", *[six(F.col(c), c) for c in row.columns if c != "n_evaluated"])
 
 

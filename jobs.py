@@ -37,7 +37,10 @@ def arguments() -> argparse.Namespace:
 
     for name in ("train-knn", "train-als", "evaluate-knn", "evaluate-als"):
         job = jobs.add_parser(name)
-        job.add_argument("--path", required=True, nargs="+", help="interaction tables")
+        if name == "evaluate-knn":
+            job.add_argument("--model", required=True, help="folder written by train-knn")
+        else:
+            job.add_argument("--path", required=True, nargs="+", help="interaction tables")
         job.add_argument("--output", required=True, help="model folder, or metrics folder when evaluating")
         if name.startswith("evaluate"):
             job.add_argument("--users", type=int, default=1000)
@@ -99,9 +102,8 @@ def main() -> None:
     elif a.job == "train-als":
         AlsRecommender.fit(interaction_tables(spark, a.path), a.output, als_params(a))
     elif a.job == "evaluate-knn":
-        report = evaluation.evaluate_knn(
-            interaction_tables(spark, a.path), a.ks, a.users, a.min_history, a.max_history, a.seed
-        )
+        model = KnnRecommender.load(spark, a.model)
+        report = evaluation.evaluate_knn(model, a.ks, a.users, a.min_history, a.max_history, a.seed)
         report.coalesce(1).write.mode("overwrite").json(a.output)
     elif a.job == "evaluate-als":
         frame, row_id = row_numbered(spark, a.path)

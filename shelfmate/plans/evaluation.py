@@ -8,30 +8,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmate.operators.holdout import leave_one_out, sample_users, time_holdout
-from shelfmate.operators.matrix import rating_matrix
 from shelfmate.operators.metrics import drop_unknown_items, rank_metrics, target_ranks
 from shelfmate.plans.als_recommender import AlsParams, AlsRecommender, observed_ratings
-from shelfmate.plans.knn_recommender import model_catalogue, recommend_histories
+from shelfmate.plans.knn_recommender import KnnRecommender
 from shelfmate.schemas import ITEM, USER
+from shelfmate.session import cut_lineage
 
 
 def evaluate_knn(
-    interactions: DataFrame,
+    model: KnnRecommender,
     ks: list[int],
     n_users: int = 1000,
     min_history: int = 5,
     max_history: int = 50,
     seed: int = 42,
-    catalogue: DataFrame | None = None,
 ) -> DataFrame:
-    """Random leave-one-out; the neighbours were computed with the target in the matrix."""
-    cells = rating_matrix(interactions)
-    catalogue = model_catalogue(cells, interactions) if catalogue is None else catalogue
-    split = leave_one_out(cells, n_users, min_history, max_history, seed)
+    """Random leave-one-out on a stored model, which has seen the targets.
+
+    The split is small (users x history) and used three times, so it is kept.
+    """
+    split = cut_lineage(leave_one_out(model.cells, n_users, min_history, max_history, seed))
     histories = split.where(F.col("pos") > 0).select(F.col(USER).alias("query"), "pos", ITEM)
     targets = split.where(F.col("pos") == 0).select(F.col(USER).alias("query"), ITEM)
-    answers = recommend_histories(cells, catalogue, histories, max(ks))
-    answers = drop_unknown_items(answers, catalogue, "query", ITEM)
+    answers = drop_unknown_items(model.recommend_histories(histories, max(ks)), model.catalogue, "query", ITEM)
     return rank_metrics(target_ranks(answers, targets, ["query", ITEM]), ks)
 
 
@@ -55,11 +54,10 @@ def evaluate_als(
     model = AlsRecommender.fit(split.train, path, params)
     trained = time.perf_counter()
 
-    holdout = split.holdout.select(USER, ITEM)
-    sampled = sample_users(holdout.select(USER), n_users, params.seed)
-    targets = (
-        holdout.join(sampled, USER, "left_semi")
-        .join(model.tables["users"], USER, "left")
+    # One row per user, so the sample is taken from the holdout itself.
+    sampled = sample_users(split.holdout.select(USER, ITEM), n_users, params.seed)
+    targets = cut_lineage(
+        sampled.join(model.tables["users"], USER, "left")
         .join(model.tables["catalogue"].select(ITEM, "item_idx"), ITEM, "left")
         .select(F.col("user_idx").alias("query"), "item_idx")
     )
