@@ -109,14 +109,14 @@ def test_exact_for_any_blocking_and_skew(spark, monkeypatch, hot_user, hot_item,
 def test_dense_tile_shortcut_equals_full_sort(monkeypatch, tied):
     rng = np.random.default_rng(9)
     tile = np.where(rng.random((64, 64)) < 0.9, rng.integers(1, 4, (64, 64)) / 7 if tied else rng.random((64, 64)), 0)
-    k = np.full(64, 5)
+    k = np.full(64, 2)
     for by_column in (False, True):
-        monkeypatch.setattr(knn, "DENSE_FACTOR", 0)
+        monkeypatch.setattr(knn, "DENSE_SHARE", 0.0)
         short = knn.best_of_tile(tile, k, by_column)
-        monkeypatch.setattr(knn, "DENSE_FACTOR", 10**9)
+        monkeypatch.setattr(knn, "DENSE_SHARE", 2.0)
         full = knn.best_of_tile(tile, k, by_column)
         assert all((a == b).all() for a, b in zip(short, full))
-        assert len(full[0]) == 64 * 5
+        assert len(full[0]) == 64 * 2
 
 
 def test_long_messages_equal_short_ones(monkeypatch):
