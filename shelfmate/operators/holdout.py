@@ -29,9 +29,13 @@ def last_interactions(df: DataFrame, row_id: list[str], user: str = USER, time:
     candidate per task before the shuffle.
     """
     others = [c for c in df.columns if c not in {user, time, *row_id}]
-    moment = F.col(time)
-    if isinstance(df.schema[time].dataType, (T.TimestampType, T.TimestampNTZType)):
-        moment = F.unix_micros(moment.cast("timestamp"))
+    kind = df.schema[time].dataType
+    if isinstance(kind, T.TimestampType):
+        moment = F.unix_micros(time)
+    elif isinstance(kind, T.TimestampNTZType):
+        moment = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{time}`)")
+    else:
+        moment = F.col(time)
     key = F.struct((-moment).alias("reversed"), *row_id, time, *others)
     last = (
         df.where(F.col(user).isNotNull() & F.col(time).isNotNull())

@@ -21,7 +21,7 @@ def value_summary(df: DataFrame, column: str, percentiles: list[float], buckets:
     rows = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")))
     counts = rows.groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
     cuts = sorted(set(counts.approxQuantile("v", [i / buckets for i in range(1, buckets)], 0.2 / buckets)))
-    splits = [float("-inf"), *cuts, float("inf")]
+    splits = [float("-inf"), *(cuts or [0.0]), float("inf")]
     placed = Bucketizer(splits=splits, inputCol="v", outputCol="bucket").transform(counts)
 
     sizes = placed.groupBy("bucket").agg(F.sum("c").alias("size"))

@@ -51,9 +51,10 @@ def test_time_holdout(spark, partitions):
     assert rows(holdout.last_interactions(df, ["id"]), "reviewerID", "id") == [("a", 3), ("b", 11), ("c", 20)]
 
 
-def test_time_holdout_with_timestamps(spark):
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_time_holdout_with_timestamps(spark, kind):
     df = spark.createDataFrame(HISTORY, "reviewerID string, asin string, timestamp long, id int")
-    df = df.withColumn("timestamp", F.timestamp_seconds("timestamp"))
+    df = df.withColumn("timestamp", F.timestamp_seconds("timestamp").cast(kind))
     assert rows(holdout.last_interactions(df, ["id"]), "reviewerID", "id") == [("a", 3), ("b", 11), ("c", 20)]
 
 
@@ -133,3 +134,9 @@ def test_profile(spark):
         "n_items": 2,
         "n_eligible_users": 1,
     }
+
+
+def test_percentiles_of_little_data(spark):
+    one = spark.createDataFrame([(4.0,), (4.0,)], "v double")
+    assert quantiles.latency_summary(one, "v").first().median == 4.0
+    assert quantiles.latency_summary(one.where("v > 9"), "v").first().median is None
