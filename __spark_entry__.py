@@ -18,7 +18,6 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from shelfmate.functions.columns import confidence  # noqa: E402
 from shelfmate.operators import cleaning, factors, holdout, identity, matrix, metrics, profile, quantiles  # noqa: E402
-from shelfmate.operators.knn import cosine_neighbours  # noqa: E402
 from shelfmate.operators.search import search_titles  # noqa: E402
 from shelfmate.plans import als_recommender, categories, evaluation, knn_recommender  # noqa: E402
 from shelfmate.plans.driver_tables import ROW_ID, event_cells, interactions, metadata, table  # noqa: E402
