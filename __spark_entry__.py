@@ -24,6 +24,14 @@ from shelfmate.plans.driver_tables import ROW_ID, event_cells, interactions, met
 from shelfmate.session import cut_lineage, scratch_path  # noqa: E402
 from shelfmate.sources import json_lines, tables  # noqa: E402
 
+try:  # the operators of a training-data pipeline are a subpackage that may be left out
+    import corpus_pipeline
+    from shelfmate.llm import registry as llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("shelfmate.llm", "corpus_pipeline"):
+        raise
+    llm = None
+
 KS = [5, 10, 20]
 SEARCHES = ["RING", "red", "hot b", "50%", "_", "gizmo"]
 SMALL_ALS = als_recommender.AlsParams(factors=8, iterations=5)
@@ -482,10 +490,16 @@ def entry(spark: SparkSession) -> DataFrame:
     return q_recommend_seed(spark, "/root/testdata/sf0.001")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name[2:]: f for name, f in globals().items() if name.startswith("q_")}
 
 
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    if llm is None:
+        return library_queries()
+    return {**library_queries(), **llm.QUERIES, "pipeline": corpus_pipeline.run}
+
+
 # --- the same queries as SQL --------------------------------------------------------------
 
 INTER = """inter AS (
@@ -535,6 +549,13 @@ def metric_sql(ks: list[int]) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    if llm is None:
+        return library_sql()
+    whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {**library_sql(), **llm.ORACLES, **whole}
+
+
+def library_sql() -> dict[str, str]:
     meta_lines = """lines AS (
   SELECT p_partkey, p_type, CASE WHEN p_type <> 'ECONOMY' THEN p_name END AS title FROM part)"""
     embedded = """emb AS (

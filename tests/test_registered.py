@@ -35,12 +35,12 @@ def canonical(columns, data):
     return sorted(columns), sorted(tuple(text(row[i]) for i in order) for row in data)
 
 
-@pytest.mark.parametrize("name", sorted(registered.queries()))
+@pytest.mark.parametrize("name", sorted(registered.library_queries()))
 def test_query(spark, db, name):
-    frame = registered.queries()[name](spark, SF_DIR)
+    frame = registered.library_queries()[name](spark, SF_DIR)
     mine = canonical(frame.columns, [tuple(r) for r in frame.collect()])
     assert mine[1], "no rows"
-    sql = registered.oracle_sql().get(name)
+    sql = registered.library_sql().get(name)
     if sql:
         cursor = db.execute(sql)
         theirs = canonical([d[0] for d in cursor.description], cursor.fetchall())
