@@ -5,7 +5,8 @@ Every document of a source gets the same expected number of copies, target / sou
 exchange mass so that their expected words together never change, until one of them is at 0 or 1.
 What is left of a block is one document with a fraction; the next level of a reduction tree pairs those
 residuals, until one per source remains, which is rounded at random. So a source misses its
-target by less than its last document, and each document is copied with its own probability.
+target by less than that last document, and each document is copied with its own probability. Blocks are
+worked off from the largest document to the smallest, so the last one is small.
 
 Blocks hold about ``block_rows`` documents of one source, dealt by a hash of the document, so a source
 owning a third of all rows is spread over as many tasks as it has blocks. The tree has
@@ -100,7 +101,8 @@ def pivot(sizes: np.ndarray, shares: np.ndarray, draws: np.ndarray) -> int:
 
 def _round_block(last: bool, seed: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_order", "_doc", "_size"], na_position="last", ignore_index=True)
+        # Large documents first: what is left at the end is then about as small as the smallest ones.
+        rows = rows.sort_values(["_size", "_order", "_doc"], ascending=[False, True, True], ignore_index=True)
         shares = rows["_share"].to_numpy(dtype=np.float64).copy()
         key = [seed, len(rows), int(rows["_order"].iloc[0]) & 0xFFFFFFFFFFFFFFFF]
         draws = np.random.default_rng(key).random(len(rows) + 1)
