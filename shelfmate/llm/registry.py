@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from shelfmate.llm import exact_dedup, mixing
+from shelfmate.llm import bpe, exact_dedup, mixing, quality_rules
 
 QUERIES = {
+    "op3_byte_bpe": bpe.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op7_quality_rules": quality_rules.query,
     "op10_mix_sources": mixing.query,
 }
 
 ORACLES = {
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op7_quality_rules": quality_rules.ORACLE,
 }
