@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from shelfmate.llm import bpe, exact_dedup, mixing, quality_rules
+from shelfmate.llm import bpe, exact_dedup, mixing, quality_rules, url_filters, warc
 
 QUERIES = {
     "op3_byte_bpe": bpe.query,
+    "op4_url_filters": url_filters.query,
+    "op5_warc_roundtrip": warc.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_quality_rules": quality_rules.query,
     "op10_mix_sources": mixing.query,
 }
 
 ORACLES = {
+    "op4_url_filters": url_filters.ORACLE,
+    "op5_warc_roundtrip": warc.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
 }
