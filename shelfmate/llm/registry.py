@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from shelfmate.llm import bpe, exact_dedup, mixing, quality_rules, url_filters, warc
+from shelfmate.llm import bpe, exact_dedup, mixing, near_dedup, quality_rules, url_filters, warc
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.query,
     "op3_byte_bpe": bpe.query,
     "op4_url_filters": url_filters.query,
     "op5_warc_roundtrip": warc.query,
