@@ -7,24 +7,44 @@ returns the columns of documents.
 
 from __future__ import annotations
 
-from shelfmate.llm import exact_dedup, mixing
+from shelfmate.llm import bpe, exact_dedup, mixing, near_dedup, quality_rules
 from shelfmate.llm.common import read_table, through_table
 
 
-def exact_copies(spark, docs, sf_dir):
+def good_documents(spark, docs, sf_dir):
+    """Documents that no quality rule rejects."""
+    return quality_rules.keep_good(docs)
+
+
+def without_exact_copies(spark, docs, sf_dir):
+    """One document of each group of equal texts."""
     return exact_dedup.drop_exact_copies(docs)
 
 
-def mix_sources(spark, docs, sf_dir):
+def without_near_copies(spark, docs, sf_dir):
+    """One document of each class of near-duplicates."""
+    return near_dedup.drop_near_copies(docs)
+
+
+def mixed_sources(spark, docs, sf_dir):
+    """Every document as often as the mix takes it."""
     return mixing.mixed_documents(docs)
 
 
+def token_ids(spark, docs, sf_dir):
+    """doc_id, ids, n_tokens, and digests of the ids and of the text they decode to; a row per copy."""
+    return bpe.tokenized(docs)
+
+
 STAGES = [
-    ("exact_dedup", exact_copies),
-    ("mix_sources", mix_sources),
+    ("quality_rules", good_documents),
+    ("exact_dedup", without_exact_copies),
+    ("near_dedup", without_near_copies),
+    ("mix_sources", mixed_sources),
+    ("byte_bpe", token_ids),
 ]
 
-#: The stages after the first two cannot be expressed in SQL.
+#: Near-duplicates, the mix and the tokens cannot be expressed in SQL.
 ORACLE_SQL = None
 
 

@@ -28,6 +28,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmate.session import ship_package
 
@@ -224,8 +225,8 @@ def _encoder(token: str, entries, pattern) -> Encoder:
     return _ENCODERS[token]
 
 
-def _schema_with(df: DataFrame, name: str, kind: str) -> str:
-    return ", ".join([f"`{c}` {t}" for c, t in df.dtypes if c != name] + [f"`{name}` {kind}"])
+def _schema_with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([field for field in df.schema if field.name != name] + [T.StructField(name, kind)])
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -245,7 +246,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 yield _with(piece, out, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)))
 
-    return df.mapInArrow(run, _schema_with(df, out, "array<int>"))
+    return df.mapInArrow(run, _schema_with(df, out, T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "bytes") -> DataFrame:
@@ -275,7 +276,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "bytes") -> Da
                 )
                 yield _with(piece, out, column)
 
-    return df.mapInArrow(run, _schema_with(df, out, "binary"))
+    return df.mapInArrow(run, _schema_with(df, out, T.BinaryType()))
 
 
 def tokenized(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -20,6 +20,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmate.session import ship_package
 
@@ -102,7 +103,7 @@ def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """One row per document: key, the measurements, and ``failures``, a bit for every failed rule."""
     ship_package(docs.sparkSession)
     narrow = docs.select(F.col(key), F.col(text).alias("_text"))
-    schema = f"`{key}` {narrow.dtypes[0][1]}, " + ", ".join(f"{m} long" for m in MEASURES)
+    schema = T.StructType([narrow.schema[0], *(T.StructField(m, T.LongType()) for m in MEASURES)])
     measured = narrow.mapInArrow(_measured, schema)
     bits = [F.when(F.expr(condition), F.lit(1 << place)).otherwise(F.lit(0)) for place, (_, condition) in enumerate(RULES)]
     failures = bits[0]
