@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from shelfmate.llm import bpe, exact_dedup, mixing, near_dedup, quality_rules, url_filters, warc
+from shelfmate.llm import bpe, exact_dedup, log_bilinear, mixing, near_dedup, quality_net, quality_rules, url_filters, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
+    "op2_quality_net": quality_net.query,
     "op3_byte_bpe": bpe.query,
     "op4_url_filters": url_filters.query,
     "op5_warc_roundtrip": warc.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_quality_rules": quality_rules.query,
+    "op8_log_bilinear": log_bilinear.query,
     "op10_mix_sources": mixing.query,
 }
 
