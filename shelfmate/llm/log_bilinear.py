@@ -11,7 +11,8 @@ and bias b per class, s = r q + b, normalised over all classes.
 Training. Noise-contrastive estimation in numpy. The data are the counts of adjacent classes over all training
 tokens, summed by Spark: a table of at most classes^2 cells, whatever the corpus. On these counts both sides of the
 NCE objective, the data and the expectation over the noise distribution (unigram, NOISE draws per token),
-are exact, so each step is three matrix products over the whole corpus and nothing is sampled.
+are exact, so each step is three matrix products over the whole corpus and nothing is sampled. Every context
+gets SMOOTHING pseudo-tokens, so that rare contexts stay near the unigram.
 
 Scoring. One batched matrix product gives the normalised log-probabilities of all (context, class) pairs,
 a table of classes^2 numbers that is broadcast; tasks only look it up. Counts of words that make up at least a
@@ -40,7 +41,9 @@ from shelfmate.operators.joins import splittable_join
 from shelfmate.session import ship_package
 
 SHORT, RARE = 767, 256
-DIMENSIONS, NOISE, STEPS, RATE = 32, 10, 300, 0.05
+DIMENSIONS, NOISE, STEPS, RATE = 32, 10, 200, 0.05
+#: Pseudo-tokens, distributed like single classes, that each context has beside its own.
+SMOOTHING = 10.0
 FREQUENT = 2e-6
 FOLDS, HELD_OUT = 7, 2
 
@@ -147,7 +150,8 @@ def train(counts: np.ndarray, dimensions: int = DIMENSIONS, noise: int = NOISE,
     """(r, q, b) by NCE on a table of counts (context, target)."""
     n = len(counts)
     draw = np.random.default_rng(seed)
-    total = max(1.0, float(counts.sum()))
+    counts = counts + SMOOTHING * (counts.sum(0) + 0.5) / (counts.sum() + 0.5 * n)
+    total = float(counts.sum())
     data = (counts / total).astype(np.float32)
     unigram = ((counts.sum(0) + 0.5) / (counts.sum() + 0.5 * n)).astype(np.float32)
     against = np.outer(data.sum(1), unigram) * np.float32(noise)
