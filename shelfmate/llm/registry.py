@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfmate.llm import bpe, exact_dedup, log_bilinear, mixing, near_dedup, quality_net, quality_rules, url_filters, warc
+from shelfmate.llm import bpe, exact_dedup, html_wrappers, log_bilinear, mixing, near_dedup, quality_net, quality_rules, url_filters, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.query,
     "op7_quality_rules": quality_rules.query,
     "op8_log_bilinear": log_bilinear.query,
+    "op9_html_wrappers": html_wrappers.query,
     "op10_mix_sources": mixing.query,
 }
 
