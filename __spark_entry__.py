@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from shelfmate.functions.columns import confidence  # noqa: E402
+from shelfmate.functions.columns import clean_text, confidence, hybrid_score, recency_confidence  # noqa: E402
 from shelfmate.operators import cleaning, factors, holdout, identity, matrix, metrics, profile, quantiles  # noqa: E402
 from shelfmate.operators.search import search_titles  # noqa: E402
 from shelfmate.plans import als_recommender, categories, evaluation, knn_recommender  # noqa: E402
@@ -34,7 +34,7 @@ except ModuleNotFoundError as missing:
 
 KS = [5, 10, 20]
 SEARCHES = ["RING", "red", "hot b", "50%", "_", "gizmo"]
-SMALL_ALS = als_recommender.AlsParams(factors=8, iterations=5)
+ALS = als_recommender.AlsParams()
 
 
 def six(column, name: str):
@@ -215,9 +215,15 @@ def q_join_meta(spark, sf):
     return cleaning.join_metadata(interactions(spark, sf), metadata(spark, sf)).drop(*ROW_ID)
 
 
+def with_missing_keys(rows):
+    """Some rows without a user, some without an item."""
+    nobody = (F.col("reviewText") == "R F") & (F.col("l_linenumber") == 7)
+    nothing = (F.col("reviewText") == "A F") & (F.col("l_linenumber") == 6)
+    return rows.withColumn("reviewerID", F.when(~nobody, F.col("reviewerID"))).withColumn("asin", F.when(~nothing, F.col("asin")))
+
+
 def q_core_filter(spark, sf, **thresholds):
-    built = categories.build_interactions(interactions(spark, sf), metadata(spark, sf), **thresholds)
-    return built
+    return categories.build_interactions(with_missing_keys(interactions(spark, sf)), metadata(spark, sf), **thresholds)
 
 
 def q_core_filter_strict(spark, sf):
@@ -293,21 +299,111 @@ def q_item_knn(spark, sf):
     return near.select("item_idx", "rank", "other_idx", six(F.col("score"), "score"))
 
 
+def supplier_keys(spark, sf, prefix):
+    return table(spark, sf, "supplier").select(F.concat(F.lit(prefix), F.col("s_suppkey").cast("string")).alias("key"))
+
+
 def q_recommend_seed(spark, sf):
-    """Every part is asked for; parts nobody ordered come back as not found."""
-    seeds = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("seed"))
-    return stored_model(spark, sf).recommend(seeds, 10).withColumn("score", F.round("score", 6))
+    """Every part is asked for, and for each supplier an item that only one user has, so that it has no
+    neighbours, and one that nobody has."""
+    lonely = supplier_keys(spark, sf, "lonely-").select(
+        F.col("key").alias("reviewerID"), F.col("key").alias("asin"), F.lit(5.0).alias("rating"), F.lit(None).cast("string").alias("product_title")
+    )
+    rows = titled(spark, sf).select("reviewerID", "asin", "rating", "product_title").unionByName(lonely)
+    model = knn_recommender.KnnRecommender.fit(rows, scratch_path(spark, "knn-model"))
+    seeds = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("key"))
+    for prefix in ("lonely-", "gone-"):
+        seeds = seeds.unionByName(supplier_keys(spark, sf, prefix))
+    return model.recommend(seeds.withColumnRenamed("key", "seed"), 10).withColumn("score", F.round("score", 6))
 
 
-def q_recommend_history_first(spark, sf):
-    """Every customer's whole order history, earliest first."""
+def customer_histories(spark, sf):
+    """Every customer's whole order history, earliest first, and a history of unknown items per supplier."""
     order = F.struct("timestamp", *ROW_ID)
-    histories = interactions(spark, sf).select(F.col("reviewerID").alias("query"), order.alias("pos"), "asin")
-    return stored_model(spark, sf).recommend_histories(histories, 10).withColumn("score", F.round("score", 6))
+    rows = interactions(spark, sf)
+    histories = rows.select(F.col("reviewerID").alias("query"), order.alias("pos"), "asin")
+    no_order = F.lit(None).cast(histories.schema["pos"].dataType).alias("pos")
+    gone = supplier_keys(spark, sf, "gone-").select(F.col("key").alias("query"), no_order, F.col("key").alias("asin"))
+    return histories.unionByName(gone)
+
+
+def q_recommend_history_first(spark, sf):
+    found = stored_model(spark, sf).recommend_histories(customer_histories(spark, sf), 10)
+    return found.withColumn("score", F.round("score", 6))
+
+
+def q_recommend_history_agg(spark, sf):
+    """Candidates scored by the sum of their similarities to the whole history."""
+    found = stored_model(spark, sf).recommend_histories_by_score(customer_histories(spark, sf), 10)
+    return found.withColumn("score", F.round("score", 6))
 
 
 def q_title_search(spark, sf):
-    return search_titles(identity.build_catalogue(titled(spark, sf)), SEARCHES, 10)
+    """The fixed searches and the first three letters of every part name, as a table."""
+    fixed = spark.createDataFrame([(q,) for q in SEARCHES], "query string")
+    asked = fixed.unionByName(table(spark, sf, "part").select(F.substring("p_name", 1, 3).alias("query")))
+    return search_titles(identity.build_catalogue(titled(spark, sf)), asked, 10)
+
+
+def q_json_to_model(spark, sf):
+    """From JSON lines with bad ratings and odd timestamps over the filter and the stored table to the answers of a
+    model."""
+    line = F.col("l_linenumber")
+    rows = interactions(spark, sf)
+    fields = [
+        F.concat(F.lit('"user_id":"'), "reviewerID", F.lit('","asin":"'), "asin", F.lit('"')),
+        F.concat(
+            F.lit('"rating":'),
+            F.when(line == 3, '"abc"').when(line == 4, "null").when(line == 5, F.concat(F.lit('"'), F.col("rating").cast("string"), F.lit(' "'))).otherwise(F.col("rating").cast("string")),
+        ),
+        F.concat(
+            F.lit('"timestamp":'),
+            F.when(line == 1, F.concat(F.lit('"'), F.col("timestamp").cast("string"), F.lit('"'))).when(line == 2, F.lit('{"odd":1}')).otherwise(F.col("timestamp").cast("string")),
+        ),
+    ]
+    lines, stored = scratch_path(spark, "odd-reviews"), scratch_path(spark, "odd-table")
+    rows.select(F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")).alias("value")).write.text(lines)
+    tables.write_interactions(categories.build_interactions(json_lines.read_reviews(spark, lines), None), stored)
+    model = knn_recommender.KnnRecommender.fit(spark.read.parquet(stored), scratch_path(spark, "knn-model"))
+    seeds = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("seed"))
+    return model.recommend(seeds, 10).select("seed", "rank", "asin", six(F.col("score"), "score"), "status")
+
+
+def q_clean_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", clean_text(F.col("text")).alias("cleaned"))
+
+
+def q_hybrid_score(spark, sf):
+    """Events as reviews: the rating from the number of the item, the value as sentiment."""
+    events = event_cells(spark, sf).withColumn("rating", F.lit(1.0) + F.pmod(F.col("asin").cast("int"), F.lit(5)))
+    bounds = events.agg(F.min("value").alias("lowest"), F.max("value").alias("highest"))
+    both = events.join(F.broadcast(bounds))  # one row
+    score = hybrid_score(F.col("rating"), F.col("value"), F.col("lowest"), F.col("highest"))
+    return both.select("event_id", six(score, "score"))
+
+
+def q_recency_confidence(spark, sf):
+    rows = interactions(spark, sf)
+    latest = rows.agg(F.max("timestamp").alias("latest"))
+    age = (F.col("latest") - F.col("timestamp")) / F.lit(86400.0)
+    both = rows.join(F.broadcast(latest))  # one row
+    return both.select(*ROW_ID, six(recency_confidence(F.col("rating"), age, 365.0), "c"))
+
+
+def q_category_scoped_metrics(spark, sf):
+    """Every item asked for the item of the next number, among its neighbours of that item's category."""
+    answers = neighbour_lists(spark, sf)
+    codes = stored_codes(spark, sf)
+    following = (F.col("asin").cast("int") + 1).cast("string")
+    targets = codes.select(F.col("item_idx").alias("query"), following.alias("asin"))
+    kinds = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("asin"), F.col("p_type").alias("category"))
+    scoped = metrics.within_category(answers, targets, kinds, "query", "asin")
+    row = metrics.rank_metrics(metrics.target_ranks(scoped, targets, ["query", "asin"]), KS)
+    return row.select("n_evaluated", *[six(F.col(c), c) for c in row.columns if c != "n_evaluated"])
+
+
+def stored_codes(spark, sf):
+    return identity.dense_codes(identity.distinct_keys([interactions(spark, sf)], "asin"), "asin", "item_idx")
 
 
 # --- holdouts and metrics ---------------------------------------------------------------
@@ -380,8 +476,10 @@ def neighbour_lists(spark, sf):
 
 
 def q_eval_skips(spark, sf):
-    """Every part number is asked for; neighbours nobody reviewed often are unknown."""
+    """Every part number is asked for, and an unknown item per supplier; neighbours nobody reviewed often are
+    unknown."""
     asked = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("seed"))
+    asked = asked.unionByName(supplier_keys(spark, sf, "gone-").withColumnRenamed("key", "seed"))
     answers = cut_lineage(stored_model(spark, sf).recommend(asked, 10).where(F.col("status") == "ok"))
     return metrics.skip_counts(answers, known_items(spark, sf), asked, "seed", "asin")
 
@@ -402,7 +500,7 @@ def q_eval_report(spark, sf):
 
 def q_eval_report_als(spark, sf):
     path = scratch_path(spark, "als-model")
-    return evaluation.evaluate_als(interactions(spark, sf), ROW_ID, path, KS, SMALL_ALS).drop("train_s", "eval_s")
+    return evaluation.evaluate_als(interactions(spark, sf), ROW_ID, path, KS, ALS).drop("train_s", "eval_s")
 
 
 # --- factor models ------------------------------------------------------------------------
@@ -441,7 +539,7 @@ def q_als_foldin(spark, sf):
     items = embedded_items(spark, sf)
     histories = event_histories(spark, sf)
     gram = factors.gram_array(items)
-    reg = SMALL_ALS.regularization
+    reg = ALS.regularization
     solved = factors.fold_in(histories, items, reg, gram)
     import numpy as np
 
@@ -455,12 +553,12 @@ def q_als_foldin(spark, sf):
 def q_als_foldin_recommend(spark, sf):
     items = embedded_items(spark, sf)
     histories = event_histories(spark, sf)
-    vectors = factors.fold_in(histories, items, SMALL_ALS.regularization)
+    vectors = factors.fold_in(histories, items, ALS.regularization)
     return factors.top_items(vectors, items, 10, exclude=histories)
 
 
 def fitted_als(spark, sf):
-    return als_recommender.AlsRecommender.fit(titled(spark, sf), scratch_path(spark, "als-model"), SMALL_ALS)
+    return als_recommender.AlsRecommender.fit(titled(spark, sf), scratch_path(spark, "als-model"), ALS)
 
 
 def q_als_fit(spark, sf):
@@ -468,7 +566,7 @@ def q_als_fit(spark, sf):
     model = fitted_als(spark, sf)
     parts = model.tables
     checked = als_recommender.equation_residuals(
-        parts["cells"], parts["user_factors"], parts["item_factors"], SMALL_ALS.regularization
+        parts["cells"], parts["user_factors"], parts["item_factors"], ALS.regularization
     )
     return checked.join(parts["users"], "user_idx").select(
         "reviewerID", "n_cells", (F.col("residual") < 1e-3).alias("solved")
@@ -510,7 +608,8 @@ INTER = """inter AS (
          l_orderkey, l_linenumber, l_partkey, l_quantity
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 META = """meta AS (
-  SELECT CAST(p_partkey AS VARCHAR) AS parent_asin, p_name AS product_title, p_type AS main_category FROM part)"""
+  SELECT CAST(p_partkey AS VARCHAR) AS parent_asin, p_name AS product_title, p_type AS main_category FROM part
+  WHERE p_type <> 'PROMO')"""
 EVENTS = """ev AS (
   SELECT event_id, CAST(user_id AS VARCHAR) AS reviewerID, json_extract_string(props, '$.k') AS asin,
          event_type AS category, value FROM events)"""
@@ -527,15 +626,23 @@ near AS (SELECT item_idx, other_idx, score,
                 CAST(row_number() OVER (PARTITION BY item_idx ORDER BY score DESC, other_idx) AS INTEGER) AS rank
          FROM sims)"""
 KNOWN = "known AS (SELECT asin FROM inter GROUP BY asin HAVING count(*) >= 28)"
+ANSWERED = """asked AS (SELECT DISTINCT reviewerID AS query, 'no_neighbours' AS status FROM inter
+  UNION ALL SELECT 'gone-' || s_suppkey, 'not_found' FROM supplier)
+SELECT asked.query, CAST(rank AS INTEGER) AS rank, asin, item_idx,
+  CASE WHEN rank IS NOT NULL THEN coalesce(title, 'Unknown Product') END AS title, round(score, 6) AS score,
+  CASE WHEN rank IS NULL THEN status ELSE 'ok' END AS status
+FROM asked LEFT JOIN (SELECT * FROM ranked WHERE rank <= 10) r ON r.query = asked.query LEFT JOIN cat ON cat.item_idx = other_idx"""
 ROWS = "l_orderkey, l_linenumber, l_partkey, l_quantity"
 SEVEN = 'reviewerID, asin, rating, reviewText, "timestamp", product_title, main_category'
 
 
 def core_filter_sql(users: int, items: int) -> str:
-    return f"""WITH {INTER}, {META},
+    return f"""WITH {INTER.replace("inter AS", "complete AS", 1)}, {META},
+inter AS (SELECT * REPLACE (CASE WHEN reviewText = 'R F' AND l_linenumber = 7 THEN NULL ELSE reviewerID END AS reviewerID,
+    CASE WHEN reviewText = 'A F' AND l_linenumber = 6 THEN NULL ELSE asin END AS asin), asin AS joined FROM complete),
 u AS (SELECT reviewerID FROM inter GROUP BY 1 HAVING count(*) >= {users}),
 i AS (SELECT asin FROM inter GROUP BY 1 HAVING count(*) >= {items})
-SELECT {SEVEN} FROM inter LEFT JOIN meta ON asin = parent_asin
+SELECT {SEVEN} FROM inter LEFT JOIN meta ON joined = parent_asin
 WHERE reviewerID IN (SELECT reviewerID FROM u) AND asin IN (SELECT asin FROM i)"""
 
 
@@ -562,7 +669,7 @@ def library_sql() -> dict[str, str]:
   SELECT CAST(vec_id AS INTEGER) AS item_idx, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
     event_ranked = f"{EVENTS}, ranked AS (SELECT *, CASE WHEN category <> 'error' THEN CAST(asin AS INTEGER) + 1 END AS rank FROM ev)"
     asked = " UNION ALL ".join(f"SELECT '{q}' AS query" for q in SEARCHES)
-    titled_ids = f"{INTER}, {META}, {IDS}, cat AS (SELECT asin, item_idx, product_title AS title FROM ids JOIN meta ON asin = parent_asin)"
+    titled_ids = f"{INTER}, {META}, {IDS}, cat AS (SELECT asin, item_idx, product_title AS title FROM ids LEFT JOIN meta ON asin = parent_asin)"
     return {
         "load_reviews": f'WITH {INTER} SELECT reviewerID, asin, rating, reviewText, "timestamp", asin AS parent_asin FROM inter',
         "load_reviews_limit": """SELECT p_brand AS reviewerID, CAST(p_partkey AS VARCHAR) AS asin,
@@ -622,22 +729,57 @@ UNION ALL SELECT 'n_items', count(DISTINCT asin) FROM inter
 UNION ALL SELECT 'n_eligible_users', count(*) FROM (SELECT 1 FROM inter GROUP BY reviewerID HAVING count(*) >= 5)""",
         "item_knn": f"""WITH {INTER}, {CELLS}, {IDS}, {PAIRS}
 SELECT item_idx, rank, other_idx, round(score, 6) AS score FROM near WHERE rank <= 10""",
-        "recommend_seed": f"""WITH {titled_ids}, {CELLS}, {PAIRS},
-asked AS (SELECT CAST(p_partkey AS VARCHAR) AS seed FROM part)
-SELECT seed, rank, c.asin, c.title, round(score, 6) AS score, 'ok' AS status
-FROM asked JOIN cat s ON seed = s.asin JOIN near ON near.item_idx = s.item_idx AND rank <= 10
-JOIN cat c ON c.item_idx = other_idx
-UNION ALL SELECT seed, NULL, NULL, NULL, NULL, 'not_found' FROM asked WHERE seed NOT IN (SELECT asin FROM cat)""",
+        "recommend_seed": f"""WITH {INTER.replace("inter AS", "ordered AS", 1)}, {META},
+lonely AS (SELECT 'lonely-' || s_suppkey AS key FROM supplier),
+inter AS (SELECT reviewerID, asin, rating FROM ordered UNION ALL SELECT key, key, 5.0 FROM lonely),
+{IDS}, {CELLS}, {PAIRS},
+cat AS (SELECT asin, item_idx, coalesce(product_title, 'Unknown Product') AS title FROM ids LEFT JOIN meta ON asin = parent_asin),
+asked AS (SELECT CAST(p_partkey AS VARCHAR) AS seed FROM part UNION SELECT key FROM lonely
+  UNION SELECT 'gone-' || s_suppkey FROM supplier)
+SELECT seed, s.title AS seed_title, rank, c.asin, c.title, round(score, 6) AS score,
+  CASE WHEN s.asin IS NULL THEN 'not_found' WHEN rank IS NULL THEN 'no_neighbours' ELSE 'ok' END AS status
+FROM asked LEFT JOIN cat s ON seed = s.asin LEFT JOIN (SELECT * FROM near WHERE rank <= 10) near ON near.item_idx = s.item_idx
+LEFT JOIN cat c ON c.item_idx = other_idx""",
         "recommend_history_first": f"""WITH {titled_ids}, {CELLS}, {PAIRS},
 hist AS (SELECT reviewerID AS query, item_idx,
   row_number() OVER (PARTITION BY reviewerID ORDER BY "timestamp", {ROWS}) AS pos FROM inter JOIN ids USING (asin)),
 first AS (SELECT query, item_idx FROM hist WHERE pos = 1),
 ranked AS (SELECT query, other_idx, score, row_number() OVER (PARTITION BY query ORDER BY near.rank) AS rank
   FROM first JOIN near USING (item_idx)
-  WHERE NOT EXISTS (SELECT 1 FROM hist h WHERE h.query = first.query AND h.item_idx = near.other_idx))
-SELECT query, CAST(rank AS INTEGER) AS rank, asin, item_idx, title, round(score, 6) AS score
-FROM ranked JOIN cat ON cat.item_idx = other_idx WHERE rank <= 10""",
-        "title_search": f"""WITH {titled_ids}, q AS ({asked}),
+  WHERE NOT EXISTS (SELECT 1 FROM hist h WHERE h.query = first.query AND h.item_idx = near.other_idx)),
+{ANSWERED}""",
+        "recommend_history_agg": f"""WITH {titled_ids}, {CELLS}, {PAIRS},
+hist AS (SELECT DISTINCT reviewerID AS query, item_idx FROM inter JOIN ids USING (asin)),
+scored AS (SELECT query, other_idx, sum(CAST(round(score * 1e9) AS BIGINT)) / 1e9 AS score
+  FROM hist JOIN near USING (item_idx) WHERE near.rank <= 10 GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, other_idx) AS rank FROM scored s
+  WHERE NOT EXISTS (SELECT 1 FROM hist h WHERE h.query = s.query AND h.item_idx = s.other_idx)),
+{ANSWERED}""",
+        "json_to_model": f"""WITH {INTER.replace("inter AS", "complete AS", 1)},
+u AS (SELECT reviewerID FROM complete GROUP BY 1 HAVING count(*) >= 6),
+i AS (SELECT asin FROM complete GROUP BY 1 HAVING count(*) >= 11),
+inter AS (SELECT * FROM complete SEMI JOIN u USING (reviewerID) SEMI JOIN i USING (asin) WHERE l_linenumber NOT IN (3, 4)),
+{IDS}, {CELLS}, {PAIRS}
+SELECT CAST(p_partkey AS VARCHAR) AS seed, rank, o.asin, round(score, 6) AS score,
+  CASE WHEN s.asin IS NULL THEN 'not_found' WHEN rank IS NULL THEN 'no_neighbours' ELSE 'ok' END AS status
+FROM part LEFT JOIN ids s ON s.asin = CAST(p_partkey AS VARCHAR)
+LEFT JOIN (SELECT * FROM near WHERE rank <= 10) near ON near.item_idx = s.item_idx LEFT JOIN ids o ON o.item_idx = other_idx""",
+        "clean_text": """SELECT doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\p{M}]+', ' ', 'g')) AS cleaned FROM documents""",
+        "hybrid_score": f"""WITH {EVENTS}, b AS (SELECT min(value) AS low, max(value) AS high FROM ev)
+SELECT event_id, round(0.7::DOUBLE * (1 + CAST(asin AS INTEGER) % 5) + 0.3::DOUBLE * (1 + 4 * (value - low) / (high - low)), 6) AS score
+FROM ev, b""",
+        "recency_confidence": f"""WITH {INTER}, l AS (SELECT max("timestamp") AS latest FROM inter)
+SELECT {ROWS}, round((1 + 40 * rating) * exp(-((latest - "timestamp") / 86400.0::DOUBLE) / 365.0::DOUBLE), 6) AS c FROM inter, l""",
+        "category_scoped_metrics": f"""WITH {INTER}, {CELLS}, {IDS}, {PAIRS},
+kinds AS (SELECT CAST(p_partkey AS VARCHAR) AS asin, p_type AS category FROM part),
+targets AS (SELECT item_idx AS query, CAST(CAST(asin AS INTEGER) + 1 AS VARCHAR) AS asin FROM ids),
+wanted AS (SELECT query, category FROM targets JOIN kinds USING (asin)),
+scoped AS (SELECT n.item_idx AS query, i.asin, row_number() OVER (PARTITION BY n.item_idx ORDER BY n.rank) AS rank
+  FROM near n JOIN ids i ON i.item_idx = n.other_idx JOIN kinds k ON k.asin = i.asin
+  JOIN wanted w ON w.query = n.item_idx AND w.category = k.category WHERE n.rank <= 10),
+ranked AS (SELECT t.query, s.rank FROM targets t LEFT JOIN scoped s ON s.query = t.query AND s.asin = t.asin)
+SELECT {metric_sql(KS)} FROM ranked""",
+        "title_search": f"""WITH {titled_ids}, q AS (SELECT * FROM ({asked}) UNION SELECT p_name[1:3] FROM part),
 m AS (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY item_idx) AS INTEGER) AS pos, asin, item_idx, title
   FROM q JOIN cat ON contains(lower(title), lower(query)))
 SELECT * FROM m WHERE pos <= 10""",
@@ -655,8 +797,7 @@ SELECT reviewerID, {ROWS}, CASE WHEN rn = 1 THEN 'holdout' ELSE 'train' END AS p
 u AS (SELECT reviewerID FROM cells GROUP BY 1 HAVING count(*) >= 5 ORDER BY md5('42-' || reviewerID), 1 LIMIT 500)
 SELECT reviewerID, asin, CAST(pos AS INTEGER) AS pos FROM (
   SELECT reviewerID, asin, row_number() OVER (PARTITION BY reviewerID
-    ORDER BY md5('42-' || reviewerID || '-' || asin), asin) - 1 AS pos FROM cells SEMI JOIN u USING (reviewerID))
-WHERE pos <= 50""",
+    ORDER BY md5('42-' || reviewerID || '-' || asin), asin) - 1 AS pos FROM cells SEMI JOIN u USING (reviewerID))""",
         "eval_sample": f"""WITH {INTER} SELECT reviewerID FROM inter GROUP BY 1 HAVING count(*) >= 5
 ORDER BY md5('42-' || reviewerID), 1 LIMIT 300""",
         "rank_metrics": f"WITH {event_ranked} SELECT {metric_sql(KS)} FROM ranked",
@@ -668,8 +809,8 @@ ORDER BY md5('42-' || reviewerID), 1 LIMIT 300""",
         "random_baseline": f"""WITH {INTER}, n AS (SELECT count(DISTINCT asin) AS n FROM inter)
 SELECT CAST(k AS INTEGER) AS k, round(k::DOUBLE / n, 9) AS hit FROM n, (SELECT unnest([5, 10, 20]) AS k)""",
         "eval_skips": f"""WITH {titled_ids}, {CELLS}, {PAIRS}, {KNOWN}
-SELECT 'queries' AS what, count(*) AS n FROM part
-UNION ALL SELECT 'skipped_inference', count(*) FROM part
+SELECT 'queries' AS what, (SELECT count(*) FROM part) + (SELECT count(*) FROM supplier) AS n
+UNION ALL SELECT 'skipped_inference', count(*) + (SELECT count(*) FROM supplier) FROM part
   WHERE CAST(p_partkey AS VARCHAR) NOT IN (SELECT asin FROM ids JOIN near USING (item_idx))
 UNION ALL SELECT 'skipped_unknown_item', count(*) FROM near JOIN ids ON other_idx = ids.item_idx
   WHERE rank <= 10 AND asin NOT IN (SELECT asin FROM known)""",
@@ -685,7 +826,7 @@ u AS (SELECT reviewerID FROM cells GROUP BY 1 HAVING count(*) >= 5 ORDER BY md5(
 loo AS (SELECT reviewerID AS query, item_idx, row_number() OVER (PARTITION BY reviewerID
     ORDER BY md5('42-' || reviewerID || '-' || asin), asin) - 1 AS pos
   FROM cells SEMI JOIN u USING (reviewerID) JOIN ids USING (asin)),
-hist AS (SELECT * FROM loo WHERE pos BETWEEN 1 AND 50),
+hist AS (SELECT * FROM loo WHERE pos >= 1),
 answers AS (SELECT query, other_idx, row_number() OVER (PARTITION BY query ORDER BY near.rank) AS rank
   FROM hist f JOIN near USING (item_idx)
   WHERE f.pos = 1 AND NOT EXISTS (SELECT 1 FROM hist h WHERE h.query = f.query AND h.item_idx = near.other_idx)),

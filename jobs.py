@@ -47,22 +47,26 @@ def arguments() -> argparse.Namespace:
             job.add_argument("--min-history", type=int, default=5)
             job.add_argument("--ks", type=int, nargs="+", default=[5, 10, 20])
         if name == "evaluate-knn":
-            job.add_argument("--max-history", type=int, default=50)
+            job.add_argument("--max-history", type=int, default=0, help="0 keeps whole histories")
         if name.endswith("als"):
-            job.add_argument("--factors", type=int, default=64)
-            job.add_argument("--iterations", type=int, default=20)
-            job.add_argument("--regularization", type=float, default=0.05)
-            job.add_argument("--alpha", type=float, default=40.0)
-            job.add_argument("--min-rating", type=float, default=4.0)
+            for option in ("factors", "iterations", "regularization", "alpha", "min_rating"):
+                default = getattr(AlsParams(), option)
+                job.add_argument(f"--{option.replace('_', '-')}", type=type(default), default=default)
         job.add_argument("--seed", type=int, default=42)
 
-    for name in ("recommend", "search"):
+    for name in ("recommend", "recommend-history", "search"):
         job = jobs.add_parser(name)
         job.add_argument("--model", required=True)
         job.add_argument("--kind", choices=["knn", "als"], default="knn")
         job.add_argument("--output", required=True)
         job.add_argument("--top-k", type=int, default=10)
-        job.add_argument("--query" if name == "search" else "--seed-table", required=True, action="append")
+        if name == "search":
+            job.add_argument("--query", action="append", default=[])
+            job.add_argument("--query-table", action="append", default=[], help="tables with a column query")
+        elif name == "recommend":
+            job.add_argument("--seed-table", required=True, action="append")
+        else:
+            job.add_argument("--history-table", required=True, action="append", help="tables (query, pos, asin)")
     return parser.parse_args()
 
 
@@ -76,11 +80,12 @@ def als_params(a: argparse.Namespace) -> AlsParams:
 
 def row_numbered(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
     """The interactions with the file and row they come from, which identify a row."""
-    frame = spark.read.parquet(*paths)
-    return frame.select("*", F.col("_metadata.file_path").alias("row_file"), F.col("_metadata.row_index").alias("row_no")), [
-        "row_file",
-        "row_no",
-    ]
+    place = [F.col("_metadata.file_path").alias("row_file"), F.col("_metadata.row_index").alias("row_no")]
+    groups = tables.files_by_schema(spark, paths)
+    frames = {schema: spark.read.parquet(*files).select("*", *place) for schema, files in groups.items()}
+    if not frames:
+        raise ValueError("no shard matched")
+    return tables.union_of_types(frames), ["row_file", "row_no"]
 
 
 def main() -> None:
@@ -114,7 +119,13 @@ def main() -> None:
     else:
         model = (KnnRecommender if a.kind == "knn" else AlsRecommender).load(spark, a.model)
         if a.job == "search":
-            found = model.search(a.query, a.top_k)
+            asked = spark.createDataFrame([(q,) for q in a.query], "query string")
+            if a.query_table:
+                asked = asked.unionByName(spark.read.parquet(*a.query_table).select("query"))
+            found = model.search(asked, a.top_k)
+        elif a.job == "recommend-history":
+            histories = spark.read.parquet(*a.history_table)
+            found = model.recommend_histories(histories, a.top_k) if a.kind == "knn" else model.recommend_item_histories(histories, a.top_k)
         else:
             seeds = spark.read.parquet(*a.seed_table).select("seed")
             found = model.recommend(seeds, a.top_k) if a.kind == "knn" else model.similar(seeds, a.top_k)

@@ -22,15 +22,20 @@ def confidence(rating: Column, alpha: float = 40.0) -> Column:
     return F.lit(1.0) + F.lit(float(alpha)) * rating
 
 
-def is_json_object(line: Column) -> Column:
-    """True for a line that is one complete JSON object and nothing else."""
+def json_object(line: Column) -> Column:
+    """The line parsed once; NULL unless it is one complete JSON object and nothing else."""
     trimmed = F.trim(line)
-    return F.try_parse_json(line).isNotNull() & trimmed.startswith("{") & trimmed.endswith("}")
+    return F.when(trimmed.startswith("{") & trimmed.endswith("}"), F.try_parse_json(line))
 
 
-def json_text(line: Column, field: str) -> Column:
-    """A top-level field as text; NULL when absent or null."""
-    return F.get_json_object(line, f"$.{field}")
+def json_text(parsed: Column, field: str) -> Column:
+    """A top-level field of a parsed object as text; NULL when absent or null."""
+    return F.try_variant_get(parsed, f"$.{field}", "string")
+
+
+def whole_number(text: Column) -> Column:
+    """Text to long, also from ``1.6e12`` or ``7.0``; anything else becomes NULL."""
+    return F.coalesce(F.trim(text).try_cast("long"), strict_number(text).try_cast("long"))
 
 
 def hash_order(seed: int, *parts: Column) -> Column:
@@ -46,3 +51,20 @@ def dot(left: Column, right: Column) -> Column:
     """Inner product of two numeric arrays of equal length, in double precision."""
     products = F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def clean_text(text: Column) -> Column:
+    """Lower case, everything but letters, digits and marks turned into single spaces."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\p{M}]+", " "))
+
+
+def hybrid_score(rating: Column, sentiment: Column, lowest: Column, highest: Column) -> Column:
+    """0.7 rating + 0.3 sentiment, the latter scaled from lowest..highest onto the ratings' 1..5; without a
+    spread of sentiments it counts as 3."""
+    scaled = F.when(highest > lowest, F.lit(1.0) + F.lit(4.0) * (sentiment - lowest) / (highest - lowest)).otherwise(F.lit(3.0))
+    return F.lit(0.7) * rating + F.lit(0.3) * scaled
+
+
+def recency_confidence(rating: Column, age: Column, tau: float, alpha: float = 40.0) -> Column:
+    """Confidence that fades with the age of an interaction, exp(-age / tau), age and tau in the same unit."""
+    return confidence(rating, alpha) * F.exp(-age / F.lit(float(tau)))

@@ -10,11 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmate.functions.columns import hash_order
+from shelfmate.operators.joins import splittable_join
 from shelfmate.schemas import ITEM, USER
 
-# Above this many sampled users the sample is joined by shuffle instead of broadcast.
-BROADCAST_USERS = 100_000
-
 
 class TimeSplit(NamedTuple):
     train: DataFrame
@@ -24,9 +22,9 @@ class TimeSplit(NamedTuple):
 def last_interactions(df: DataFrame, row_id: list[str], user: str = USER, time: str = "timestamp") -> DataFrame:
     """The latest row of every user with the user's row count ``n_rows``.
 
-    Among equally late rows the smallest row id is taken. A minimum over (reversed time, row
-    id, other columns) instead of a window: a user with a third of all rows is reduced to one
-    candidate per task before the shuffle.
+    Among equally late rows the smallest row id is taken. First the latest moment and the row count, which
+    fit a hash aggregate: a user with a third of all rows is one row per task. Only the rows of that moment
+    go on to the tie-break.
     """
     others = [c for c in df.columns if c not in {user, time, *row_id}]
     kind = df.schema[time].dataType
@@ -36,12 +34,10 @@ def last_interactions(df: DataFrame, row_id: list[str], user: str = USER, time:
         moment = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{time}`)")
     else:
         moment = F.col(time)
-    key = F.struct((-moment).alias("reversed"), *row_id, time, *others)
-    last = (
-        df.where(F.col(user).isNotNull() & F.col(time).isNotNull())
-        .groupBy(user)
-        .agg(F.min(key).alias("last"), F.count(F.lit(1)).alias("n_rows"))
-    )
+    rows = df.where(F.col(user).isNotNull() & F.col(time).isNotNull()).withColumn("_moment", moment)
+    latest = rows.groupBy(user).agg(F.max("_moment").alias("_moment"), F.count(F.lit(1)).alias("n_rows"))
+    tied = splittable_join(rows, latest, [user, "_moment"], "inner")
+    last = tied.groupBy(user, "n_rows").agg(F.min(F.struct(*row_id, time, *others)).alias("last"))
     return last.select(user, "n_rows", *[F.col(f"last.{c}").alias(c) for c in [time, *row_id, *others]])
 
 
@@ -80,7 +76,7 @@ def leave_one_out(
     cells: DataFrame,
     n_users: int = 1000,
     min_history: int = 5,
-    max_history: int = 50,
+    max_history: int = 0,
     seed: int = 42,
     user: str = USER,
     item: str = ITEM,
@@ -88,13 +84,11 @@ def leave_one_out(
     """(user, item, pos): position 0 is the held-out target, 1.. the history.
 
     ``cells`` has one row per (user, item). Users with at least ``min_history`` items are
-    sampled; the target and, where a history is longer than ``max_history``, the kept
-    items are the first ones in hash order. ``max_history`` 0 keeps whole histories.
+    sampled; the target is the first item in hash order. Whole histories are kept; ``max_history`` above 0
+    keeps that many items of each, in the same order.
     """
     order = hash_order(seed, F.col(user), F.col(item))
     users = sample_users(eligible_users(cells, min_history, False, user, item).select(user), n_users, seed, user)
-    if n_users <= BROADCAST_USERS:
-        users = F.broadcast(users)
     rows = cells.select(user, item).join(users, user, "left_semi").withColumn("h", order)
     ranked = rows.withColumn("place", F.row_number().over(W.partitionBy(user).orderBy("h", item)))
     if max_history:

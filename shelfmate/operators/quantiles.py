@@ -7,19 +7,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+from shelfmate.session import scratch_path
 
+# Distinct values ranked in one task, about.
+VALUES_PER_BUCKET = 100_000
 
-def value_summary(df: DataFrame, column: str, percentiles: list[float], buckets: int = BUCKETS) -> DataFrame:
+
+def value_summary(df: DataFrame, column: str, percentiles: list[float], buckets: int | None = None) -> DataFrame:
     """One row: n, mean, min, max and the percentiles (0..100), linearly interpolated.
 
     The built-in exact percentile keeps every distinct value in one task. Here equal values
     collapse first, the distinct values are cut at approximate quantiles into buckets of
     similar size, each bucket is ranked on its own, and a running sum over the bucket
-    sizes (at most ``buckets`` rows) turns places into global ranks.
+    sizes turns places into global ranks. The number of buckets follows the number of distinct values; the counted
+    values are written once.
     """
     rows = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")))
     counts = rows.groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    path = scratch_path(df.sparkSession, "values")
+    counts.write.parquet(path)
+    counts = df.sparkSession.read.schema(counts.schema).parquet(path)
+    buckets = buckets or max(16, -(-counts.count() // VALUES_PER_BUCKET))
     cuts = sorted(set(counts.approxQuantile("v", [i / buckets for i in range(1, buckets)], 0.2 / buckets)))
     splits = [float("-inf"), *(cuts or [0.0]), float("inf")]
     placed = Bucketizer(splits=splits, inputCol="v", outputCol="bucket").transform(counts)
@@ -36,7 +44,7 @@ def value_summary(df: DataFrame, column: str, percentiles: list[float], buckets:
     upto = W.partitionBy("bucket").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
     ranked = (
         placed.withColumn("upto", F.sum("c").over(upto))
-        .join(F.broadcast(starts), "bucket")
+        .join(starts, "bucket")
         .select("v", "c", "n", (F.col("start") + F.col("upto")).alias("end"))
         .withColumn("begin", F.col("end") - F.col("c"))
     )

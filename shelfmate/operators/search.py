@@ -2,33 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfmate.operators.joins import splittable_join
 from shelfmate.schemas import ITEM
 
 MAX_LIMIT = 50
+GRAM = 3
 
 
-def search_titles(catalogue: DataFrame, queries: list[str], limit: int = 10) -> DataFrame:
+def _grams(text: Column, n: int) -> Column:
+    """Distinct runs of n characters."""
+    last = F.char_length(text) - n + 1
+    runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(n)))
+    return F.when(last > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def search_titles(catalogue: DataFrame, queries: list[str] | DataFrame, limit: int = 10) -> DataFrame:
     """(query, pos, asin, item_idx, title): the first ``limit`` matches of every query.
 
-    The queries are one literal array next to each title, so the catalogue is scanned once
-    and nothing is joined; only matches leave the scan, and the group limit keeps
-    ``limit`` of them per query and task. ``instr`` takes ``%`` and ``_`` literally.
+    ``queries`` is a table with a column ``query``, or a short list. A title can only match a query whose first
+    characters (three, or as many as the query has) it contains, so titles and queries meet in
+    an equi-join on those; ``instr`` then decides, taking ``%`` and ``_`` literally. Queries that are NULL or empty give no
+    rows in a table and an error in a list.
     """
     if not 1 <= limit <= MAX_LIMIT:
         raise ValueError(f"limit must be between 1 and {MAX_LIMIT}")
-    if any(len(q) < 1 for q in queries):
-        raise ValueError("a query must have at least one character")
-    asked = F.array(*[F.lit(q) for q in dict.fromkeys(queries)])
-    title = F.lower("title")
-    hits = F.filter(asked, lambda q: F.instr(title, F.lower(q)) > 0)
-    matches = catalogue.where(F.col("title").isNotNull()).select(F.explode(hits).alias("query"), ITEM, "item_idx", "title")
+    if not isinstance(queries, DataFrame):
+        if any(len(q) < 1 for q in queries):
+            raise ValueError("a query must have at least one character")
+        queries = catalogue.sparkSession.createDataFrame([(q,) for q in queries], "query string")
+    asked = queries.select("query").where(F.length("query") > 0).distinct().withColumn("_low", F.lower("query"))
+    asked = asked.withColumn("gram", F.substring("_low", 1, GRAM))
+    titled = catalogue.where(F.col("title").isNotNull()).select(ITEM, "item_idx", "title", F.lower("title").alias("_title"))
+    grams = F.concat(*[_grams(F.col("_title"), n) for n in range(1, GRAM + 1)])
+    keyed = titled.withColumn("gram", F.explode(grams)).join(asked.select("gram").distinct(), "gram", "left_semi")
+    met = splittable_join(keyed, asked, ["gram"], "inner").where(F.instr(F.col("_title"), F.col("_low")) > 0)
     order = W.partitionBy("query").orderBy("item_idx")
     return (
-        matches.withColumn("pos", F.row_number().over(order))
+        met.withColumn("pos", F.row_number().over(order))
         .where(F.col("pos") <= limit)
         .select("query", "pos", ITEM, "item_idx", "title")
     )

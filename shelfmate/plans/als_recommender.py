@@ -14,12 +14,13 @@ from shelfmate.operators.factors import fold_in, gram_array, similar_items, sum_
 from shelfmate.operators.identity import build_catalogue, dense_codes, encode, title_or_default
 from shelfmate.operators.matrix import confidence_matrix
 from shelfmate.operators.search import search_titles
-from shelfmate.plans.knn_recommender import answer_seeds, check_top_k
+from shelfmate.plans.knn_recommender import answer_histories, answer_seeds, check_top_k
 from shelfmate.schemas import ITEM, USER
 from shelfmate.session import cut_lineage, ensure_checkpoint_dir
 
 # Spark reads a zero preference as "not observed".
 SMALLEST_PREFERENCE = 1e-6
+CELLS_PER_BLOCK = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -41,13 +42,14 @@ def fit_factors(cells: DataFrame, params: AlsParams) -> tuple[DataFrame, DataFra
 
     Spark weighs a cell ``1 + alpha * r``; feeding ``r = c - 1`` with alpha 1 gives the same
     weight c. Its ridge term is scaled by the number of cells of the user or item.
-    Block counts follow the cluster, so a block stays small as the data grows.
+    Block counts follow the number of cells, so a block stays small as the data grows. (The cells of one hot user
+    or item stay in one block; Spark's ALS does not split them.)
     """
     if params.alpha <= 0:
         raise ValueError("alpha must be positive")
     spark = cells.sparkSession
     ensure_checkpoint_dir(spark)
-    blocks = max(10, spark.sparkContext.defaultParallelism)
+    blocks = max(10, spark.sparkContext.defaultParallelism, -(-cells.count() // CELLS_PER_BLOCK))
     als = ALS(
         rank=params.factors,
         maxIter=params.iterations,
@@ -118,6 +120,10 @@ class AlsRecommender:
         iterations read a small table instead of repeating the joins."""
         spark = interactions.sparkSession
         rows = observed_ratings(interactions, params)
+        # What the rows are derived from (filters, a holdout) is evaluated once.
+        wanted = [c for c in (USER, ITEM, "rating", "product_title") if c in rows.columns]
+        rows.select(*wanted).write.mode("overwrite").parquet(f"{path}/rows")
+        rows = spark.read.parquet(f"{path}/rows")
         if "product_title" not in rows.columns:
             rows = rows.withColumn("product_title", F.lit(None).cast("string"))
         build_catalogue(rows).write.mode("overwrite").parquet(f"{path}/catalogue")
@@ -170,6 +176,16 @@ class AlsRecommender:
         queries = cut_lineage(fold_in(histories, items, self.params.regularization))
         return self._described(top_items(queries, items, top_k, exclude=histories.select("query", "item_idx")))
 
+    def recommend_item_histories(self, histories: DataFrame, top_k: int = 10) -> DataFrame:
+        """Top items for histories (query, asin) given by item key, with a row for each history that is unknown."""
+        catalogue = self.tables["catalogue"]
+        known = histories.join(catalogue.select(ITEM, "item_idx"), ITEM).join(
+            self.tables["item_factors"].select("item_idx"), "item_idx", "left_semi"
+        )
+        known = cut_lineage(known.select("query", "item_idx"))
+        ranked = self.recommend_histories(known, top_k).select("query", "rank", "item_idx", "score")
+        return answer_histories(ranked, known, histories, catalogue)
+
     def similar(self, seeds: DataFrame, top_k: int = 10) -> DataFrame:
         """Items close to each seed (column ``seed``, an item key) in factor space."""
         check_top_k(top_k)
@@ -179,5 +195,5 @@ class AlsRecommender:
         near = near.select(F.col("query").alias("item_idx"), "rank", F.col("item_idx").alias("other_idx"), "score")
         return answer_seeds(near, catalogue, seeds)
 
-    def search(self, queries: list[str], limit: int = 10) -> DataFrame:
+    def search(self, queries: list[str] | DataFrame, limit: int = 10) -> DataFrame:
         return search_titles(self.tables["catalogue"], queries, limit)

@@ -31,7 +31,8 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(
+    """Promoted parts have no metadata, so that a left join has rows without a match."""
+    return table(spark, sf_dir, "part").where(F.col("p_type") != "PROMO").select(
         F.col("p_partkey").cast("string").alias("parent_asin"),
         F.col("p_name").alias("product_title"),
         F.col("p_type").alias("main_category"),

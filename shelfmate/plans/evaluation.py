@@ -20,7 +20,7 @@ def evaluate_knn(
     ks: list[int],
     n_users: int = 1000,
     min_history: int = 5,
-    max_history: int = 50,
+    max_history: int = 0,
     seed: int = 42,
 ) -> DataFrame:
     """Random leave-one-out on a stored model, which has seen the targets.
@@ -30,7 +30,8 @@ def evaluate_knn(
     split = cut_lineage(leave_one_out(model.cells, n_users, min_history, max_history, seed))
     histories = split.where(F.col("pos") > 0).select(F.col(USER).alias("query"), "pos", ITEM)
     targets = split.where(F.col("pos") == 0).select(F.col(USER).alias("query"), ITEM)
-    answers = drop_unknown_items(model.recommend_histories(histories, max(ks)), model.catalogue, "query", ITEM)
+    found = model.recommend_histories(histories, max(ks)).where(F.col("status") == "ok").drop("status")
+    answers = drop_unknown_items(found, model.catalogue, "query", ITEM)
     return rank_metrics(target_ranks(answers, targets, ["query", ITEM]), ks)
 
 

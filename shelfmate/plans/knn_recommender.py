@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfmate.operators.cleaning import coerce_rating
 from shelfmate.operators.identity import item_titles, title_or_default
+from shelfmate.operators.joins import splittable_join
 from shelfmate.operators.knn import cosine_neighbours
 from shelfmate.operators.matrix import coded_items, rating_matrix
 from shelfmate.operators.search import search_titles
@@ -21,36 +23,27 @@ def check_top_k(top_k: int) -> None:
 
 
 def answer_seeds(neighbours: DataFrame, catalogue: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(seed, rank, asin, title, score, status) from (item_idx, rank, other_idx, score).
+    """(seed, seed_title, rank, asin, title, score, status) from (item_idx, rank, other_idx, score).
 
-    A seed the catalogue does not know gives one row with status ``not_found``.
+    Every seed asked for has at least one row: one the catalogue does not know has status ``not_found``, a
+    known one without neighbours ``no_neighbours``.
     """
-    asked = seeds.select("seed").distinct().join(
-        catalogue.select(F.col(ITEM).alias("seed"), "item_idx"), "seed", "left"
+    known = catalogue.select(F.col(ITEM).alias("seed"), "item_idx", title_or_default().alias("seed_title"))
+    asked = seeds.select("seed").distinct().join(known, "seed", "left")
+    target = catalogue.select(F.col("item_idx").alias("other_idx"), ITEM, title_or_default().alias("title"))
+    listed = splittable_join(neighbours, target, ["other_idx"], "left")
+    status = (
+        F.when(F.col("item_idx").isNull(), F.lit("not_found")).when(F.col("rank").isNull(), F.lit("no_neighbours")).otherwise(F.lit("ok"))
     )
-    target = catalogue.select(F.col("item_idx").alias("other_idx"), ITEM, "title")
-    found = (
-        asked.where(F.col("item_idx").isNotNull())
-        .join(neighbours, "item_idx")
-        .join(target, "other_idx", "left")
-        .select(
-            "seed",
-            "rank",
-            F.coalesce(ITEM, F.lit("")).alias(ITEM),
-            title_or_default().alias("title"),
-            "score",
-            F.lit("ok").alias("status"),
-        )
-    )
-    missing = asked.where(F.col("item_idx").isNull()).select(
+    return asked.join(listed, "item_idx", "left").select(
         "seed",
-        F.lit(None).cast("int").alias("rank"),
-        F.lit(None).cast("string").alias(ITEM),
-        F.lit(None).cast("string").alias("title"),
-        F.lit(None).cast("double").alias("score"),
-        F.lit("not_found").alias("status"),
+        "seed_title",
+        "rank",
+        F.when(F.col("rank").isNotNull(), F.coalesce(ITEM, F.lit(""))).alias(ITEM),
+        F.when(F.col("rank").isNotNull(), title_or_default()).alias("title"),
+        "score",
+        status.alias("status"),
     )
-    return found.unionByName(missing)
 
 
 def recommend_seeds(cells: DataFrame, catalogue: DataFrame, seeds: DataFrame, top_k: int = 10, **options) -> DataFrame:
@@ -67,9 +60,10 @@ def recommend_seeds(cells: DataFrame, catalogue: DataFrame, seeds: DataFrame, to
 def recommend_histories(
     cells: DataFrame, catalogue: DataFrame, histories: DataFrame, top_k: int = 10, **options
 ) -> DataFrame:
-    """(query, rank, asin, item_idx, title, score) for histories (query, pos, asin).
+    """(query, rank, asin, item_idx, title, score, status) for histories (query, pos, asin).
 
-    Neighbour lists are taken in history order, each top_k + history length long, so the
+    Every history has at least one row: without a known item its status is ``not_found``, without an answer
+    ``no_neighbours``. Neighbour lists are taken in history order, each top_k + history length long, so the
     list of the first known item always fills the answer: the result is that item's
     neighbours without the history. Each first item is searched once, as deep as the
     longest history that starts with it needs.
@@ -87,13 +81,51 @@ def recommend_histories(
         known.select("query", "item_idx"), ["query", "item_idx"], "left_anti"
     )
     ranked = unseen.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("place")))
-    return (
-        ranked.where(F.col("rank") <= top_k)
-        .join(catalogue, "item_idx", "left")
-        .select(
-            "query", "rank", F.coalesce(ITEM, F.lit("")).alias(ITEM), "item_idx", title_or_default().alias("title"), "score"
-        )
+    return answer_histories(ranked.where(F.col("rank") <= top_k), first, histories, catalogue)
+
+
+def answer_histories(ranked: DataFrame, known: DataFrame, histories: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Ranked answers (query, rank, item_idx, score) with titles, and a row for each history without any."""
+    listed = ranked.select("query", "rank", "item_idx", "score").join(
+        catalogue.select("item_idx", ITEM, title_or_default().alias("title")), "item_idx", "left"
     )
+    asked = histories.select("query").distinct().join(
+        known.select("query").distinct().withColumn("_known", F.lit(True)), "query", "left"
+    )
+    status = F.when(F.col("_known").isNull(), F.lit("not_found")).when(F.col("rank").isNull(), F.lit("no_neighbours"))
+    return asked.join(listed, "query", "left").select(
+        "query",
+        "rank",
+        F.when(F.col("rank").isNotNull(), F.coalesce(ITEM, F.lit(""))).alias(ITEM),
+        "item_idx",
+        F.when(F.col("rank").isNotNull(), title_or_default()).alias("title"),
+        "score",
+        status.otherwise(F.lit("ok")).alias("status"),
+    )
+
+
+def recommend_histories_by_score(
+    cells: DataFrame, catalogue: DataFrame, histories: DataFrame, top_k: int = 10, how: str = "sum", **options
+) -> DataFrame:
+    """Like recommend_histories, but each candidate is scored by the sum or maximum of its similarities to
+    all items of the history, taken from each item's ``top_k`` nearest; ties by item code.
+
+    Equal pairs of history and item count once. Lists are searched once per item, top_k deep.
+    """
+    check_top_k(top_k)
+    if how not in ("sum", "max"):
+        raise ValueError("how must be sum or max")
+    known = histories.join(catalogue.select(ITEM, "item_idx"), ITEM).select("query", "item_idx").distinct()
+    seeds = known.select("item_idx").distinct().withColumn("k", F.lit(top_k))
+    near = cosine_neighbours(cells, catalogue, top_k, seeds=seeds, **options)
+    met = splittable_join(known, near, ["item_idx"], "inner").select("query", F.col("other_idx").alias("item_idx"), "score")
+    # Sums of whole steps, so that they do not depend on the order of addition.
+    total = F.sum(F.round(F.col("score") * 1e9).cast("long")) if how == "sum" else F.max(F.round(F.col("score") * 1e9).cast("long"))
+    scored = met.groupBy("query", "item_idx").agg((total / F.lit(1e9)).alias("score"))
+    unseen = splittable_join(scored, known, ["query", "item_idx"], "left_anti")
+    order = W.partitionBy("query").orderBy(F.desc("score"), "item_idx")
+    ranked = unseen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    return answer_histories(ranked, known, histories, catalogue)
 
 
 def model_catalogue(cells: DataFrame, interactions: DataFrame) -> DataFrame:
@@ -112,7 +144,7 @@ class KnnRecommender:
     def fit(cls, interactions: DataFrame, path: str) -> "KnnRecommender":
         """Write both tables once; every later query scans them instead of the reviews."""
         spark = interactions.sparkSession
-        rating_matrix(interactions).write.mode("overwrite").parquet(f"{path}/cells")
+        rating_matrix(coerce_rating(interactions)).write.mode("overwrite").parquet(f"{path}/cells")
         catalogue = model_catalogue(spark.read.parquet(f"{path}/cells"), interactions)
         catalogue.write.mode("overwrite").parquet(f"{path}/catalogue")
         return cls.load(spark, path)
@@ -130,7 +162,10 @@ class KnnRecommender:
     def recommend_histories(self, histories: DataFrame, top_k: int = 10) -> DataFrame:
         return recommend_histories(self.cells, self.catalogue, histories, top_k)
 
-    def search(self, queries: list[str], limit: int = 10) -> DataFrame:
+    def recommend_histories_by_score(self, histories: DataFrame, top_k: int = 10, how: str = "sum") -> DataFrame:
+        return recommend_histories_by_score(self.cells, self.catalogue, histories, top_k, how)
+
+    def search(self, queries: list[str] | DataFrame, limit: int = 10) -> DataFrame:
         return search_titles(self.catalogue, queries, limit)
 
     def health(self) -> DataFrame:

@@ -17,8 +17,8 @@ INTERACTION_COLUMNS = [
     "main_category",
 ]
 
-# Ratings come as numbers in some files and as text in others, so they are read as text
-# and turned into numbers by operators.cleaning.coerce_rating.
+# The fields of a review record. Any field may come as a number in one file and as text in
+# another, so all are read as text; numbers are made of them afterwards, and no record is lost over a type.
 RAW_REVIEW = T.StructType(
     [
         T.StructField("user_id", T.StringType()),
@@ -26,10 +26,11 @@ RAW_REVIEW = T.StructType(
         T.StructField("parent_asin", T.StringType()),
         T.StructField("asin", T.StringType()),
         T.StructField("rating", T.StringType()),
-        T.StructField("timestamp", T.LongType()),
+        T.StructField("timestamp", T.StringType()),
     ]
 )
 
+# The fields of the category configuration.
 CATEGORY_CONFIG = T.StructType(
     [
         T.StructField(

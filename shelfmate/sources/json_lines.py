@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmate.functions.columns import is_json_object, json_text
+from shelfmate.functions.columns import json_object, json_text, whole_number
 from shelfmate.schemas import JOIN_KEY, RAW_REVIEW
 
 # A metadata file is read three times as far as the review file when a limit is set.
@@ -20,33 +20,23 @@ def shape_reviews(raw: DataFrame) -> DataFrame:
         F.col("asin"),
         F.col("rating"),
         F.col("text").alias("reviewText"),
-        F.col("timestamp"),
+        whole_number(F.col("timestamp")).alias("timestamp"),
         F.coalesce("parent_asin", "asin").alias(JOIN_KEY),
     )
 
 
 def read_reviews(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Reviews with an explicit schema: one pass, only the six fields are parsed.
+    """Reviews with an explicit schema; only the six fields are parsed, all as text.
 
-    With ``limit`` the first ``limit`` physical lines are taken before parsing, so
-    malformed lines count towards the limit but give no row.
+    Lines that are no complete JSON object give no row, whatever the limit. With ``limit`` the first
+    ``limit`` physical lines are taken before parsing, so malformed lines count towards it.
     """
-    if limit is not None:
-        lines = first_lines(spark, path, limit).where(is_json_object(F.col("value")))
-        raw = lines.select(F.from_json("value", RAW_REVIEW).alias("r")).select("r.*")
-        return shape_reviews(raw)
-    corrupt = "_malformed"
-    raw = (
-        spark.read.schema(T.StructType([*RAW_REVIEW.fields, T.StructField(corrupt, T.StringType())]))
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", corrupt)
-        .option("allowSingleQuotes", "false")
-        .json(path)
-    )
-    # Naming data columns here keeps a bare count() valid: Spark refuses a JSON scan
-    # whose only column is the malformed-record one.
-    has_key = F.coalesce("user_id", "asin", "parent_asin").isNotNull()
-    return shape_reviews(raw.where(F.col(corrupt).isNull() & has_key))
+    lines = spark.read.text(path) if limit is None else first_lines(spark, path, limit)
+    trimmed = F.trim("value")
+    schema = T.StructType([*RAW_REVIEW.fields, T.StructField("_malformed", T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed", "allowSingleQuotes": "false"}
+    parsed = lines.where(trimmed.startswith("{") & trimmed.endswith("}")).select(F.from_json("value", schema, options).alias("r"))
+    return shape_reviews(parsed.select("r.*").where(F.col("_malformed").isNull()))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -80,14 +70,15 @@ def read_metadata(spark: SparkSession, path: str, limit: int | None = None, key_
         lines = first_lines(spark, path, METADATA_LINES_PER_REVIEW_LINE * limit)
     else:
         lines = numbered_lines(spark, path)
-    line = F.col("value")
-    key = json_text(line, "parent_asin")
+    parsed = lines.select(json_object(F.col("value")).alias("record"), "position").where(F.col("record").isNotNull())
+    record = F.col("record")
+    key = json_text(record, "parent_asin")
     if key_fallback:
-        key = F.coalesce(key, json_text(line, "asin"))
-    records = lines.where(is_json_object(line)).select(
+        key = F.coalesce(key, json_text(record, "asin"))
+    records = parsed.select(
         key.alias(JOIN_KEY),
-        json_text(line, "title").alias("product_title"),
-        json_text(line, "main_category").alias("main_category"),
+        json_text(record, "title").alias("product_title"),
+        json_text(record, "main_category").alias("main_category"),
         "position",
     )
     return first_per_key(records.where(F.col(JOIN_KEY) != ""), JOIN_KEY, F.col("position"))

@@ -7,31 +7,75 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shelfmate.functions.columns import safe_file_name
+from shelfmate.functions.columns import safe_file_name, strict_number
 from shelfmate.schemas import CATEGORY_CONFIG, INTERACTION_COLUMNS
 
 
 def read_shards(spark: SparkSession, paths: list[str], columns: list[str] | None = None) -> DataFrame:
-    """Concatenate interaction shards whose column types may differ.
+    """Concatenate interaction shards whose column types may differ: files, folders or globs, each of
+    which may mix types.
 
-    Shards are grouped by schema (a footer read each), every group is one scan, and
-    columns whose type differs between groups become text before the union. So the plan
-    grows with the number of distinct schemas, not with the number of shards.
+    The files are listed by Spark and grouped by schema, whose footers are read by tasks; every group is one scan,
+    and columns whose type differs between groups become text before the union. So the plan grows with the
+    number of distinct schemas, not with the number of files.
     """
-    if not paths:
+    groups = files_by_schema(spark, paths)
+    if not groups:
         raise ValueError("no shard matched")
-    groups: dict[tuple, list[str]] = defaultdict(list)
-    for path in sorted(paths):
-        groups[tuple(spark.read.parquet(path).dtypes)].append(path)
+    return union_of_types(
+        {schema: spark.read.parquet(*members) for schema, members in groups.items()}, columns
+    )
+
+
+def _footers(batches):
+    """(file, its columns and types) for each file, read where Python can reach it; NULL elsewhere."""
+    import json
+    from urllib.parse import unquote, urlparse
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    for batch in batches:
+        found = []
+        for path in batch.column(0).to_pylist():
+            parsed = urlparse(path)
+            try:
+                if parsed.scheme in ("", "file"):
+                    schema = pq.read_schema(unquote(parsed.path))
+                else:
+                    system, inner = fs.FileSystem.from_uri(path)
+                    with system.open_input_file(inner) as source:
+                        schema = pq.read_schema(source)
+                found.append(json.dumps([[f.name, str(f.type)] for f in schema]))
+            except (OSError, ValueError, ImportError):
+                found.append(None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["path", "schema"])
+
+
+def files_by_schema(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Parquet files under the paths, grouped by schema. File names reach the driver, as for any scan. Files only
+    Spark can open are asked for their schema through Spark, one by one."""
+    if not paths:
+        return {}
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[!_.]*").load(paths)
+    named = files.select("path").repartition(max(1, min(200, spark.sparkContext.defaultParallelism)))
+    groups: dict[str, list[str]] = defaultdict(list)
+    for path, schema in named.mapInArrow(_footers, "path string, schema string").collect():
+        groups[schema or str(spark.read.parquet(path).dtypes)].append(path)
+    return {schema: sorted(members) for schema, members in sorted(groups.items())}
+
+
+def union_of_types(frames: dict[str, DataFrame], columns: list[str] | None = None) -> DataFrame:
     types = defaultdict(set)
-    for schema in groups:
-        for name, dtype in schema:
+    for frame in frames.values():
+        for name, dtype in frame.dtypes:
             types[name].add(dtype)
     parts = []
-    for schema, members in groups.items():
-        frame = spark.read.parquet(*members)
-        wanted = [name for name, _ in schema if columns is None or name in columns]
+    for frame in frames.values():
+        wanted = [name for name in frame.columns if columns is None or name in columns]
         parts.append(
             frame.select([F.col(n).cast("string").alias(n) if len(types[n]) > 1 else F.col(n) for n in wanted])
         )
@@ -40,7 +84,11 @@ def read_shards(spark: SparkSession, paths: list[str], columns: list[str] | None
 
 def interaction_columns(df: DataFrame, leading: list[str] | None = None) -> DataFrame:
     """The seven columns in order, after any ``leading`` ones; those that do not exist (no
-    metadata given) are NULL."""
+    metadata given) are NULL. The rating becomes a number, NULL where it is none; the row stays."""
+    if "rating" in df.columns:
+        rating = F.col("rating")
+        text = isinstance(df.schema["rating"].dataType, T.StringType)
+        df = df.withColumn("rating", strict_number(rating) if text else rating.cast("double"))
     columns = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in INTERACTION_COLUMNS]
     return df.select(*(leading or []), *columns)
 

@@ -38,3 +38,21 @@ def test_from_json_lines_to_answers(spark, tmp_path, monkeypatch):
     )
     report = spark.read.json(str(tmp_path / "als")).first()
     assert report.n_evaluated == 20 and report.n_items == 15
+
+    # the same with a second part file whose ratings are text
+    spark.read.parquet(str(tmp_path / "t")).selectExpr(
+        "reviewerID", "asin", "CAST(rating AS STRING) AS rating", "reviewText", "timestamp + 1000 AS timestamp", "product_title", "main_category"
+    ).write.mode("append").parquet(str(tmp_path / "t"))
+    run(monkeypatch, "evaluate-als", "--path", tmp_path / "t", "--factors", 3, "--iterations", 2, "--ks", 5, "--output", tmp_path / "als2")
+    assert spark.read.json(str(tmp_path / "als2")).first().nnz_train >= report.nnz_train
+
+    histories = [("q", 1, "p3"), ("q", 2, "p4"), ("r", 1, "gone")]
+    spark.createDataFrame(histories, "query string, pos int, asin string").write.parquet(str(tmp_path / "h"))
+    for kind, model in (("knn", "knn"), ("als", "als_model")):
+        run(
+            monkeypatch, "recommend-history", "--kind", kind, "--model", tmp_path / model, "--history-table", tmp_path / "h",
+            "--top-k", 3, "--output", tmp_path / f"answers-{kind}",
+        )
+        found = spark.read.parquet(str(tmp_path / f"answers-{kind}")).collect()
+        assert sorted((r.query, r.status) for r in found) == [("q", "ok")] * 3 + [("r", "not_found")]
+        assert not {r.asin for r in found} & {"p3", "p4"}

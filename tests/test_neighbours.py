@@ -40,6 +40,7 @@ def test_fixture_neighbours(spark, small):
     assert got == [
         ("i1", 1, "i3", "T i3", 0.624695, "ok"),
         ("i1", 2, "i2", "T i2", round(15 / math.sqrt(41 * 34), 6), "ok"),
+        ("i4", None, None, None, None, "no_neighbours"),
         ("zz", None, None, None, None, "not_found"),
     ]
 
@@ -50,10 +51,30 @@ def test_fixture_history(spark, small):
         [("q", 1, "i1"), ("q", 2, "i2"), ("r", 1, "gone"), ("r", 2, "i3"), ("s", 1, "gone")],
         "query string, pos int, asin string",
     )
-    got = rows(kr.recommend_histories(cells, catalogue, histories, 2), "query", "rank", "asin")
-    assert got == [("q", 1, "i3"), ("r", 1, "i1")]
+    got = rows(kr.recommend_histories(cells, catalogue, histories, 2), "query", "rank", "asin", "status")
+    assert got == [("q", 1, "i3", "ok"), ("r", 1, "i1", "ok"), ("s", None, None, "not_found")]
+    both = rows(kr.recommend_histories_by_score(cells, catalogue, histories, 2), "query", "rank", "asin")
+    assert both == [("q", 1, "i3"), ("r", 1, "i1"), ("s", None, None)]
 
 
+def test_tiny_similarities_stay(spark):
+    """Two items that share one user among very many others: similarity far below 1e-9, still neighbours."""
+    cells = spark.createDataFrame(
+        [("u", "a", 1.0), ("u", "b", 1.0), ("v", "a", 60000.0), ("w", "b", 60000.0)], "reviewerID string, asin string, w double"
+    )
+    items = matrix.coded_items(cells)
+    assert knn.cosine_neighbours(cells, items, 5).count() == 2
+    assert knn.cosine_neighbours(cells, items, 5, seeds=items.select("item_idx", F.lit(1).alias("k"))).count() == 2
+
+
+def test_bad_ratings_do_not_stop_training(spark, tmp_path):
+    rows_ = [("u1", "a", "5"), ("u1", "b", "4.0"), ("u2", "a", "abc"), ("u2", "b", None), ("u3", "c", "NaN")]
+    text = spark.createDataFrame(rows_, SCHEMA.replace("rating double", "rating string")).withColumn("product_title", F.lit("t"))
+    assert kr.KnnRecommender.fit(text, str(tmp_path / "text")).neighbours(3).count() == 2
+    number = spark.createDataFrame([("u1", "a", 5.0), ("u1", "b", 4.0), ("u2", "a", float("nan"))], SCHEMA)
+    number = number.withColumn("product_title", F.lit("t"))
+    assert kr.KnnRecommender.fit(number, str(tmp_path / "number")).neighbours(3).count() == 2
+
 @pytest.mark.parametrize("top_k", [0, 101])
 def test_top_k_bounds(spark, small, top_k):
     with pytest.raises(ValueError):

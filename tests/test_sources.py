@@ -91,6 +91,32 @@ def test_reviews(spark, tmp_path):
     assert rows(out) == [("u1", "a", "4.0", "t", 7, "P"), ("u2", "b", "5", "t", 8, "b")]
 
 
+def test_no_record_is_lost_over_a_type(spark, tmp_path):
+    lines = [
+        '{"user_id":"u1","asin":"a","timestamp":"1600000000"}',
+        '{"user_id":"u2","asin":"a","timestamp":1.6e12}',
+        '{"user_id":3,"asin":"a","timestamp":{"x":1},"rating":[1]}',
+        '{"text":"no key"}',
+    ]
+    path = write(tmp_path / "r.jsonl", lines)
+    want = [(None, None), ("3", None), ("u1", 1600000000), ("u2", 1600000000000)]
+    for limit in (None, 10):
+        assert rows(json_lines.read_reviews(spark, path, limit), "reviewerID", "timestamp") == sorted(want, key=repr)
+
+
+def test_a_folder_may_mix_types(spark, tmp_path):
+    spark.createDataFrame([("u", 4.0)], "reviewerID string, rating double").write.parquet(str(tmp_path / "t"))
+    spark.createDataFrame([("v", "5")], "reviewerID string, rating string").write.mode("append").parquet(str(tmp_path / "t"))
+    for path in (tmp_path / "t", tmp_path / "t" / "*.parquet"):
+        assert rows(coerce_rating(tables.read_shards(spark, [str(path)]))) == [("u", 4.0), ("v", 5.0)]
+
+
+def test_the_sink_stores_numbers(spark, tmp_path):
+    frame = spark.createDataFrame([("u", "a", "4.0"), ("v", "a", "abc")], "reviewerID string, asin string, rating string")
+    tables.write_interactions(frame, str(tmp_path / "t"))
+    assert rows(spark.read.parquet(str(tmp_path / "t")), "reviewerID", "rating") == [("u", 4.0), ("v", None)]
+
+
 def test_shards_with_different_rating_types(spark, tmp_path):
     spark.createDataFrame([("u", "a", 4.0)], "reviewerID string, asin string, rating double").write.parquet(str(tmp_path / "1"))
     spark.createDataFrame([("v", "b", "5"), ("w", "c", "bad")], "reviewerID string, asin string, rating string").write.parquet(
