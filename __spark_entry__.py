@@ -704,7 +704,7 @@ UNION ALL SELECT 'n_items', count(DISTINCT asin) FROM cells UNION ALL SELECT 'n_
 FROM inter WHERE l_linenumber NOT IN (3, 4, 5, 6)""",
         "min_rating": f'WITH {INTER} SELECT reviewerID, asin, rating, "timestamp" FROM inter WHERE rating >= 4',
         "confidence": f"WITH {INTER} SELECT {ROWS}, 1 + 40 * rating AS c FROM inter",
-        "join_meta": f"""WITH {INTER}, {META} SELECT {SEVEN}, parent_asin FROM inter LEFT JOIN meta ON asin = parent_asin""",
+        "join_meta": f"""WITH {INTER}, {META} SELECT {SEVEN}, asin AS parent_asin FROM inter LEFT JOIN meta ON asin = meta.parent_asin""",
         "core_filter": core_filter_sql(6, 11),
         "core_filter_strict": core_filter_sql(30, 28),
         "dedup_meta": f"""WITH {EVENTS} SELECT asin, category, value FROM ev
