@@ -13,10 +13,10 @@ from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import DataFrame, SparkSession, Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from shelfmate.functions.columns import clean_text, confidence, hybrid_score, recency_confidence  # noqa: E402
+from shelfmate.functions.columns import clean_text, confidence, dot, hybrid_score, recency_confidence  # noqa: E402
 from shelfmate.operators import cleaning, factors, holdout, identity, matrix, metrics, profile, quantiles  # noqa: E402
 from shelfmate.operators.search import search_titles  # noqa: E402
 from shelfmate.plans import als_recommender, categories, evaluation, knn_recommender  # noqa: E402
@@ -578,6 +578,67 @@ def q_als_recommend_user(spark, sf):
     return model.recommend_users(model.tables["users"], 10)
 
 
+def checked_answers(answers, queries, items, seen):
+    """(query, n, n_seen, exact) of ranked answers: how many, how many of them excluded pairs, and whether every
+    score is the product of its vectors and the ranks follow the scores."""
+    vectors = answers.join(queries.select("query", F.col("vector").alias("x")), "query").join(
+        items.select("item_idx", F.col("vector").alias("y")), "item_idx"
+    )
+    before = F.lag("score").over(Window.partitionBy("query").orderBy("rank"))
+    right = (F.abs(F.col("score") - dot(F.col("x"), F.col("y"))) < 1e-6) & F.coalesce(before >= F.col("score"), F.col("rank") == 1)
+    flagged = vectors.withColumn("right", right).join(
+        seen.select("query", "item_idx").distinct().withColumn("known", F.lit(True)), ["query", "item_idx"], "left"
+    )
+    return flagged.groupBy("query").agg(
+        F.count(F.lit(1)).alias("n"), F.count("known").alias("n_seen"), F.every("right").alias("exact")
+    )
+
+
+def q_als_recommend_checked(spark, sf):
+    """Answers for every trained user against the stored factors and cells."""
+    model = fitted_als(spark, sf)
+    parts = model.tables
+    answers = cut_lineage(model.recommend_users(parts["users"], 10))
+    checked = checked_answers(
+        answers,
+        parts["user_factors"].withColumnRenamed("user_idx", "query"),
+        parts["item_factors"],
+        parts["cells"].withColumnRenamed("user_idx", "query"),
+    )
+    return checked.join(parts["users"].withColumnRenamed("user_idx", "query"), "query").select("reviewerID", "n", "n_seen", "exact")
+
+
+def q_als_similar_checked(spark, sf):
+    """Similar items of every trained item against the stored factors."""
+    model = fitted_als(spark, sf)
+    near = cut_lineage(factors.similar_items(model.tables["item_factors"], 5))
+    units = factors.unit_length(model.tables["item_factors"], "vector")
+    itself = units.select(F.col("item_idx").alias("query"), "item_idx")
+    checked = checked_answers(near, units.withColumnRenamed("item_idx", "query"), units, itself)
+    names = model.tables["catalogue"].select(F.col("item_idx").alias("query"), "asin")
+    return checked.join(names, "query").select("asin", "n", "n_seen", "exact")
+
+
+def q_als_foldin_recommend_checked(spark, sf):
+    """Answers for histories outside the model; als_foldin checks the vectors themselves."""
+    items, histories = embedded_items(spark, sf), event_histories(spark, sf)
+    vectors = cut_lineage(factors.fold_in(histories, items, ALS.regularization))
+    answers = cut_lineage(factors.top_items(vectors, items, 10, exclude=histories))
+    return checked_answers(answers, vectors, items, histories)
+
+
+def q_eval_report_als_counts(spark, sf):
+    """What of the report SQL can tell; of the metrics, that they are shares and grow with K."""
+    path = scratch_path(spark, "als-model")
+    row = evaluation.evaluate_als(interactions(spark, sf), ROW_ID, path, KS, ALS)
+    grows = F.lit(True)
+    for low, high in zip(KS, KS[1:]):
+        grows &= (F.col(f"hit_at_{low}") <= F.col(f"hit_at_{high}")) & (F.col(f"ndcg_at_{low}") <= F.col(f"ndcg_at_{high}"))
+    shares = (F.col(f"hit_at_{KS[-1]}") <= 1) & (F.col(f"mrr_at_{KS[-1]}") <= F.col(f"hit_at_{KS[-1]}"))
+    counts = ["n_users", "n_items", "nnz_train", "n_already_seen", "n_evaluated"]
+    return row.select(*counts, (grows & shares).alias("plausible"))
+
+
 def q_als_similar(spark, sf):
     seeds = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("seed"))
     return fitted_als(spark, sf).similar(seeds, 5)
@@ -851,6 +912,23 @@ s AS (SELECT query, item_idx, round(list_dot_product(u.v, e.v), 9) AS score FROM
   WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.query = u.query AND seen.item_idx = e.item_idx)),
 k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, item_idx) AS INTEGER) AS rank FROM s)
 SELECT query, rank, item_idx, round(score, 6) AS score FROM k WHERE rank <= 10""",
+        "als_recommend_checked": f"""WITH {INTER}, pairs AS (SELECT DISTINCT reviewerID, asin FROM inter WHERE rating >= 4)
+SELECT reviewerID, least(10, (SELECT count(DISTINCT asin) FROM pairs) - count(*)) AS n, 0 AS n_seen, true AS exact
+FROM pairs GROUP BY reviewerID""",
+        "als_similar_checked": f"""WITH {INTER}, items AS (SELECT DISTINCT asin FROM inter WHERE rating >= 4)
+SELECT asin, least(5, (SELECT count(*) FROM items) - 1) AS n, 0 AS n_seen, true AS exact FROM items""",
+        "als_foldin_recommend_checked": f"""WITH {EVENTS},
+pairs AS (SELECT DISTINCT reviewerID AS query, CAST(asin AS INTEGER) AS item_idx FROM ev WHERE asin IS NOT NULL)
+SELECT query, least(10, (SELECT count(*) FROM embeddings) - count(*) FILTER (WHERE item_idx IN (SELECT vec_id FROM embeddings))) AS n,
+  0 AS n_seen, true AS exact FROM pairs GROUP BY query""",
+        "eval_report_als_counts": f"""WITH {INTER}, r AS (
+  SELECT *, row_number() OVER (PARTITION BY reviewerID ORDER BY "timestamp" DESC, {ROWS}) AS rn,
+         count(*) OVER (PARTITION BY reviewerID) AS n FROM inter WHERE rating >= 4 AND "timestamp" IS NOT NULL),
+train AS (SELECT DISTINCT reviewerID, asin FROM r WHERE rn > 1),
+targets AS (SELECT reviewerID, asin FROM r WHERE rn = 1 AND n >= 5 ORDER BY md5('42-' || reviewerID), 1 LIMIT 1000)
+SELECT (SELECT count(DISTINCT reviewerID) FROM r) AS n_users, (SELECT count(DISTINCT asin) FROM r) AS n_items,
+  (SELECT count(*) FROM train) AS nnz_train, (SELECT count(*) FROM targets SEMI JOIN train USING (reviewerID, asin)) AS n_already_seen,
+  (SELECT count(*) FROM targets) AS n_evaluated, true AS plausible""",
         "als_foldin": f"WITH {EVENTS} SELECT reviewerID AS query, count(*) AS n, true AS solved FROM ev GROUP BY 1",
         "als_fit": f"""WITH {INTER} SELECT reviewerID, count(DISTINCT asin) AS n_cells, true AS solved FROM inter
 WHERE rating >= 4 GROUP BY 1""",
