@@ -6,7 +6,9 @@ exchange mass so that their expected words together never change, until one of t
 What is left of a block is one document with a fraction; the next level of a reduction tree pairs those
 residuals, until one per source remains, which is rounded at random. So a source misses its
 target by less than that last document, and each document is copied with its own probability. Blocks are
-worked off from the largest document to the smallest, so the last one is small.
+worked off from the largest document to the smallest, so the last one is small; a document too large to be paired
+exchanges mass with the whole rest of its block, and one without which (or with which) its source cannot come to its
+target at all is taken (or left).
 
 Blocks hold about ``block_rows`` documents of one source, dealt by a hash of the document, so a source
 owning a third of all rows is spread over as many tasks as it has blocks. The tree has
@@ -39,6 +41,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST_COPIES = 2
 BLOCK_ROWS = 4096
+LARGE, ODD = 0.02, 3.0
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_COPIES) -> DataFrame:
@@ -99,6 +102,33 @@ def pivot(sizes: np.ndarray, shares: np.ndarray, draws: np.ndarray) -> int:
     return held
 
 
+def settle_large(sizes: np.ndarray, shares: np.ndarray, draws: np.ndarray, large: float = LARGE) -> None:
+    """Decide, in place, the documents that are too large to be paired: those above ``large`` of the words that are
+    still open after them and ODD times their mean. ``sizes`` descend.
+
+    Such a document exchanges mass with all open documents behind it at once, in proportion to share * (1 - share),
+    so that words and expectations stay. Where the others cannot take what its loss would free (or give what it
+    needs) it has only one end at which the target is reached, and goes there; where it has none, it is left.
+    """
+    for i in range(len(sizes)):
+        if not 0.0 < shares[i] < 1.0:
+            continue
+        rest = np.arange(i + 1, len(sizes))
+        rest = rest[(shares[rest] > 0) & (shares[rest] < 1)]
+        if len(rest) == 0 or sizes[i] < max(large * sizes[rest].sum(), ODD * sizes[rest].mean()):
+            break
+        weight = shares[rest] * (1 - shares[rest])
+        step = weight / (sizes[rest] * weight).sum()
+        taken = shares[rest] - sizes[i] * (1 - shares[i]) * step
+        left = shares[rest] + sizes[i] * shares[i] * step
+        can_take, can_leave = taken.min() >= 0, left.max() <= 1
+        if not (can_take or can_leave):
+            continue
+        take = can_take and (not can_leave or draws[i] < shares[i])
+        shares[rest] = np.where(weight > 0, taken if take else left, shares[rest])
+        shares[i] = 1.0 if take else 0.0
+
+
 def _round_block(last: bool, seed: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         # Large documents first: what is left at the end is then about as small as the smallest ones.
@@ -106,6 +136,7 @@ def _round_block(last: bool, seed: int):
         shares = rows["_share"].to_numpy(dtype=np.float64).copy()
         key = [seed, len(rows), int(rows["_order"].iloc[0]) & 0xFFFFFFFFFFFFFFFF]
         draws = np.random.default_rng(key).random(len(rows) + 1)
+        settle_large(rows["_size"].to_numpy(dtype=np.float64), shares, np.random.default_rng([*key, 1]).random(len(rows)))
         held = pivot(rows["_size"].to_numpy(dtype=np.float64), shares, draws)
         if last and held >= 0:
             shares[held] = 1.0 if draws[-1] < shares[held] else 0.0

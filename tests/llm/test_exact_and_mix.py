@@ -91,7 +91,7 @@ def test_mix_meets_targets(spark, block_rows):
         assert r.taken == r.copies * r.size and 0 <= r.copies <= 2
         taken[source[r.doc_id]] += r.taken
         largest[source[r.doc_id]] = max(largest[source[r.doc_id]], r.size)
-    assert all(abs(taken[s] - want[s]) <= largest[s] for s in want)
+    assert all(abs(taken[s] - want[s]) <= max(60, 0.02 * want[s], largest[s] / 2) for s in want)
     assert sum(want.values()) == pytest.approx(1.5 * sum(sizes.values()))
 
 
@@ -111,6 +111,22 @@ def test_mix_expected_copies(spark):
     assert np.abs(hits / 4000 - share).max() < 0.03
 
 
+def test_large_documents_are_settled_first():
+    """Words and expectations stay; a document that dominates its source goes where the target can be met."""
+    import numpy as np
+
+    sizes, hits, total = np.array([180.0, 150, *[40] * 30]), np.zeros(32), 0.37 * 1530
+    for seed in range(3000):
+        shares = np.full(32, 0.37)
+        mixing.settle_large(sizes, shares, np.random.default_rng(seed).random(32))
+        assert set(shares[:2]) <= {0.0, 1.0} and (sizes * shares).sum() == pytest.approx(total)
+        hits += shares
+    assert np.abs(hits / 3000 - 0.37).max() < 0.03
+    shares = np.array([0.65, *[0.65] * 10])
+    mixing.settle_large(np.array([1300.0, *[100] * 10]), shares, np.full(11, 0.99))
+    assert shares[0] == 1 and (shares * [1300.0, *[100] * 10]).sum() == pytest.approx(0.65 * 2300)
+
+
 def test_mix_awkward(spark):
     docs = awkward(spark)
     got = mixing.mix(docs)
