@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,16 @@ def through_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, out of the way of an operator's own names."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A number that follows from a row's values, to choose among rows that agree in all that matters."""
+    return F.xxhash64(*[F.col(f"`{name}`") for name, kind in df.dtypes if not re.search("map<|variant", kind)])
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

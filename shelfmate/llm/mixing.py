@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfmate.llm.common import through_table, word_count
+from shelfmate.llm.common import row_hash, through_table, whole_row, word_count
 
 #: Fixed values of the mix: weights by rank of the source, share of all words, most copies.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -198,10 +198,11 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", **options) -> DataFram
     # Rows that repeat a key are matched by their place among the rows of that key.
     place = Window.partitionBy("_key", "_words").orderBy("_sort")
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        whole_row(docs).alias("_row"),
+        row_hash(docs).alias("_sort"),
         F.col(key).alias("_key"),
         word_count(F.col(options.get("text", "text"))).alias("_words"),
-    ).withColumn("_sort", F.xxhash64("_row"))
+    )
     rows = rows.withColumn("_place", F.row_number().over(place))
     chosen = decided.select(F.col(key).alias("_key"), F.col("size").alias("_words"), F.col("copies").alias("_sort"))
     chosen = chosen.withColumn("_place", F.row_number().over(place))

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfmate.llm.common import WHITE, through_table
+from shelfmate.llm.common import WHITE, row_hash, through_table, whole_row
 from shelfmate.llm.components import components
 from shelfmate.operators.joins import splittable_join
 from shelfmate.session import ship_package
@@ -456,13 +456,14 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", *
     stay = near_classes(docs, key, text, **options).where("kept and node is not null")
     stay = stay.select(F.col(key).alias("_key"), F.col("node").alias("_node"))
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        whole_row(docs).alias("_row"),
+        row_hash(docs).alias("_hash"),
         F.col(key).cast("long").alias("_key"),
         word_digest(F.col(text)).alias("_node"),
     )
     same = F.col("r._key").eqNullSafe(F.col("s._key")) & (F.col("r._node") == F.col("s._node"))
     joined = rows.alias("r").join(stay.alias("s"), same, "left_semi")
-    first = F.row_number().over(Window.partitionBy("_key", "_node").orderBy(F.to_json("_row")))
+    first = F.row_number().over(Window.partitionBy("_key", "_node").orderBy("_hash"))
     one = joined.withColumn("_first", first).where("_first = 1").select("_row.*")
     return one.unionAll(rows.where("_node is null").select("_row.*"))
 

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmate.llm.common import whole_row
 from shelfmate.session import ship_package
 
 #: Fixed values of the task: symbols counted, and the window in words.
@@ -136,7 +137,7 @@ def ablation(book: DataFrame, version: str = "v2") -> DataFrame:
 
 def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", version: str = "v2") -> DataFrame:
     """The rows of ``docs`` that the policy keeps, with all their columns."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
+    whole = docs.select(whole_row(docs).alias("_row"), F.col(text).alias("_text"))
     return apply_policy(ledger(whole, "_row", "_text"), version).where("kept").select("_row.*")
 
 
