@@ -180,6 +180,23 @@ def q_run_report(spark, sf):
     return spark.read.schema(report.schema).json(path).withColumn("total_s", F.round("total_s", 2))
 
 
+def q_category_report(spark, sf):
+    """The category run itself, from files of JSON lines, one folder per product type, to the summary it writes."""
+    root = scratch_path(spark, "category-run")
+    meta = metadata(spark, sf).withColumn("category", F.col("main_category"))
+    reviews = interactions(spark, sf).join(meta.select("parent_asin", "category"), "parent_asin")
+    review = F.to_json(F.struct(F.col("reviewerID").alias("user_id"), "asin", "rating", "timestamp"))
+    product = F.to_json(F.struct("parent_asin", F.col("product_title").alias("title"), "main_category"))
+    reviews.select(review.alias("value"), "category").write.partitionBy("category").text(f"{root}/reviews")
+    meta.select(product.alias("value"), "category").write.partitionBy("category").text(f"{root}/meta")
+    files = [F.concat(F.lit(f"{kind}/category="), "category") for kind in ("reviews", "meta")]
+    entry_ = F.struct(F.col("category").alias("name"), files[0].alias("review_file"), files[1].alias("meta_file"))
+    kinds = meta.select("category").distinct()
+    kinds.agg(F.sort_array(F.collect_list(entry_)).alias("categories")).coalesce(1).write.json(f"{root}/config")
+    categories.run_categories(spark, f"{root}/config", root, f"{root}/out")
+    return spark.read.json(f"{root}/out/timings_multi_summary.json").select("category", "status", "n_rows")
+
+
 def q_recommender_roundtrip(spark, sf):
     path = scratch_path(spark, "knn-model")
     rows = interactions(spark, sf).withColumn("product_title", F.col("reviewText"))
@@ -757,6 +774,12 @@ SELECT CAST(row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS position, name,
   replace(name, ' ', '_') AS safe_name, p_type <> 'PROMO' AS is_valid FROM n""",
         "run_report": f"""WITH {EVENTS} SELECT category, count(*) AS n_rows, count(DISTINCT reviewerID) AS n_users,
   round(sum(value), 2) AS total_s FROM ev GROUP BY category""",
+        "category_report": f"""WITH {INTER}, {META},
+r AS (SELECT reviewerID, asin, main_category AS category FROM inter JOIN meta ON asin = parent_asin),
+u AS (SELECT category, reviewerID FROM r GROUP BY ALL HAVING count(*) >= 6),
+i AS (SELECT category, asin FROM r GROUP BY ALL HAVING count(*) >= 11),
+k AS (SELECT category, count(*) AS n FROM r SEMI JOIN u USING (category, reviewerID) SEMI JOIN i USING (category, asin) GROUP BY 1)
+SELECT category, 'success' AS status, coalesce(n, 0) AS n_rows FROM (SELECT DISTINCT main_category AS category FROM meta) LEFT JOIN k USING (category)""",
         "recommender_roundtrip": f"""WITH {INTER}, {CELLS}
 SELECT 'n_users' AS metric, count(DISTINCT reviewerID) AS v FROM cells
 UNION ALL SELECT 'n_items', count(DISTINCT asin) FROM cells UNION ALL SELECT 'n_cells', count(*) FROM cells""",
