@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -34,7 +36,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
     Only a local session may fall back to a temporary folder, because there all
-    executors live on this machine.
+    executors live on this machine; it goes when the process ends.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -44,6 +46,7 @@ def shared_folder(spark: SparkSession) -> str:
         return sc.getCheckpointDir().rsplit("/", 1)[0]
     if sc.master.startswith("local"):
         folder = tempfile.mkdtemp(prefix="shelfmate-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
         return folder
     raise ValueError("set spark.checkpoint.dir to a folder all executors share")
