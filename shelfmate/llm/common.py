@@ -14,6 +14,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 WHITE = r"[\x20\x09-\x0D]"
 
 
+#: Rows handed to a Python worker at a time. Documents are long, so far fewer than Spark's default: the batch is held by
+#: the JVM and the worker both.
+ROWS_PER_BATCH = 500
+
+
+def prepare(spark: SparkSession) -> None:
+    """Before tasks run Python over texts: the package is on the executors, and batches are small."""
+    ship_package(spark)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(setting)) > ROWS_PER_BATCH:
+        spark.conf.set(setting, ROWS_PER_BATCH)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,7 +34,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def through_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the folder all executors share and read it back: computed once, and a lost
     executor costs no recomputation of what came before."""
-    ship_package(df.sparkSession)
+    prepare(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -40,10 +40,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmate.llm.common import through_table
+from shelfmate.llm.common import prepare, read_table, through_table
 from shelfmate.llm.url_filters import host_of
 from shelfmate.operators.joins import splittable_join
-from shelfmate.session import ship_package
 
 LONGEST = 24
 DEEPEST = 150
@@ -456,7 +455,7 @@ def _combine(rows: pd.DataFrame) -> pd.DataFrame:
 
 def host_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(host, wrapper) of every host."""
-    ship_package(pages.sparkSession)
+    prepare(pages.sparkSession)
     rows = pages.select(F.coalesce(host_of(F.col(url)), F.lit("")).alias("host"), F.col(html))
     parts = rows.mapInArrow(_infer, "host string, wrapper string")
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
@@ -480,7 +479,7 @@ def _extracted(batches):
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per page: key, url, text."""
-    ship_package(pages.sparkSession)
+    prepare(pages.sparkSession)
     wrappers = through_table(host_wrappers(pages, url, html), "host-wrappers")
     rows = pages.select(
         F.struct(F.col(key).alias("key"), F.col(url).alias("url")).alias("_row"),
@@ -493,7 +492,5 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
 
 
 def query(spark, sf_dir):
-    from shelfmate.llm.common import read_table
-
     found = main_text(read_table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.char_length("text").cast("long"))

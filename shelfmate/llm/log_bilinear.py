@@ -36,9 +36,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmate.llm.common import crc_mod, through_table
+from shelfmate.llm.common import crc_mod, prepare, read_table, through_table
 from shelfmate.operators.joins import splittable_join
-from shelfmate.session import ship_package
 
 SHORT, RARE = 767, 256
 DIMENSIONS, NOISE, STEPS, RATE = 32, 10, 200, 0.05
@@ -235,7 +234,7 @@ def _score(scorer, total: int, distinct: int):
 def score(docs: DataFrame, short: int = SHORT, frequent: float = FREQUENT) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     rows = docs.select("doc_id", F.col("text").alias("_text"), (crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("_held"))
     learn = rows.where(~F.col("_held")).select("_text")
     counted = learn.mapInArrow(_count_words, "word long, ending int, n long").groupBy("word", "ending").agg(F.sum("n").alias("n"))
@@ -285,6 +284,4 @@ def score(docs: DataFrame, short: int = SHORT, frequent: float = FREQUENT) -> Da
 
 
 def query(spark, sf_dir):
-    from shelfmate.llm.common import read_table
-
     return score(read_table(spark, sf_dir, "documents"))

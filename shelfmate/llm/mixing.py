@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfmate.llm.common import row_hash, through_table, whole_row, word_count
+from shelfmate.llm.common import read_table, row_hash, through_table, whole_row, word_count
 
 #: Fixed values of the mix: weights by rank of the source, share of all words, most copies.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -212,6 +212,4 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", **options) -> DataFram
 
 
 def query(spark, sf_dir):
-    from shelfmate.llm.common import read_table
-
     return mix(read_table(spark, sf_dir, "documents"))

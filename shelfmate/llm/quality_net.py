@@ -28,8 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmate.llm.common import crc_mod
-from shelfmate.session import ship_package
+from shelfmate.llm.common import crc_mod, prepare, read_table
 
 WIDTH, STRIDE, SEGMENT = 8, 4, 512
 FILTERS, HIDDEN = 24, 16
@@ -217,7 +216,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS
 
 def score_documents(docs: DataFrame, net: Net, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, score."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     narrow = docs.select(F.col(key), F.col(text).alias("_text"))
 
@@ -237,8 +236,6 @@ def score_documents(docs: DataFrame, net: Net, key: str = "doc_id", text: str =
 
 
 def query(spark, sf_dir):
-    from shelfmate.llm.common import read_table
-
     docs = read_table(spark, sf_dir, "documents")
     net = fit(*training_rows(docs, read_table(spark, sf_dir, "labels")))
     return score_documents(docs, net).select(

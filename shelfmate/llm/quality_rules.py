@@ -22,8 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmate.llm.common import whole_row
-from shelfmate.session import ship_package
+from shelfmate.llm.common import prepare, read_table, whole_row
 
 #: Fixed values of the task: symbols counted, and the window in words.
 SYMBOLS = "#*$%&|<>"
@@ -102,7 +101,7 @@ def mask(names) -> int:
 
 def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, the measurements, and ``failures``, a bit for every failed rule."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     narrow = docs.select(F.col(key), F.col(text).alias("_text"))
     schema = T.StructType([narrow.schema[0], *(T.StructField(m, T.LongType()) for m in MEASURES)])
     measured = narrow.mapInArrow(_measured, schema)
@@ -142,8 +141,6 @@ def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", version:
 
 
 def query(spark, sf_dir):
-    from shelfmate.llm.common import read_table
-
     book = apply_policy(ledger(read_table(spark, sf_dir, "documents")))
     return book.withColumn("base_failed", rejected("base"))
 

@@ -33,8 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmate.llm.common import prepare, read_table
 from shelfmate.operators.joins import splittable_join
-from shelfmate.session import scratch_path, ship_package
+from shelfmate.session import scratch_path
 
 #: Fixed values of the format.
 MAGIC = b"\x1f\x8b\x08"
@@ -90,7 +91,7 @@ def page_record(key, url, payload: bytes, refers_to, is_revisit: bool, date: str
 
 def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html",
                   min_revisit: int = MIN_REVISIT, date: str = "1970-01-01T00:00:00Z") -> None:
-    ship_package(pages.sparkSession)
+    prepare(pages.sparkSession)
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(
         F.col(key).alias("_key"), F.col(url).alias("_url"), body.alias("_body"), F.sha2(body, 256).alias("_digest")
@@ -230,7 +231,7 @@ def _read_ranges(batches):
 
 def read_archive(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """All records: path, offset of the member, warc_type, target_uri, headers, http_headers, payload."""
-    ship_package(spark)
+    prepare(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
     ranges = files.select(
         "path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("start")
@@ -262,8 +263,6 @@ def _hex_of_base32(text):
 
 
 def query(spark, sf_dir):
-    from shelfmate.llm.common import read_table
-
     path = scratch_path(spark, "warc")
     write_archive(read_table(spark, sf_dir, "pages"), path)
     return pages_of(read_archive(spark, path))
