@@ -36,10 +36,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfmate.llm.common import WHITE, row_hash, through_table, whole_row
+from shelfmate.llm.common import WHITE, prepare, read_table, row_hash, through_table, whole_row
 from shelfmate.llm.components import components
 from shelfmate.operators.joins import splittable_join
-from shelfmate.session import ship_package
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -50,7 +49,7 @@ BLOCK = 128
 _CLASS = float(np.log(1 / SIMILARITY))
 
 _PIECE = 1 << 21
-_FLUSH = 300_000
+_FLUSH = 200_000
 _U = np.uint64
 _M1, _M2, _M3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 
@@ -204,7 +203,7 @@ def _count_words(batches):
 
 def word_weights(docs: DataFrame, text: str = "text", rare: float = RARE) -> Idf:
     """IDF of the words that at least a share ``rare`` of the documents has; the number of those words is bounded."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     total = docs.count()
     counts = docs.select(F.col(text)).mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     often = counts.where(F.col("n") > F.lit(rare * total)).toArrow()
@@ -368,7 +367,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", *, si
                  rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """One row per document: key, node (digest of its words), class_id, class_size, kept."""
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     idf = spark.sparkContext.broadcast(word_weights(docs, text))
     narrow = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("_text"))
     signed = through_table(
@@ -380,7 +379,8 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", *, si
     sizes = in_bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = through_table(splittable_join(in_bucket, sizes, ["bucket"], "inner"), "near-buckets")
     texts = narrow.select(word_digest(F.col("_text")).alias("node"), F.col("_text").alias("text"))
-    texts = texts.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    # Split where one text has very many exact copies; one text a node is left.
+    texts = splittable_join(texts, met.select("node").distinct(), ["node"], "left_semi").dropDuplicates(["node"])
     texts = through_table(texts, "near-texts")
 
     # First round: every member against its bucket's hub.
@@ -469,6 +469,4 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", *
 
 
 def query(spark, sf_dir):
-    from shelfmate.llm.common import read_table
-
     return near_classes(read_table(spark, sf_dir, "documents")).drop("node")
