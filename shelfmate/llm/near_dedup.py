@@ -51,6 +51,7 @@ _CLASS = float(np.log(1 / SIMILARITY))
 _PIECE = 1 << 21
 _FLUSH = 200_000
 _U = np.uint64
+_ODD32 = np.uint32(0x9E3779B1)
 _M1, _M2, _M3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 
 
@@ -139,21 +140,29 @@ class Sampler:
         self.odd = _scramble(np.arange(1, bands * rows + 1, dtype=_U) * _M1) | _U(1)
 
     def smallest(self, code: np.ndarray, log_w: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """(texts, hashes): the winning sample of each text; texts start at ``starts`` and are not empty."""
+        """(texts, hashes): the winning sample of each text; texts start at ``starts`` and are not empty.
+
+        A sample is one 64-bit number, a in the order of integers above 32 bits that follow from (shingle, t).
+        """
+        n = len(code)
         out = np.empty((len(starts), len(self.odd)), np.int64)
+        z, shifted, entry = np.empty(n, _U), np.empty(n, _U), np.empty((n, 2), np.uint32)
+        draws, halves = z.view(np.uint16).reshape(n, 4), z.view(np.uint32).reshape(n, 2)
         for k, odd in enumerate(self.odd):
-            z = code * odd
-            z ^= z >> _U(29)
+            np.multiply(code, odd, out=z)
+            z ^= np.right_shift(z, _U(29), out=shifted)
             z *= _M2
-            z ^= z >> _U(32)
-            r = self.r[z & _U(0xFFFF)]
-            beta = ((z >> _U(32)) & _U(0xFFFF)).astype(np.float32) * np.float32(1 / 65536)
+            z ^= np.right_shift(z, _U(32), out=shifted)
+            r = self.r[draws[:, 0]]
+            beta = draws[:, 2] * np.float32(1 / 65536)
             t = np.floor(log_w / r + beta)
-            a = self.log_c[(z >> _U(16)) & _U(0xFFFF)] - r * (t - beta + np.float32(1))
-            order = a.view(np.int32).astype(np.int64)
-            order ^= (order >> 31) & 0x7FFFFFFF  # floats in the order of integers
-            sample = ((z ^ (t.astype(np.int64).view(_U) * _M3)) * _M1) >> _U(32)
-            out[:, k] = np.minimum.reduceat((order << 32) | sample.astype(np.int64), starts)
+            a = self.log_c[draws[:, 1]] - r * (t - beta + np.float32(1))
+            order = a.view(np.int32)
+            order ^= (order >> 31) & np.int32(0x7FFFFFFF)  # floats in the order of integers
+            sample = halves[:, 1] ^ (t.astype(np.int32).view(np.uint32) * _ODD32)
+            sample ^= halves[:, 0] * _ODD32
+            entry[:, 0], entry[:, 1] = sample * _ODD32, order.view(np.uint32)
+            out[:, k] = np.minimum.reduceat(entry.view(np.int64)[:, 0], starts)
         return out
 
     def band_keys(self, samples: np.ndarray) -> np.ndarray:
