@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmate.session import ship_package
+from shelfmate.llm.common import prepare, read_table
+
 
 PIECE = 1 << 21
 #: Merged pre-tokens remembered from one piece of text to the next.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 18
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -114,44 +116,73 @@ class PerfectHash:
         return self.entry[np.where(moved < 0, -moved - 1, slots)]
 
 
-def merge(token: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one pre-token that is no entry itself."""
-    n = len(token)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # start of the next and previous part
-    alive = [True] * n
-    heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := ranks.get(token[i : i + 2])) is not None]
+_ID_BITS = 20
+
+
+def pair_table(entries: list[bytes]) -> dict[int, int]:
+    """The entry that two adjacent entries make together, by (left << _ID_BITS) | right."""
+    ranks = {entry: i for i, entry in enumerate(entries)}
+    pairs = {}
+    for whole, entry in enumerate(entries):
+        for cut in range(1, len(entry)):
+            left, right = ranks.get(entry[:cut]), ranks.get(entry[cut:])
+            if left is not None and right is not None:
+                pairs[left << _ID_BITS | right] = whole
+    return pairs
+
+
+def merge(parts: list[int], pairs: dict[int, int]) -> list[int]:
+    """The ids of one pre-token from the ids of its bytes. ``parts`` is used up.
+
+    Each part links to the next and the previous one. The heap holds (rank, place of the left part); an entry counts
+    only while it is still the rank of the pair at that place.
+    """
+    n = len(parts)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    get, push, pop, shift = pairs.get, heapq.heappush, heapq.heappop, n.bit_length()
+    place = (1 << shift) - 1
+    current = [get(left << _ID_BITS | right, -1) for left, right in zip(parts, parts[1:])]
+    current.append(-1)
+    heap = [rank << shift | i for i, rank in enumerate(current) if rank >= 0]
     heapq.heapify(heap)
     while heap:
-        _, left, end = heapq.heappop(heap)
-        if not alive[left]:
+        entry = pop(heap)
+        left, rank = entry & place, entry >> shift
+        if current[left] != rank:
             continue
         right = after[left]
-        if right >= n or after[right] != end:
-            continue  # one of the two parts has grown since
-        alive[right] = False
-        after[left] = end
-        if end < n:
-            before[end] = left
-            rank = ranks.get(token[left : after[end]])
-            if rank is not None:
-                heapq.heappush(heap, (rank, left, after[end]))
-        if left > 0:
-            rank = ranks.get(token[before[left] : end])
-            if rank is not None:
-                heapq.heappush(heap, (rank, before[left], end))
-    ids, start = [], 0
-    while start < n:
-        ids.append(ranks[token[start : after[start]]])
-        start = after[start]
+        following = after[right]
+        current[right] = -1
+        parts[left], after[left] = rank, following
+        grown = -1
+        if following < n:
+            before[following] = left
+            grown = get(rank << _ID_BITS | parts[following], -1)
+            if grown >= 0:
+                push(heap, grown << shift | left)
+        current[left] = grown
+        if left:
+            previous = before[left]
+            grown = get(parts[previous] << _ID_BITS | rank, -1)
+            current[previous] = grown
+            if grown >= 0:
+                push(heap, grown << shift | previous)
+    ids, at = [], 0
+    while at < n:
+        ids.append(parts[at])
+        at = after[at]
     return ids
 
 
 class Encoder:
     def __init__(self, entries: list[bytes], pattern: str):
         self.entries, self.pattern = entries, regex.compile(pattern)
-        self.ranks = {entry: i for i, entry in enumerate(entries)}
+        ranks = {entry: i for i, entry in enumerate(entries)}
+        self.byte_ids = [ranks[bytes([b])] for b in range(256)]
+        self.pairs = pair_table(entries)
         self.hash = PerfectHash(entries)
-        self.merged: dict[bytes, list[int]] = {}
+        self.whole = [array("i", [i]).tobytes() for i in range(len(entries))]
+        self.merged: dict[bytes, bytes] = {}  # ids of four bytes each
 
     def _resolve(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each token one after the other, and how many each has."""
@@ -159,21 +190,20 @@ class Encoder:
         found = self.hash.lookup(keys).tolist()
         if len(self.merged) > REMEMBERED:
             self.merged.clear()
-        ids: list[int] = []
-        lengths = []
+        single, whole, merged = self.byte_ids, self.whole, self.merged
+        out = []
         for key, entry in zip(keys, found):
             if self.entries[entry] == key:
-                ids.append(entry)
-                lengths.append(1)
+                out.append(whole[entry])
                 continue
-            parts = self.merged.get(key)
+            parts = merged.get(key)
             if parts is None:
-                parts = merge(key, self.ranks)
+                parts = array("i", merge([single[b] for b in key], self.pairs)).tobytes()
                 if len(key) <= 64:
-                    self.merged[key] = parts
-            ids += parts
-            lengths.append(len(parts))
-        return np.array(ids, np.int32), np.array(lengths, np.int64)
+                    merged[key] = parts
+            out.append(parts)
+        lengths = np.fromiter(map(len, out), np.int64, len(out)) >> 2
+        return np.frombuffer(b"".join(out), np.int32), lengths
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each text has."""
@@ -231,7 +261,7 @@ def _schema_with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``df`` with a column of ids, array<int>."""
-    ship_package(df.sparkSession)
+    prepare(df.sparkSession)
     entries = df.sparkSession.sparkContext.broadcast(read_ranks(path))
     name = f"{path}|{pattern}"
 
@@ -245,13 +275,14 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
                 ids, counts = encoder.encode([t or "" for t in texts.slice(start, stop - start).to_pylist()])
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 yield _with(piece, out, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)))
+        encoder.merged.clear()
 
     return df.mapInArrow(run, _schema_with(df, out, T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "bytes") -> DataFrame:
     """``df`` with a column of bytes: the entries of each id, one after the other."""
-    ship_package(df.sparkSession)
+    prepare(df.sparkSession)
     entries = df.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def run(batches):
@@ -296,6 +327,4 @@ def tokenized(docs: DataFrame, path: str | None = None, pattern: str | None = No
 
 
 def query(spark, sf_dir):
-    from shelfmate.llm.common import read_table
-
     return tokenized(read_table(spark, sf_dir, "documents")).drop("ids")
