@@ -15,7 +15,10 @@ From a wrapper follows where a host keeps its articles:
 
 - elements marked as article or main content, if the host has any outside menus and the like;
 - otherwise the deepest element that holds most of the running text, without slots whose text is the same on all
-  of at least five pages.
+  pages that have them, if these are at least five and more than half of the host's pages.
+
+Equal pages of a host count as one page in its wrapper, however often they are repeated. A page that would lose all its
+text to unchanging slots keeps them.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments inside are left out
 (a header inside an article keeps its headings). A page without the place its host's wrapper names is treated by its own wrapper.
@@ -257,7 +260,7 @@ def align(into: Place, other: Place, same_page: bool = False) -> list[Place]:
     a, b = into.children, other.children
     if into.free or other.free:
         into.free = True
-        return _by_label(a + b, same_page)
+        return _by_label(_by_label(a, True) + _by_label(b, True), same_page)
     n, m = len(a), len(b)
     if [p.label for p in a] == [p.label for p in b]:
         for x, y in zip(a, b):
@@ -313,7 +316,7 @@ def plan_of(wrapper: Place) -> dict:
         total = 0.0
         for child in place.children:
             if child.label == "#":
-                if child.same is not None and not child.repeated and child.pages >= SAME_PAGES:
+                if child.same is not None and not child.repeated and child.pages >= SAME_PAGES and 2 * child.pages > wrapper.pages:
                     same["/".join(path)] = child.same
                 else:
                     total += child.chars - child.links
@@ -416,6 +419,8 @@ def extract(page: Element, plan: dict | None) -> str:
             found = _marked(page, blocks)
         else:
             found = _at_path(page, tuple(plan["path"]), (), plan["same"], blocks)
+            if found and not blocks.done:
+                _at_path(page, tuple(plan["path"]), (), {}, blocks)
         if found:
             break
     return "\n\n".join(blocks.done)
@@ -454,10 +459,12 @@ def _combine(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def host_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, wrapper) of every host."""
+    """(host, wrapper) of every host, from its distinct pages."""
     prepare(pages.sparkSession)
-    rows = pages.select(F.coalesce(host_of(F.col(url)), F.lit("")).alias("host"), F.col(html))
-    parts = rows.mapInArrow(_infer, "host string, wrapper string")
+    page = F.coalesce(F.col(html), F.lit(""))
+    rows = pages.select(F.coalesce(host_of(F.col(url)), F.lit("")).alias("host"), F.md5(page.cast("binary")).alias("digest"), page.alias("page"))
+    distinct = rows.dropDuplicates(["host", "digest"]).select("host", "page")
+    parts = distinct.mapInArrow(_infer, "host string, wrapper string")
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
     combined = salted.groupBy("host", "salt").applyInPandas(_combine, "host string, wrapper string")
     return combined.groupBy("host").applyInPandas(_combine, "host string, wrapper string")

@@ -141,6 +141,32 @@ def test_wrapper_without_article_tag(spark):
         assert got[i] == "\n\n".join(lines)
 
 
+def texts_of(spark, pages):
+    rows = [(i, f"http://news.example/{i}", page) for i, page in enumerate(pages)]
+    got = html_wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(got, key=lambda r: r.page_id)]
+
+
+@pytest.mark.parametrize("copies", [5, 50])
+def test_copies_of_a_page_are_no_boilerplate(spark, copies):
+    page = "<html><body><div><h1>Title</h1><p>The whole text of this page</p></div></body></html>"
+    assert texts_of(spark, [page] * copies) == ["Title\n\nThe whole text of this page"] * copies
+    # One group of copies has a quotation that no other page has.
+    others = [site(f"Title {i}", [f"Paragraph {i} and more text"], 0) for i in range(20)]
+    quoted = others[0].replace("<p>", "<blockquote>A quotation</blockquote><p>", 1)
+    got = texts_of(spark, others + [quoted] * copies)
+    assert got[3] == "Title 3\n\nParagraph 3 and more text"
+    assert got[20:] == ["Title 0\n\nA quotation\n\nParagraph 0 and more text"] * copies
+
+
+def test_unchanging_places_are_on_most_pages(spark):
+    """Six of twenty distinct pages share a quotation; a page of nothing but unchanging text keeps it."""
+    pages = [f"<body><div><p>Text {i} of the page</p>{'<blockquote>Shared words</blockquote>' if i < 6 else ''}</div></body>" for i in range(20)]
+    assert texts_of(spark, pages) == [f"Text {i} of the page" + ("\n\nShared words" if i < 6 else "") for i in range(20)]
+    pages = [f"<body><!-- {i} --><div><h1>T</h1><p>text</p></div></body>" for i in range(6)]
+    assert texts_of(spark, pages) == ["T\n\ntext"] * 6
+
+
 def test_wrapper_expression():
     pages = ["<ul><li>a</ul>", "<ul><li>b<li>c</ul><p>x", "<h1>t</h1><ul></ul>"]
     whole = html_wrappers.own_wrapper(html_wrappers.parse(pages[0]))
