@@ -11,17 +11,18 @@ A task aligns the pages it reads, one wrapper per host; those wrappers are align
 so the pages of a host never meet in one task. Elements are compared by tag and by what class, id and role
 say about their purpose, never by their literal names, so numbered ids do not split a wrapper.
 
-From a wrapper follows where a host keeps its articles:
+From a wrapper follows what of a host's pages is article:
 
 - elements marked as article or main content, if the host has any outside menus and the like;
-- otherwise the deepest element that holds most of the running text, without slots whose text is the same on all
-  pages that have them, if these are at least five and more than half of the host's pages.
+- otherwise everything but
+  - slots whose text is the same on all pages that have them, if these are at least five and more than half of the host's pages;
+  - link lists: blocks of several links without a heading, in which links are at least LINK_SHARE of the text on the host.
 
 Equal pages of a host count as one page in its wrapper, however often they are repeated. A page that would lose all its
-text to unchanging slots keeps them.
+text to unchanging slots and link lists keeps them.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments inside are left out
-(a header inside an article keeps its headings). A page without the place its host's wrapper names is treated by its own wrapper.
+(a header keeps its headings). A page without marks on a host with marks is treated by its own wrapper.
 
 Character references are decoded, white space [\\x20\\x09-\\x0D] inside a block becomes one space, blocks are joined by two
 line feeds; <br> is white space.
@@ -50,7 +51,7 @@ from shelfmate.operators.joins import splittable_join
 LONGEST = 24
 DEEPEST = 150
 SAME_PAGES = 5
-MOST_OF = 0.7
+LINK_SHARE = 0.7
 SALTS = 64
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -306,34 +307,40 @@ def _bounded(place: Place) -> Place:
 
 
 def plan_of(wrapper: Place) -> dict:
-    """Where articles are: {"marked": True}, or the path of labels of one element and its unchanging slots."""
+    """Where articles are: {"marked": True}, or by path of labels what is boilerplate: unchanging texts and link lists."""
     if _has_main(wrapper):
         return {"marked": True}
-    mass: dict[tuple, float] = {}
-    same: dict[str, int] = {}
+    same: dict[str, set[int]] = {}
+    links: set[str] = set()
 
-    def walk(place: Place, path: tuple) -> float:
-        total = 0.0
+    def walk(place: Place, path: str, only: bool) -> tuple[int, int, int, bool]:
+        """(characters, those in links, links, whether there is a heading) of what _take would take."""
+        chars = linked = anchors = 0
+        heading = False
         for child in place.children:
             if child.label == "#":
+                if only:
+                    continue
                 if child.same is not None and not child.repeated and child.pages >= SAME_PAGES and 2 * child.pages > wrapper.pages:
-                    same["/".join(path)] = child.same
-                else:
-                    total += child.chars - child.links
-            elif not is_aside(child.label, False):
-                total += walk(child, (*path, child.label))
-        mass[path] = mass.get(path, 0.0) + total
-        return total
-
-    whole = walk(wrapper, ())
-    path: tuple = ()
-    while True:
-        below = [p for p in mass if len(p) == len(path) + 1 and p[: len(path)] == path and p[-1].partition("!")[0] in BLOCKS]
-        best = max(below, key=lambda p: (mass[p], p), default=None)
-        if best is None or mass[best] < MOST_OF * whole or best[-1].partition("!")[0] in HEADINGS | {"p", "li", "td", "pre", "blockquote"}:
-            break
-        path = best
-    return {"marked": False, "path": list(path), "same": same}
+                    same.setdefault(path, set()).add(child.same)
+                chars, linked = chars + child.chars, linked + child.links
+            elif not is_aside(child.label, True):
+                tag = child.label.partition("!")[0]
+                below = f"{path}/{child.label}"
+                c, l, n, h = walk(child, below, _only_headings(tag, only))
+                n = (n or tag == "a") * (2 if child.repeated else 1) if n < 2 else n
+                if tag in BLOCKS and tag not in HEADINGS and tag not in ("html", "body") and not h and n > 1 and l >= LINK_SHARE * c > 0:
+                    links.add(below)
+                chars, linked, anchors, heading = chars + c, linked + l, anchors + n, heading or h or tag in HEADINGS
+        return chars, linked, anchors, heading
+
+    walk(wrapper, "", False)
+    return {"marked": False, "same": same, "links": links}
+
+
+def _only_headings(tag: str, only: bool) -> bool:
+    """Whether of an element only headings count."""
+    return (only or tag == "header") and tag not in HEADINGS
 
 
 def _has_main(place: Place) -> bool:
@@ -366,32 +373,39 @@ class _Blocks:
             self.done.append(block)
 
 
-def _take(element: Element, blocks: _Blocks, path: tuple, same: dict, headings_only: bool = False) -> None:
+def _take(element: Element, blocks: _Blocks, plan: dict, path: str = "", only: bool = False) -> None:
+    same = plan["same"].get(path, ())
     for child in element.children:
         if not isinstance(child, Element):
-            if not headings_only and not (same and same.get("/".join(path)) == zlib.crc32(clean(child).encode())):
+            if not only and not (same and zlib.crc32(clean(child).encode()) in same):
                 blocks.text(child)
             continue
         if is_aside(child.label, True):
             continue
+        below = f"{path}/{child.label}"
         block = child.tag in BLOCKS
         if block:
             blocks.end()
+        if below in plan["links"]:
+            continue
         if child.tag == "br":
             blocks.text("\n")
-        only = (headings_only or child.tag == "header") and child.tag not in HEADINGS
-        _take(child, blocks, (*path, child.label), same, only)
+        _take(child, blocks, plan, below, _only_headings(child.tag, only))
         if block:
             blocks.end()
 
 
+#: Nothing is boilerplate.
+_WHOLE = {"same": {}, "links": set()}
+
+
 def _marked(element: Element, blocks: _Blocks) -> bool:
     found = False
     for child in element.children:
         if not isinstance(child, Element) or is_aside(child.label, False):
             continue
         if is_main(child.label):
-            _take(child, blocks, (), {})
+            _take(child, blocks, _WHOLE)
             blocks.end()
             found = True
         else:
@@ -399,29 +413,17 @@ def _marked(element: Element, blocks: _Blocks) -> bool:
     return found
 
 
-def _at_path(element: Element, want: tuple, path: tuple, same: dict, blocks: _Blocks) -> bool:
-    if len(path) == len(want):
-        _take(element, blocks, path, same)
-        blocks.end()
-        return True
-    found = False
-    for child in element.children:
-        if isinstance(child, Element) and child.label == want[len(path)]:
-            found |= _at_path(child, want, (*path, child.label), same, blocks)
-    return found
-
-
 def extract(page: Element, plan: dict | None) -> str:
-    for attempt in (plan, None):
-        plan = attempt or plan_of(own_wrapper(page))
-        blocks = _Blocks()
-        if plan["marked"]:
-            found = _marked(page, blocks)
-        else:
-            found = _at_path(page, tuple(plan["path"]), (), plan["same"], blocks)
-            if found and not blocks.done:
-                _at_path(page, tuple(plan["path"]), (), {}, blocks)
-        if found:
+    blocks = _Blocks()
+    plan = plan or plan_of(own_wrapper(page))
+    if plan["marked"]:
+        if _marked(page, blocks):
+            return "\n\n".join(blocks.done)
+        plan = plan_of(own_wrapper(page))
+    for what in (plan, _WHOLE):
+        _take(page, blocks, what)
+        blocks.end()
+        if blocks.done:
             break
     return "\n\n".join(blocks.done)
 

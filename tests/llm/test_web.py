@@ -167,6 +167,22 @@ def test_unchanging_places_are_on_most_pages(spark):
     assert texts_of(spark, pages) == ["T\n\ntext"] * 6
 
 
+def test_text_beside_the_largest_element_stays(spark):
+    """Titles, ledes and notes outside the element that holds most of the text; unlabelled menus and fixed lines go."""
+    menu = "<ul><li><a href=/>Home</a><li><a href=/a>All the stories</a></ul>"
+    body = lambda i: "".join(f"<p>Paragraph {j} of page {i}, with some more words</p>" for j in range(5))
+    text = lambda i: "\n\n".join(f"Paragraph {j} of page {i}, with some more words" for j in range(5))
+    pages = [f"<html><body>{menu}<h1>Title {i}</h1><div>{body(i)}</div><p>Imprint</p></body></html>" for i in range(8)]
+    assert texts_of(spark, pages) == [f"Title {i}\n\n{text(i)}" for i in range(8)]
+    pages = [f"<div><h1>Title {i}</h1><p>Lede {i}</p><section>{body(i)}</section></div>{f'<p>Note {i}</p>' if i % 2 else ''}" for i in range(8)]
+    assert texts_of(spark, pages) == [f"Title {i}\n\nLede {i}\n\n{text(i)}" + (f"\n\nNote {i}" if i % 2 else "") for i in range(8)]
+    # A page on its own.
+    page = f"<html><body>{menu}<header><h1>Title</h1></header><div>{body(0)}</div></body></html>"
+    assert texts_of(spark, [page]) == [f"Title\n\n{text(0)}"]
+    # The whole page is links.
+    assert texts_of(spark, [menu]) == ["Home\n\nAll the stories"]
+
+
 def test_wrapper_expression():
     pages = ["<ul><li>a</ul>", "<ul><li>b<li>c</ul><p>x", "<h1>t</h1><ul></ul>"]
     whole = html_wrappers.own_wrapper(html_wrappers.parse(pages[0]))
