@@ -22,7 +22,9 @@ Equal pages of a host count as one page in its wrapper, however often they are r
 text to unchanging slots and link lists keeps them.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments inside are left out
-(a header keeps its headings). A page without marks on a host with marks is treated by its own wrapper.
+(a header keeps its headings), by tag or by the words of class, id and role. A main word that is a whole name wins over those;
+an aside word that is only part of a name does not count for article, main or beside a main name, nor where the host's running text
+is mostly inside. A page without marks on a host with marks is treated by its own wrapper.
 
 Character references are decoded, white space [\\x20\\x09-\\x0D] inside a block becomes one space, blocks are joined by two
 line feeds; <br> is white space.
@@ -100,16 +102,23 @@ class Element:
 
 
 def _label(tag: str, attributes: str) -> str:
-    """The tag, with ``!aside`` or ``!main`` where its attributes say so."""
+    """The tag with a hint from its attributes: ``!main``; ``!aside-<word>`` if a whole name says so, ``!part-<word>`` if
+    only a part of a name does. A whole main name wins; on an article or main tag, or beside it, parts say nothing."""
     if not attributes or tag in ("html", "body"):
         return tag
-    for _, a, b, c in _ATTRIBUTE.findall(attributes):
-        value = (a or b or c).lower()
-        words = set(_PIECES.findall(value)) | {name.replace("-", "").replace("_", "") for name in value.split()}
-        if words & ASIDE_WORDS:
-            return tag + "!aside"
-        if words & MAIN_WORDS:
-            return tag + "!main"
+    names = [name for _, a, b, c in _ATTRIBUTE.findall(attributes) for name in (a or b or c).lower().split()]
+    whole = {name.replace("-", "").replace("_", "") for name in names}
+    if whole & MAIN_WORDS:
+        return tag + "!main"
+    if whole & ASIDE_WORDS:
+        return f"{tag}!aside-{min(whole & ASIDE_WORDS)}"
+    if tag in ("article", "main"):
+        return tag
+    parts = {part for name in names for part in _PIECES.findall(name)}
+    if parts & ASIDE_WORDS:
+        return f"{tag}!part-{min(parts & ASIDE_WORDS)}"
+    if parts & MAIN_WORDS:
+        return tag + "!main"
     return tag
 
 
@@ -170,7 +179,7 @@ def _close_paragraph(stack: list[Element]) -> None:
 
 def is_aside(label: str, in_main: bool) -> bool:
     tag, _, hint = label.partition("!")
-    return hint == "aside" or tag in ASIDE and not (tag == "header" and in_main)
+    return hint.startswith(("aside", "part")) or tag in ASIDE and not (tag == "header" and in_main)
 
 
 def is_main(label: str) -> bool:
@@ -306,10 +315,39 @@ def _bounded(place: Place) -> Place:
     return place
 
 
+def overruled(wrapper: Place) -> frozenset[str]:
+    """Paths of elements labelled as asides that hold most of the host's running text, so that the label is wrong. Parts of
+    names are overruled by more than half of the text outside whole names; whole names only if there is no text outside them."""
+    for hints in ({"part"}, {"part", "aside"}):
+        mass: dict[str, int] = {}
+
+        def walk(place: Place, path: str) -> int:
+            total = 0
+            for child in place.children:
+                tag, _, hint = child.label.partition("!")
+                hint = hint.partition("-")[0]
+                if child.label == "#":
+                    total += child.chars - child.links
+                elif tag not in ASIDE and (hint != "aside" or hint in hints):
+                    below = f"{path}/{child.label}"
+                    got = walk(child, below)
+                    if hint in hints:
+                        mass[below] = mass.get(below, 0) + got
+                    total += got
+            return total
+
+        whole = walk(wrapper, "")
+        if whole:
+            return frozenset(path for path, chars in mass.items() if 2 * chars > whole)
+    return frozenset()
+
+
 def plan_of(wrapper: Place) -> dict:
-    """Where articles are: {"marked": True}, or by path of labels what is boilerplate: unchanging texts and link lists."""
-    if _has_main(wrapper):
-        return {"marked": True}
+    """Where articles are: whether elements are marked, and by path of labels what is no aside after all and what is
+    boilerplate on an unmarked host, unchanging texts and link lists."""
+    kept = overruled(wrapper)
+    if _has_main(wrapper, kept):
+        return {"marked": True, "kept": kept, "same": {}, "links": set()}
     same: dict[str, set[int]] = {}
     links: set[str] = set()
 
@@ -324,7 +362,7 @@ def plan_of(wrapper: Place) -> dict:
                 if child.same is not None and not child.repeated and child.pages >= SAME_PAGES and 2 * child.pages > wrapper.pages:
                     same.setdefault(path, set()).add(child.same)
                 chars, linked = chars + child.chars, linked + child.links
-            elif not is_aside(child.label, True):
+            elif f"{path}/{child.label}" in kept or not is_aside(child.label, True):
                 tag = child.label.partition("!")[0]
                 below = f"{path}/{child.label}"
                 c, l, n, h = walk(child, below, _only_headings(tag, only))
@@ -335,7 +373,7 @@ def plan_of(wrapper: Place) -> dict:
         return chars, linked, anchors, heading
 
     walk(wrapper, "", False)
-    return {"marked": False, "same": same, "links": links}
+    return {"marked": False, "kept": kept, "same": same, "links": links}
 
 
 def _only_headings(tag: str, only: bool) -> bool:
@@ -343,12 +381,13 @@ def _only_headings(tag: str, only: bool) -> bool:
     return (only or tag == "header") and tag not in HEADINGS
 
 
-def _has_main(place: Place) -> bool:
-    return any(
-        is_main(c.label) and not is_aside(c.label, False) or not is_aside(c.label, False) and _has_main(c)
-        for c in place.children
-        if c.label != "#"
-    )
+def _has_main(place: Place, kept: frozenset[str], path: str = "") -> bool:
+    for child in place.children:
+        below = f"{path}/{child.label}"
+        if child.label != "#" and (below in kept or not is_aside(child.label, False)):
+            if is_main(child.label) or _has_main(child, kept, below):
+                return True
+    return False
 
 
 # --- extraction -------------------------------------------------------------------------------
@@ -380,9 +419,9 @@ def _take(element: Element, blocks: _Blocks, plan: dict, path: str = "", only: b
             if not only and not (same and zlib.crc32(clean(child).encode()) in same):
                 blocks.text(child)
             continue
-        if is_aside(child.label, True):
-            continue
         below = f"{path}/{child.label}"
+        if below not in plan["kept"] and is_aside(child.label, True):
+            continue
         block = child.tag in BLOCKS
         if block:
             blocks.end()
@@ -395,36 +434,36 @@ def _take(element: Element, blocks: _Blocks, plan: dict, path: str = "", only: b
             blocks.end()
 
 
-#: Nothing is boilerplate.
-_WHOLE = {"same": {}, "links": set()}
-
-
-def _marked(element: Element, blocks: _Blocks) -> bool:
+def _marked(element: Element, blocks: _Blocks, plan: dict, path: str = "") -> bool:
     found = False
     for child in element.children:
-        if not isinstance(child, Element) or is_aside(child.label, False):
+        if not isinstance(child, Element):
+            continue
+        below = f"{path}/{child.label}"
+        if below not in plan["kept"] and is_aside(child.label, False):
             continue
         if is_main(child.label):
-            _take(child, blocks, _WHOLE)
+            _take(child, blocks, plan, below)
             blocks.end()
             found = True
         else:
-            found |= _marked(child, blocks)
+            found |= _marked(child, blocks, plan, below)
     return found
 
 
 def extract(page: Element, plan: dict | None) -> str:
     blocks = _Blocks()
     plan = plan or plan_of(own_wrapper(page))
-    if plan["marked"]:
-        if _marked(page, blocks):
-            return "\n\n".join(blocks.done)
+    if plan["marked"] and not _marked(page, blocks, plan):
         plan = plan_of(own_wrapper(page))
-    for what in (plan, _WHOLE):
-        _take(page, blocks, what)
-        blocks.end()
-        if blocks.done:
-            break
+        if plan["marked"]:
+            _marked(page, blocks, plan)
+    if not plan["marked"]:
+        for what in (plan, {**plan, "same": {}, "links": set()}):
+            _take(page, blocks, what)
+            blocks.end()
+            if blocks.done:
+                break
     return "\n\n".join(blocks.done)
 
 

@@ -183,6 +183,26 @@ def test_text_beside_the_largest_element_stays(spark):
     assert texts_of(spark, [menu]) == ["Home\n\nAll the stories"]
 
 
+@pytest.mark.parametrize(
+    "opening",
+    [
+        "<article class='post category-social'>", "<article class='post tag-search'>", "<main class='content no-sidebar'>", "<div class='article has-related'>",
+        "<article class='category-social'>", "<div class='layout no-sidebar'>", "<div class='layout no-sidebar'><article>", "<main class=search>",
+    ],
+)
+def test_parts_of_names_do_not_hide_articles(spark, opening):
+    def page(i):
+        text = f"<h1>Title {i}</h1><p>Text {i} of the article, with more words than there are around it</p>"
+        return f"<body><div class='main-menu'><a href=/>Home</a></div>{opening}{text}<div class='related-posts'><p>Others {i}</p></div></article></main></div><div class=comments><p>{'Long comment ' * 20}</p></div></body>"
+
+    if opening == "<main class=search>":
+        pages = [page(i).split("<div class=comments")[0] for i in range(3)]
+    else:
+        pages = [page(i) for i in range(3)]
+    want = [f"Title {i}\n\nText {i} of the article, with more words than there are around it" for i in range(3)]
+    assert texts_of(spark, pages) == want
+
+
 def test_wrapper_expression():
     pages = ["<ul><li>a</ul>", "<ul><li>b<li>c</ul><p>x", "<h1>t</h1><ul></ul>"]
     whole = html_wrappers.own_wrapper(html_wrappers.parse(pages[0]))
