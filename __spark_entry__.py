@@ -350,8 +350,9 @@ def q_recommend_history_first(spark, sf):
 
 
 def q_recommend_history_agg(spark, sf):
-    """Candidates scored by the sum of their similarities to the whole history."""
-    found = stored_model(spark, sf).recommend_histories_by_score(customer_histories(spark, sf), 10)
+    """Candidates scored by the sum of their similarities to the whole history, as far as the SQL twin takes them: among
+    the ten nearest of each item."""
+    found = stored_model(spark, sf).recommend_histories_by_score(customer_histories(spark, sf), 10, nearest=10)
     return found.withColumn("score", F.round("score", 6))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from shelfmate.operators.cleaning import coerce_rating
 from shelfmate.operators.identity import item_titles, title_or_default
 from shelfmate.operators.joins import splittable_join
-from shelfmate.operators.knn import cosine_neighbours
+from shelfmate.operators.knn import cosine_neighbours, cosine_similarities
 from shelfmate.operators.matrix import coded_items, rating_matrix
 from shelfmate.operators.search import search_titles
 from shelfmate.schemas import ITEM, USER
@@ -105,19 +105,23 @@ def answer_histories(ranked: DataFrame, known: DataFrame, histories: DataFrame,
 
 
 def recommend_histories_by_score(
-    cells: DataFrame, catalogue: DataFrame, histories: DataFrame, top_k: int = 10, how: str = "sum", **options
+    cells: DataFrame, catalogue: DataFrame, histories: DataFrame, top_k: int = 10, how: str = "sum", nearest: int | None = None, **options
 ) -> DataFrame:
-    """Like recommend_histories, but each candidate is scored by the sum or maximum of its similarities to
-    all items of the history, taken from each item's ``top_k`` nearest; ties by item code.
+    """Like recommend_histories, but each candidate is scored by the sum or maximum of its positive similarities to
+    all items of the history; ties by item code. Only the final ranking is cut to ``top_k``.
 
-    Equal pairs of history and item count once. Lists are searched once per item, top_k deep.
+    Equal pairs of history and item count once. With ``nearest`` only similarities among an item's so many nearest
+    count, history items among them: sums then miss the others, and a closely knit history has few answers or none.
     """
     check_top_k(top_k)
     if how not in ("sum", "max"):
         raise ValueError("how must be sum or max")
     known = histories.join(catalogue.select(ITEM, "item_idx"), ITEM).select("query", "item_idx").distinct()
-    seeds = known.select("item_idx").distinct().withColumn("k", F.lit(top_k))
-    near = cosine_neighbours(cells, catalogue, top_k, seeds=seeds, **options)
+    seeds = known.select("item_idx").distinct()
+    if nearest is None:
+        near = cosine_similarities(cells, catalogue, seeds, **options)
+    else:
+        near = cosine_neighbours(cells, catalogue, nearest, seeds=seeds.withColumn("k", F.lit(nearest)), **options)
     met = splittable_join(known, near, ["item_idx"], "inner").select("query", F.col("other_idx").alias("item_idx"), "score")
     # Sums of whole steps, so that they do not depend on the order of addition.
     total = F.sum(F.round(F.col("score") * 1e9).cast("long")) if how == "sum" else F.max(F.round(F.col("score") * 1e9).cast("long"))
@@ -162,8 +166,10 @@ class KnnRecommender:
     def recommend_histories(self, histories: DataFrame, top_k: int = 10) -> DataFrame:
         return recommend_histories(self.cells, self.catalogue, histories, top_k)
 
-    def recommend_histories_by_score(self, histories: DataFrame, top_k: int = 10, how: str = "sum") -> DataFrame:
-        return recommend_histories_by_score(self.cells, self.catalogue, histories, top_k, how)
+    def recommend_histories_by_score(
+        self, histories: DataFrame, top_k: int = 10, how: str = "sum", nearest: int | None = None
+    ) -> DataFrame:
+        return recommend_histories_by_score(self.cells, self.catalogue, histories, top_k, how, nearest)
 
     def search(self, queries: list[str] | DataFrame, limit: int = 10) -> DataFrame:
         return search_titles(self.catalogue, queries, limit)

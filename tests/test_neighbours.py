@@ -126,6 +126,28 @@ def test_exact_for_any_blocking_and_skew(spark, monkeypatch, hot_user, hot_item,
             assert [f[2] for f in found] == pytest.approx([e[1] for e in expected[i]], abs=2e-9)
 
 
+@pytest.mark.parametrize("options", [{}, {"block_size": 16}, {"block_size": 16, "tile_cells": 40}])
+@pytest.mark.parametrize("how", ["sum", "max"])
+def test_scores_over_whole_histories(spark, how, options):
+    """Candidates take every similarity to the history, also beyond the nearest few of an item."""
+    cells, df = random_cells(spark, True, True)
+    items = matrix.coded_items(df)
+    codes = {r.asin: r.item_idx for r in items.collect()}
+    sims = {i: dict(best) for i, best in brute_force(cells, codes, len(codes)).items()}
+    histories = {"short": ["i0", "i1"], "long": sorted(codes)[: len(codes) - 12]}
+    catalogue = items.withColumn("title", F.lit("t"))
+    asked = spark.createDataFrame([(q, n, i) for q, h in histories.items() for n, i in enumerate(h)], "query string, pos int, asin string")
+    found = kr.recommend_histories_by_score(df, catalogue, asked, 10, how, **options).collect()
+    for q, history in histories.items():
+        seen = {codes[i] for i in history}
+        scores = {j: [sims[i][j] for i in seen if j in sims[i]] for j in set(codes.values()) - seen}
+        want = sorted(({"sum": sum, "max": max}[how](s) for s in scores.values() if s), reverse=True)[:10]
+        got = sorted((r for r in found if r.query == q), key=lambda r: r["rank"])
+        assert len(got) == len(want) == 10
+        assert [r.score for r in got] == pytest.approx(want, abs=1e-6)
+        assert [r.score for r in got] == pytest.approx([{"sum": sum, "max": max}[how](scores[r.item_idx]) for r in got], abs=1e-6)
+
+
 @pytest.mark.parametrize("tied", [False, True])
 def test_dense_tile_shortcut_equals_full_sort(monkeypatch, tied):
     rng = np.random.default_rng(9)
