@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfmate.llm.common import read_table
-from shelfmate.operators.joins import splittable_join
 
 #: The patterns of hosts and paths, shared with the SQL.
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
@@ -84,9 +83,13 @@ def judge(captures: DataFrame, entries: DataFrame, key: str = "page_id", url: st
     rows = rows.groupBy("_key", "_url", "_fetched").agg(F.count(F.lit(1)).alias("_rows"))
     asked = rows.withColumn("_at", F.explode_outer(candidate_keys(F.col("_url"), labels, segments)))
     asked = asked.select("_key", "_url", "_fetched", "_rows", F.col("_at.kind").alias("kind"), F.col("_at.pattern").alias("pattern"))
-    met = splittable_join(asked, valid, ["kind", "pattern"], "left")
-    holds = (F.col("valid_from") <= F.col("_fetched")) & (F.col("valid_to").isNull() | (F.col("_fetched") < F.col("valid_to")))
-    holds = F.coalesce(holds, F.lit(False))
+    # The time belongs to the join: intervals that do not hold leave no rows. The hash makes skewed keys splittable, see joins.py.
+    part = F.xxhash64("kind", "pattern")
+    a, v = asked.withColumn("_part", part).alias("a"), valid.withColumn("_part", part).alias("v")
+    then = (F.col("valid_from") <= F.col("_fetched")) & (F.col("valid_to").isNull() | (F.col("_fetched") < F.col("valid_to")))
+    equal = [F.col(f"a.{c}") == F.col(f"v.{c}") for c in ("kind", "pattern", "_part")]
+    met = a.join(v, equal[0] & equal[1] & equal[2] & then, "left")
+    holds = F.col("valid_from").isNotNull()
     verdict = lambda v: F.max(F.when(holds & (F.col("verdict") == v), F.lit(1)).otherwise(F.lit(0)))
     judged = met.groupBy("_key", "_url", "_fetched", "_rows").agg(
         F.sum(holds.cast("long")).alias("n_active"),

@@ -112,6 +112,20 @@ def test_url_filters_by_hand(spark):
     assert url_filters.judge(seen.limit(0), log).count() == 0
 
 
+def test_url_intervals_are_joined_as_of(spark):
+    """A pattern with many intervals meets a capture once: those that do not hold leave no rows in the join."""
+    from datetime import date, timedelta
+
+    days = [date(2024, 1, 1) + timedelta(n) for n in range(100)]
+    log = [("hosts", "block", "domain", "b.com", "remove" if n % 2 else "add", day) for n, day in enumerate(days)]
+    entries = spark.createDataFrame(log, "list string, verdict string, kind string, pattern string, action string, dated date")
+    seen = spark.createDataFrame([(n, "http://b.com/", day) for n, day in enumerate(days)], "page_id long, url string, fetched_at date")
+    judged = url_filters.judge(seen, entries)
+    assert {r.page_id for r in judged.collect() if r.blocked} == set(range(0, 100, 2))
+    joins = [line for line in judged._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in line]
+    assert any("valid_from" in line and "valid_to" in line for line in joins)
+
+
 def test_main_text_of_tables(spark):
     """The tables' pages mark their article, so a plain expression gives the same text."""
     pages = spark.read.parquet(f"{SF_DIR}/pages.parquet")
