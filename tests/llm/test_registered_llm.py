@@ -15,7 +15,7 @@ SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 @pytest.fixture(scope="module")
 def db():
     connection = duckdb.connect()
-    for name in ("documents", "pages", "labels"):
+    for name in ("documents", "pages", "labels", "conversations"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF_DIR}/{name}.parquet'")
     return connection
 
@@ -31,7 +31,9 @@ def test_query(spark, db, name):
     frame = registered.queries()[name](spark, SF_DIR)
     mine = canonical(frame.columns, [tuple(r) for r in frame.collect()])
     table = "pages" if name.startswith(("op4", "op5", "op9")) else "documents"
-    assert len(mine[1]) == db.execute(f"SELECT count(*) FROM {table}").fetchone()[0]
+    rows = "count(DISTINCT conv_id) FROM conversations" if name.startswith("op13") else f"count(*) FROM {table}"
+    if not name.startswith("op11"):  # a row per word
+        assert len(mine[1]) == db.execute(f"SELECT {rows}").fetchone()[0]
     sql = registered.oracle_sql().get(name)
     if sql:
         cursor = db.execute(sql)
