@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -13,12 +14,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfmate.session import ship_package
+from shelfmate.operators.joins import splittable_join
+from shelfmate.session import cut_lineage, ship_package
 
 # Vectors per block, and rows of a block scored at a time inside a task.
 FACTOR_BLOCK = 2048
 SCORED_AT_ONCE = 512
 SCORE_DIGITS = 9
+# At most so many directions and bands of norms; each band but the lowest holds half of what is above its lower end.
+CELLS, BANDS = 64, 12
+# Room for rounding in scores and angles.
+SCORE_SLACK, ANGLE_SLACK = 1e-8, 1e-7
 
 QUERY, ITEM_VECTOR, EXCLUSION = 0, 1, 2
 
@@ -30,10 +36,6 @@ def unit_length(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("_norm", norm).where(F.col("_norm") > 0).withColumn(column, scaled).drop("_norm")
 
 
-def _block_count(df: DataFrame, block_size: int) -> int:
-    return max(1, -(-df.count() // block_size))
-
-
 def _score_tile(top_k: int):
     def run(tile: pd.DataFrame) -> pd.DataFrame:
         queries = tile[tile.kind == QUERY]
@@ -77,70 +79,184 @@ def _score_tile(top_k: int):
     return run
 
 
+@dataclass(frozen=True)
+class ItemGroups:
+    """Items by direction and length: what a bound on their scores needs to know of each group.
+
+    A group is a cell (the items closest in angle to one of at most CELLS pivots) and a band of norms. There are at most
+    CELLS * BANDS groups whatever the number of items, so this is small enough for the driver and for every task. A
+    group of many items has several tiles, which share its bound.
+    """
+
+    pivots: np.ndarray  # unit vectors
+    cuts: np.ndarray  # rising norms between bands
+    cell: np.ndarray
+    band: np.ndarray
+    size: np.ndarray
+    longest: np.ndarray
+    shortest: np.ndarray
+    widest: np.ndarray  # largest angle between an item and its pivot
+    tiles: np.ndarray
+
+    @property
+    def first_tile(self) -> np.ndarray:
+        return np.cumsum(self.tiles) - self.tiles
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """No item of group g scores more with query q than [q, g].
+
+        The angle between them is at least that to the pivot less the group's widest.
+        """
+        norms = np.linalg.norm(queries, axis=1)
+        cosines = queries @ self.pivots.T / np.where(norms > 0, norms, 1.0)[:, None]
+        closest = np.cos(np.maximum(np.arccos(np.clip(cosines, -1, 1))[:, self.cell] - self.widest - ANGLE_SLACK, 0))
+        return norms[:, None] * np.where(closest > 0, self.longest, self.shortest) * closest
+
+    def first_visit(self, bounds: np.ndarray, needed: np.ndarray) -> np.ndarray:
+        """Per query the groups of the highest bounds that together hold the number of items needed."""
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        before = np.cumsum(self.size[order], axis=1) - self.size[order]
+        out = np.zeros(bounds.shape, dtype=bool)
+        np.put_along_axis(out, order, before < needed[:, None], axis=1)
+        return out
+
+
+def _place_items(pivots: np.ndarray, cuts: np.ndarray):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if frame.empty:
+                continue
+            matrix = np.stack(frame.vector.to_numpy()).astype(np.float64)
+            norms = np.linalg.norm(matrix, axis=1)
+            cosines = matrix @ pivots.T / np.where(norms > 0, norms, 1.0)[:, None]
+            cell = cosines.argmax(axis=1)
+            angle = np.arccos(np.clip(cosines[np.arange(len(cell)), cell], -1, 1))
+            band = np.searchsorted(cuts, norms, side="right").astype(np.int32)
+            yield frame.assign(cell=cell.astype(np.int32), band=band, norm=norms, angle=np.where(norms > 0, angle, 0.0))
+
+    return run
+
+
+def group_items(items: DataFrame, block_size: int = FACTOR_BLOCK) -> tuple[ItemGroups, DataFrame]:
+    """The groups of ``items`` (item_idx, vector), and the items with their group's tile: (item_idx, vector, tile)."""
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x * x))
+    shares = [1 - 0.5**j for j in range(1, BANDS)]
+    count, cuts = items.agg(F.count(F.lit(1)), F.percentile_approx(length, shares, 10_000)).first()
+    many = max(1, min(CELLS, -(-count // (4 * block_size)))) if count > block_size else 1
+    # Which items are pivots does not matter for the result; a hash makes it the same at every run.
+    rows = items.where(length > 0).orderBy(F.xxhash64("item_idx"), "item_idx").limit(many).select("vector").collect()
+    width = items.select(F.max(F.size("vector"))).first()[0] or 1
+    pivots = np.array([r.vector for r in rows], dtype=np.float64) if rows else np.eye(1, width)
+    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+    cuts = np.unique(np.array(cuts or [], dtype=np.float64)) if count > block_size else np.array([])
+    schema = "item_idx bigint, vector array<double>, cell int, band int, norm double, angle double"
+    placed = cut_lineage(items.mapInPandas(_place_items(pivots, cuts), schema))
+    found = placed.groupBy("cell", "band").agg(
+        F.count(F.lit(1)).alias("size"), F.max("norm").alias("longest"), F.min("norm").alias("shortest"), F.max("angle").alias("widest")
+    )
+    table = found.orderBy("cell", "band").toPandas()  # at most CELLS * BANDS rows
+    tiles = -(-table["size"].to_numpy() // block_size)
+    columns = [table[c].to_numpy() for c in ("cell", "band", "size", "longest", "shortest", "widest")]
+    groups = ItemGroups(pivots, cuts, *columns, tiles)
+    numbered = items.sparkSession.createDataFrame(
+        [tuple(map(int, r)) for r in zip(groups.cell, groups.band, groups.first_tile, tiles)], "cell int, band int, _first int, _tiles int"
+    )
+    tile = (F.col("_first") + F.pmod(F.xxhash64("item_idx"), F.col("_tiles"))).cast("int")
+    return groups, placed.join(F.broadcast(numbered), ["cell", "band"]).select("item_idx", "vector", tile.alias("tile"))
+
+
+def _choose_tiles(groups: ItemGroups, first: bool):
+    """Queries (query, vector, needed, least) to (query, vector, cell, tiles): the first visit, or what it left open."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if frame.empty:
+                continue
+            bounds = groups.bounds(np.stack(frame.vector.to_numpy()).astype(np.float64))
+            visit = groups.first_visit(bounds, frame.needed.to_numpy())
+            if not first:
+                least = frame.least.to_numpy(dtype=np.float64, na_value=-np.inf)
+                visit = ~visit & (bounds >= (least - SCORE_SLACK * (1 + np.abs(np.where(np.isfinite(least), least, 0))))[:, None])
+            each = np.repeat(np.arange(len(groups.size)), groups.tiles)
+            tiles = [np.flatnonzero(row[each]).astype(np.int32) for row in visit]
+            yield pd.DataFrame({"query": frame["query"], "vector": frame.vector, "cell": groups.cell[bounds.argmax(axis=1)].astype(np.int32), "tiles": tiles})
+
+    return run
+
+
+def _visit(chosen: DataFrame, items: DataFrame, exclude: DataFrame | None, top_k: int, block_size: int, report: dict | None) -> DataFrame:
+    """The best of every (query, tile) visited."""
+    query_type = chosen.schema["query"].dataType.simpleString()
+    chosen = cut_lineage(chosen.where(F.size("tiles") > 0))
+    # Queries of one direction visit much the same tiles, so they share query blocks.
+    sizes = chosen.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_size).cast("int").alias("_blocks"))
+    part = (F.col("cell") + F.lit(CELLS) * F.pmod(F.xxhash64("query"), F.col("_blocks"))).cast("int")
+    queries = chosen.join(F.broadcast(sizes), "cell").withColumn("qb", part)  # at most CELLS rows
+    visits = queries.select("qb", F.explode("tiles").alias("tile"), "query", "vector")
+    pairs = visits.select("qb", "tile").distinct()
+    if report is not None:
+        report["visited"] = report.get("visited", 0) + visits.count()
+    no_item = F.lit(None).cast("long").alias("item_idx")
+    no_query = F.lit(None).cast(query_type).alias("query")
+    no_vector = F.lit(None).cast("array<double>").alias("vector")
+    messages = visits.select("qb", "tile", F.lit(QUERY).alias("kind"), "query", no_item, "vector").unionByName(
+        splittable_join(items, pairs, ["tile"], "inner").select("qb", "tile", F.lit(ITEM_VECTOR).alias("kind"), no_query, "item_idx", "vector")
+    )
+    if exclude is not None:
+        placed = splittable_join(exclude, queries.select("query", "qb"), ["query"], "inner")
+        placed = splittable_join(placed, items.select("item_idx", "tile"), ["item_idx"], "inner")
+        placed = splittable_join(placed, pairs, ["qb", "tile"], "left_semi")
+        messages = messages.unionByName(placed.select("qb", "tile", F.lit(EXCLUSION).alias("kind"), "query", "item_idx", no_vector))
+    return messages.groupBy("qb", "tile").applyInPandas(_score_tile(top_k), f"query {query_type}, item_idx long, score double")
+
+
 def top_items(
     queries: DataFrame,
     items: DataFrame,
     top_k: int,
     exclude: DataFrame | None = None,
     block_size: int = FACTOR_BLOCK,
+    report: dict | None = None,
 ) -> DataFrame:
     """The best items of every query vector by inner product.
 
     ``queries`` (query, vector), ``items`` (item_idx, vector), ``exclude`` (query, item_idx)
     pairs that must not be returned. Result (query, rank, item_idx, score).
 
-    An exact answer has to score every query against every item, so both sides are cut
-    into blocks that meet in tiles by an equality of block numbers. A tile holds
-    ``block_size`` vectors of each side, is scored with one matrix product, applies the
-    exclusions that fall into it, and returns k rows per query. Exclusions are sent to
-    one tile each, however long a query's history is.
+    The answer is exact without scoring all pairs. Items are grouped by direction and norm (ItemGroups). A first visit
+    scores each query against the groups of its highest bounds, as many as hold a tile's worth of items beside the query's exclusions;
+    its k-th score is a threshold, and the second visit goes only to groups whose bound reaches it. How much that leaves out
+    depends on the vectors: lengths and directions that differ much prune much, unit vectors in all directions nothing.
+
+    Queries and items meet in tiles of at most about ``block_size`` vectors of each side, scored with one matrix product. Only
+    tiles some query visits are made; an exclusion goes to one tile, however long a query's history is. ``report``, if given,
+    gets the numbers of (query, tile) pairs: ``all`` and ``visited``.
     """
     ship_package(items.sparkSession)
-    query_blocks = _block_count(queries, block_size)
-    item_blocks = _block_count(items, block_size)
-    query_type = queries.schema["query"].dataType.simpleString()
-    query_block = F.pmod(F.xxhash64("query"), F.lit(query_blocks)).cast("int")
-    item_block = F.pmod(F.xxhash64(F.col("item_idx").cast("long")), F.lit(item_blocks)).cast("int")
-    no_item = F.lit(None).cast("long").alias("item_idx")
-    no_query = F.lit(None).cast(query_type).alias("query")
-    no_vector = F.lit(None).cast("array<double>").alias("vector")
-    vector = F.col("vector").cast("array<double>").alias("vector")
-    item = F.col("item_idx").cast("long").alias("item_idx")
-
-    messages = queries.select(
-        query_block.alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))).alias("ib"),
-        F.lit(QUERY).alias("kind"),
-        "query",
-        no_item,
-        vector,
-    ).unionByName(
-        items.select(
-            F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"),
-            item_block.alias("ib"),
-            F.lit(ITEM_VECTOR).alias("kind"),
-            no_query,
-            item,
-            vector,
-        )
-    )
+    typed = queries.select("query", F.col("vector").cast("array<double>").alias("vector"))
+    groups, placed = group_items(items.select(F.col("item_idx").cast("long"), F.col("vector").cast("array<double>").alias("vector")), block_size)
+    banned = None
+    # A threshold is good if it comes from many candidates; fewer than a tile would cost the same.
+    wanted = F.lit(8 * top_k + block_size).cast("long")
+    needed = typed.withColumn("needed", wanted)
     if exclude is not None:
-        messages = messages.unionByName(
-            exclude.select(
-                query_block.alias("qb"),
-                item_block.alias("ib"),
-                F.lit(EXCLUSION).alias("kind"),
-                "query",
-                item,
-                no_vector,
-            ).distinct()
-        )
-    scored = messages.groupBy("qb", "ib").applyInPandas(
-        _score_tile(top_k), f"query {query_type}, item_idx long, score double"
-    )
+        banned = exclude.select("query", F.col("item_idx").cast("long").alias("item_idx")).distinct()
+        counts = banned.groupBy("query").agg(F.count(F.lit(1)).alias("_n"))
+        needed = typed.join(counts, "query", "left").select("query", "vector", (wanted + F.coalesce("_n", F.lit(0))).alias("needed"))
+    if report is not None:
+        report.update(all=typed.count() * int(groups.tiles.sum()), visited=0)
+    query_type = typed.schema["query"].dataType.simpleString()
+    schema = f"query {query_type}, vector array<double>, cell int, tiles array<int>"
+    no_threshold = needed.withColumn("least", F.lit(None).cast("double"))
+    found = _visit(no_threshold.mapInPandas(_choose_tiles(groups, True), schema), placed, banned, top_k, block_size, report)
     best = W.partitionBy("query").orderBy(F.desc("score"), "item_idx")
+    if len(groups.size) > 1:
+        found = cut_lineage(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k))
+        least = found.where(F.col("rank") == top_k).select("query", F.col("score").alias("least"))
+        second = needed.join(least, "query", "left").mapInPandas(_choose_tiles(groups, False), schema)
+        found = found.drop("rank").unionByName(_visit(second, placed, banned, top_k, block_size, report))
     return (
-        scored.withColumn("rank", F.row_number().over(best))
+        found.withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= top_k)
         .select("query", "rank", F.col("item_idx").cast("int").alias("item_idx"), "score")
     )

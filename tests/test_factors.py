@@ -30,6 +30,41 @@ def test_top_items_with_exclusions(spark, block_size):
     assert 0 not in got and got[1] == {1: 39}
 
 
+@pytest.mark.parametrize("kind", ["lengths", "clusters", "unit", "zeros"])
+def test_bounds_leave_out_tiles_but_no_answer(spark, kind):
+    rng = np.random.default_rng(3)
+    y = rng.normal(size=(600, 6))
+    if kind == "lengths":
+        y *= rng.pareto(1.0, size=(600, 1)) + 0.01
+    elif kind == "clusters":
+        y = rng.normal(size=(8, 6))[rng.integers(8, size=600)] + 0.02 * y
+    elif kind == "unit":
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+    else:
+        y[::2] = 0.0
+    q = rng.normal(size=(50, 6))
+    q[0] = 0.0
+    # Query 1 has seen its 500 best items, query 2 everything.
+    seen = [(1, int(i)) for i in np.argsort(-(y @ q[1]))[:500]] + [(2, i) for i in range(600)]
+    as_rows = lambda m: [(i, [float(x) for x in row]) for i, row in enumerate(m)]
+    queries = spark.createDataFrame(as_rows(q), "query int, vector array<double>")
+    items = spark.createDataFrame(as_rows(y), "item_idx int, vector array<double>")
+    report = {}
+    answers = factors.top_items(queries, items, 5, spark.createDataFrame(seen, "query int, item_idx int"), block_size=16, report=report)
+    got = {}
+    for r in answers.collect():
+        got.setdefault(r["query"], {})[r["rank"]] = (r.item_idx, r.score)
+    scores, banned = np.round(q @ y.T, 9), set(seen)
+    for a in range(50):
+        order = [i for i in sorted(range(600), key=lambda i: (-scores[a, i], i)) if (a, i) not in banned][:5]
+        assert [s for _, s in sorted(got.get(a, {}).values(), key=lambda v: -v[1])] == pytest.approx([scores[a, i] for i in order], abs=2e-9)
+        if kind not in ("zeros",) and a:
+            assert [got[a][k + 1][0] for k in range(len(order))] == order
+    assert 0 < report["visited"] <= report["all"]
+    if kind in ("lengths", "clusters"):
+        assert report["visited"] < 0.6 * report["all"]
+
+
 def test_similar_items_leave_out_the_seed(spark):
     y, items = vectors(spark, 30, 4, "item_idx", 5)
     seeds = spark.createDataFrame([(3,), (3,), (29,)], "item_idx int")

@@ -107,7 +107,10 @@ def brute_force(cells, codes, top_k):
 
 
 @pytest.mark.parametrize("hot_user, hot_item", [(False, False), (True, False), (True, True)])
-@pytest.mark.parametrize("options", [{}, {"block_size": 16}, {"block_size": 16, "tile_cells": 40}])
+@pytest.mark.parametrize(
+    "options",
+    [{}, {"light": 0}, {"block_size": 16, "light": 0}, {"block_size": 16, "tile_cells": 40, "light": 0}, {"block_size": 16, "tile_cells": 40, "light": 9}],
+)
 def test_exact_for_any_blocking_and_skew(spark, monkeypatch, hot_user, hot_item, options):
     monkeypatch.setattr(knn, "CHUNK_BLOCKS", 2)
     cells, df = random_cells(spark, hot_user, hot_item)
