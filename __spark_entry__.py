@@ -18,6 +18,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from shelfmate.functions.columns import clean_text, confidence, dot, hybrid_score, recency_confidence  # noqa: E402
 from shelfmate.operators import cleaning, factors, holdout, identity, matrix, metrics, profile, quantiles  # noqa: E402
+from shelfmate.operators.knn import cosine_similarities  # noqa: E402
 from shelfmate.operators.search import search_titles  # noqa: E402
 from shelfmate.plans import als_recommender, categories, evaluation, knn_recommender  # noqa: E402
 from shelfmate.plans.driver_tables import ROW_ID, event_cells, interactions, metadata, table  # noqa: E402
@@ -316,6 +317,19 @@ def q_item_knn(spark, sf):
     return near.select("item_idx", "rank", "other_idx", six(F.col("score"), "score"))
 
 
+def q_knn_refresh(spark, sf):
+    """A stored graph of all but the last half year, brought up to date with that half year."""
+    rows = titled(spark, sf)
+    edge = rows.agg(F.max("timestamp").alias("_edge"))  # one row
+    dated = rows.join(F.broadcast(edge)).withColumn("_recent", F.col("timestamp") > F.col("_edge") - 182 * 86400)
+    old, new = (dated.where(F.col("_recent") == recent).drop("_edge", "_recent") for recent in (False, True))
+    model = knn_recommender.KnnRecommender.fit(old, scratch_path(spark, "knn-model"), graph_depth=10)
+    model = model.refresh(new, scratch_path(spark, "knn-model"))
+    codes = model.catalogue.select("asin", "item_idx")
+    others = codes.select(F.col("asin").alias("other"), F.col("item_idx").alias("other_idx"))
+    return model.graph.join(codes, "asin").join(others, "other").select("item_idx", "rank", "other_idx", six(F.col("score"), "score"))
+
+
 def supplier_keys(spark, sf, prefix):
     return table(spark, sf, "supplier").select(F.concat(F.lit(prefix), F.col("s_suppkey").cast("string")).alias("key"))
 
@@ -327,7 +341,7 @@ def q_recommend_seed(spark, sf):
         F.col("key").alias("reviewerID"), F.col("key").alias("asin"), F.lit(5.0).alias("rating"), F.lit(None).cast("string").alias("product_title")
     )
     rows = titled(spark, sf).select("reviewerID", "asin", "rating", "product_title").unionByName(lonely)
-    model = knn_recommender.KnnRecommender.fit(rows, scratch_path(spark, "knn-model"))
+    model = knn_recommender.KnnRecommender.fit(rows, scratch_path(spark, "knn-model"), graph_depth=10)
     seeds = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("key"))
     for prefix in ("lonely-", "gone-"):
         seeds = seeds.unionByName(supplier_keys(spark, sf, prefix))
@@ -350,9 +364,8 @@ def q_recommend_history_first(spark, sf):
 
 
 def q_recommend_history_agg(spark, sf):
-    """Candidates scored by the sum of their similarities to the whole history, as far as the SQL twin takes them: among
-    the ten nearest of each item."""
-    found = stored_model(spark, sf).recommend_histories_by_score(customer_histories(spark, sf), 10, nearest=10)
+    """Candidates scored by the sum of all their similarities to the whole history."""
+    found = stored_model(spark, sf).recommend_histories_by_score(customer_histories(spark, sf), 10)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -409,21 +422,20 @@ def q_recency_confidence(spark, sf):
 
 
 def q_category_scoped_metrics(spark, sf):
-    """Every item asked for the item of the next number, among its neighbours of that item's category."""
-    answers = neighbour_lists(spark, sf)
-    codes = stored_codes(spark, sf)
+    """Every item asked for the item of the next number, among all its neighbours of that item's category."""
+    model = stored_model(spark, sf)
+    codes = model.catalogue.select("item_idx", "asin")
+    every = cosine_similarities(model.cells, model.catalogue, codes.select("item_idx"))
+    names = codes.withColumnRenamed("item_idx", "other_idx")
+    answers = every.join(names, "other_idx").select(F.col("item_idx").alias("query"), "asin", "score", "other_idx")
     following = (F.col("asin").cast("int") + 1).cast("string")
     targets = codes.select(F.col("item_idx").alias("query"), following.alias("asin"))
     kinds = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("asin"), F.col("p_type").alias("category"))
-    scoped = metrics.within_category(answers, targets, kinds, "query", "asin")
+    scoped = metrics.best_in_category(answers, targets, kinds, "query", "asin", ["other_idx"], max(KS))
     row = metrics.rank_metrics(metrics.target_ranks(scoped, targets, ["query", "asin"]), KS)
     return row.select("n_evaluated", *[six(F.col(c), c) for c in row.columns if c != "n_evaluated"])
 
 
-def stored_codes(spark, sf):
-    return identity.dense_codes(identity.distinct_keys([interactions(spark, sf)], "asin"), "asin", "item_idx")
-
-
 # --- holdouts and metrics ---------------------------------------------------------------
 
 
@@ -836,10 +848,12 @@ ranked AS (SELECT query, other_idx, score, row_number() OVER (PARTITION BY query
         "recommend_history_agg": f"""WITH {titled_ids}, {CELLS}, {PAIRS},
 hist AS (SELECT DISTINCT reviewerID AS query, item_idx FROM inter JOIN ids USING (asin)),
 scored AS (SELECT query, other_idx, sum(CAST(round(score * 1e9) AS BIGINT)) / 1e9 AS score
-  FROM hist JOIN near USING (item_idx) WHERE near.rank <= 10 GROUP BY ALL),
+  FROM hist JOIN near USING (item_idx) GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, other_idx) AS rank FROM scored s
   WHERE NOT EXISTS (SELECT 1 FROM hist h WHERE h.query = s.query AND h.item_idx = s.other_idx)),
 {ANSWERED}""",
+        "knn_refresh": f"""WITH {INTER}, {CELLS}, {IDS}, {PAIRS}
+SELECT item_idx, rank, other_idx, round(score, 6) AS score FROM near WHERE rank <= 10""",
         "json_to_model": f"""WITH {INTER.replace("inter AS", "complete AS", 1)},
 u AS (SELECT reviewerID FROM complete GROUP BY 1 HAVING count(*) >= 6),
 i AS (SELECT asin FROM complete GROUP BY 1 HAVING count(*) >= 11),
@@ -861,7 +875,7 @@ targets AS (SELECT item_idx AS query, CAST(CAST(asin AS INTEGER) + 1 AS VARCHAR)
 wanted AS (SELECT query, category FROM targets JOIN kinds USING (asin)),
 scoped AS (SELECT n.item_idx AS query, i.asin, row_number() OVER (PARTITION BY n.item_idx ORDER BY n.rank) AS rank
   FROM near n JOIN ids i ON i.item_idx = n.other_idx JOIN kinds k ON k.asin = i.asin
-  JOIN wanted w ON w.query = n.item_idx AND w.category = k.category WHERE n.rank <= 10),
+  JOIN wanted w ON w.query = n.item_idx AND w.category = k.category),
 ranked AS (SELECT t.query, s.rank FROM targets t LEFT JOIN scoped s ON s.query = t.query AND s.asin = t.asin)
 SELECT {metric_sql(KS)} FROM ranked""",
         "title_search": f"""WITH {titled_ids}, q AS (SELECT * FROM ({asked}) UNION SELECT p_name[1:3] FROM part),

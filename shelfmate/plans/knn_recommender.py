@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,6 +15,10 @@ from shelfmate.operators.search import search_titles
 from shelfmate.schemas import ITEM, USER
 
 MAX_TOP_K = 100
+# Folders of a stored graph: about so many items in each, and never more folders than a driver can list.
+ITEMS_PER_BUCKET, MAX_BUCKETS = 20_000, 2_000
+INFO = "graph_depth int, buckets int"
+GRAPH = "asin string, rank int, other string, score double, bucket int"
 
 
 def check_top_k(top_k: int) -> None:
@@ -132,35 +136,124 @@ def recommend_histories_by_score(
     return answer_histories(ranked, known, histories, catalogue)
 
 
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
 def model_catalogue(cells: DataFrame, interactions: DataFrame) -> DataFrame:
     """(asin, norm, n_cells, item_idx, title)"""
     return coded_items(cells).join(item_titles(interactions), ITEM, "left")
 
 
+def answer_from_lists(lists: DataFrame, catalogue: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Like answer_seeds, from lists (asin, rank, other, score) of item keys."""
+    titled = catalogue.select(ITEM, title_or_default().alias("title"))
+    asked = seeds.select("seed").distinct().join(titled.select(F.col(ITEM).alias("seed"), F.col("title").alias("seed_title")), "seed", "left")
+    listed = splittable_join(lists.withColumnRenamed(ITEM, "seed").withColumnRenamed("other", ITEM), titled, [ITEM], "left")
+    status = F.when(F.col("seed_title").isNull(), F.lit("not_found")).when(F.col("rank").isNull(), F.lit("no_neighbours"))
+    return asked.join(listed, "seed", "left").select(
+        "seed", "seed_title", "rank", ITEM, "title", "score", status.otherwise(F.lit("ok")).alias("status")
+    )
+
+
+def with_keys(neighbours: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(item_idx, rank, other_idx, score) as (asin, rank, other, score)."""
+    names = catalogue.select("item_idx", ITEM)
+    other = names.select(F.col("item_idx").alias("other_idx"), F.col(ITEM).alias("other"))
+    keyed = splittable_join(splittable_join(neighbours, names, ["item_idx"], "inner"), other, ["other_idx"], "inner")
+    return keyed.select(ITEM, "rank", "other", "score")
+
+
+def items_to_refresh(cells: DataFrame, changed: DataFrame) -> DataFrame:
+    """(asin): items whose lists may differ after the cells of the ``changed`` items (asin) did.
+
+    A changed item has another length, so all its similarities change: those of every item that shares a user with it.
+    """
+    users = splittable_join(cells, changed, [ITEM], "left_semi").select(USER).distinct()
+    return splittable_join(cells, users, [USER], "left_semi").select(ITEM).distinct()
+
+
 class KnnRecommender:
-    """The stored model: the matrix cells and the catalogue as Parquet tables."""
+    """The stored model: matrix cells, catalogue and, if asked for, the neighbour graph as Parquet tables.
 
-    def __init__(self, cells: DataFrame, catalogue: DataFrame):
+    The graph holds the ``graph_depth`` best neighbours of every item by key, in folders by a hash of the item and
+    sorted inside, so answering a seed reads the seed's folder instead of multiplying the matrix.
+    """
+
+    def __init__(self, cells: DataFrame, catalogue: DataFrame, graph: DataFrame | None = None, graph_depth: int = 0, buckets: int = 1):
         self.cells = cells
         self.catalogue = catalogue
+        self.graph = graph
+        self.graph_depth = graph_depth
+        self.buckets = buckets
 
     @classmethod
-    def fit(cls, interactions: DataFrame, path: str) -> "KnnRecommender":
-        """Write both tables once; every later query scans them instead of the reviews."""
+    def fit(cls, interactions: DataFrame, path: str, graph_depth: int = 0) -> "KnnRecommender":
+        """Write the tables once; every later query scans them instead of the reviews. No graph is stored at depth 0."""
         spark = interactions.sparkSession
         rating_matrix(coerce_rating(interactions)).write.mode("overwrite").parquet(f"{path}/cells")
-        catalogue = model_catalogue(spark.read.parquet(f"{path}/cells"), interactions)
-        catalogue.write.mode("overwrite").parquet(f"{path}/catalogue")
+        cells = spark.read.parquet(f"{path}/cells")
+        model_catalogue(cells, interactions).write.mode("overwrite").parquet(f"{path}/catalogue")
+        catalogue = spark.read.parquet(f"{path}/catalogue")
+        lists = with_keys(cosine_neighbours(cells, catalogue, graph_depth), catalogue) if graph_depth else None
+        return cls._store_graph(spark, path, catalogue, lists, graph_depth)
+
+    @classmethod
+    def _store_graph(cls, spark: SparkSession, path: str, catalogue: DataFrame, lists: DataFrame | None, depth: int) -> "KnnRecommender":
+        buckets = max(1, min(MAX_BUCKETS, catalogue.count() // ITEMS_PER_BUCKET))
+        if lists is not None:
+            placed = lists.withColumn("bucket", _bucket(F.col(ITEM), buckets)).repartition("bucket").sortWithinPartitions("bucket", ITEM, "rank")
+            placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/graph")
+        info = spark.createDataFrame([(depth, buckets)], INFO)
+        info.coalesce(1).write.mode("overwrite").json(f"{path}/info")
         return cls.load(spark, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "KnnRecommender":
-        return cls(spark.read.parquet(f"{path}/cells"), spark.read.parquet(f"{path}/catalogue"))
+        info = spark.read.schema(INFO).json(f"{path}/info").first()
+        graph = spark.read.schema(GRAPH).parquet(f"{path}/graph") if info.graph_depth else None
+        return cls(spark.read.parquet(f"{path}/cells"), spark.read.parquet(f"{path}/catalogue"), graph, info.graph_depth, info.buckets)
+
+    def refresh(self, interactions: DataFrame, path: str) -> "KnnRecommender":
+        """The model with further interactions, stored at ``path`` (another one than this model's).
+
+        Only the lists of ``items_to_refresh`` are computed; all others are copied.
+        """
+        spark = interactions.sparkSession
+        added = rating_matrix(coerce_rating(interactions))
+        added.write.mode("overwrite").parquet(f"{path}/added")
+        added = spark.read.parquet(f"{path}/added")
+        both = self.cells.select(USER, ITEM, "w").unionByName(added.select(USER, ITEM, "w"))
+        both.groupBy(USER, ITEM).agg(F.sum("w").alias("w")).write.mode("overwrite").parquet(f"{path}/cells")
+        cells = spark.read.parquet(f"{path}/cells")
+        titles = self.catalogue.select(ITEM, F.col("title").alias("product_title")).unionByName(interactions.select(ITEM, "product_title"))
+        model_catalogue(cells, titles).write.mode("overwrite").parquet(f"{path}/catalogue")
+        catalogue = spark.read.parquet(f"{path}/catalogue")
+        lists = None
+        if self.graph_depth:
+            items_to_refresh(cells, added.select(ITEM).distinct()).write.mode("overwrite").parquet(f"{path}/refreshed")
+            stale = spark.read.parquet(f"{path}/refreshed")
+            seeds = splittable_join(catalogue, stale, [ITEM], "left_semi").select("item_idx", F.lit(self.graph_depth).alias("k"))
+            fresh = with_keys(cosine_neighbours(cells, catalogue, self.graph_depth, seeds=seeds), catalogue)
+            kept = splittable_join(self.graph.drop("bucket"), stale, [ITEM], "left_anti")
+            lists = kept.select(*fresh.columns).unionByName(fresh)
+        return self._store_graph(spark, path, catalogue, lists, self.graph_depth)
+
+    def lists(self, seeds: DataFrame, top_k: int) -> DataFrame:
+        """(asin, rank, other, score) of the stored graph for items (seed). Only the folders of the seeds are read."""
+        asked = seeds.select(F.col("seed").alias(ITEM), _bucket(F.col("seed"), self.buckets).alias("bucket")).distinct()
+        folders = [r.bucket for r in asked.where(F.col("bucket").isNotNull()).select("bucket").distinct().collect()]  # at most MAX_BUCKETS
+        near = self.graph.where(F.col("bucket").isin(folders) & (F.col("rank") <= top_k))
+        return splittable_join(near, asked, [ITEM, "bucket"], "left_semi").drop("bucket")
 
     def neighbours(self, top_k: int = 10) -> DataFrame:
         return cosine_neighbours(self.cells, self.catalogue, top_k)
 
     def recommend(self, seeds: DataFrame, top_k: int = 10) -> DataFrame:
+        """From the graph where it is deep enough, else from the matrix; the answers are the same."""
+        check_top_k(top_k)
+        if top_k <= self.graph_depth:
+            return answer_from_lists(self.lists(seeds, top_k), self.catalogue, seeds)
         return recommend_seeds(self.cells, self.catalogue, seeds, top_k)
 
     def recommend_histories(self, histories: DataFrame, top_k: int = 10) -> DataFrame:

@@ -232,3 +232,36 @@ def test_stored_model(spark, tmp_path):
     assert rows(model.health()) == [("n_cells", 6), ("n_items", 4), ("n_users", 4)]
     answer = model.recommend(spark.createDataFrame([("i3",)], "seed string"), 5).first()
     assert answer.title == "Unknown Product" and math.isclose(answer.score, 0.624695, abs_tol=1e-6)
+
+
+def test_stored_graph_answers_like_the_matrix(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(kr, "ITEMS_PER_BUCKET", 7)
+    _, df = random_cells(spark, hot_user=True)
+    df = df.withColumnRenamed("w", "rating").withColumn("product_title", F.concat(F.lit("T "), "asin"))
+    lonely = spark.createDataFrame([("only", "alone", 3.0, None)], "reviewerID string, asin string, rating double, product_title string")
+    model = kr.KnnRecommender.fit(df.select(*lonely.columns).union(lonely), str(tmp_path), graph_depth=8)
+    assert model.buckets > 10
+    seeds = spark.createDataFrame([("i1",), ("i2",), ("i2",), ("alone",), ("gone",), (None,)], "seed string")
+    names = ["seed", "seed_title", "rank", "asin", "title", "score", "status"]
+    for top_k in (8, 3):
+        direct = kr.recommend_seeds(model.cells, model.catalogue, seeds, top_k)
+        assert rows(model.recommend(seeds, top_k), *names) == rows(direct, *names)
+    assert model.recommend(seeds, 9).where("rank = 9").count() == 2  # deeper than the graph
+    asked = seeds.where("seed = 'i1'")
+    plan = model.lists(asked, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket", "bucket").replace("(bucket", "bucket")
+
+
+def test_refresh_equals_rebuild(spark, tmp_path):
+    _, df = random_cells(spark, users=200, items=150, seed=8)
+    df = df.withColumnRenamed("w", "rating").withColumn("product_title", F.concat(F.lit("T "), "asin"))
+    columns = ["reviewerID", "asin", "rating", "product_title"]
+    new = spark.createDataFrame([("u1", "i3", 2.0, "A"), ("u1", "i3", 1.0, "B"), ("fresh", "i5", 4.0, "Z"), ("fresh", "unseen", 5.0, None)], ", ".join(["reviewerID string", "asin string", "rating double", "product_title string"]))
+    old = kr.KnnRecommender.fit(df.select(*columns), str(tmp_path / "old"), graph_depth=5)
+    refreshed = old.refresh(new, str(tmp_path / "new"))
+    rebuilt = kr.KnnRecommender.fit(df.select(*columns).union(new), str(tmp_path / "all"), graph_depth=5)
+    columns = ["asin", "rank", "other", "score"]
+    assert rows(refreshed.graph, *columns) == rows(rebuilt.graph, *columns)
+    assert rows(refreshed.catalogue, "asin", "item_idx", "title") == rows(rebuilt.catalogue, "asin", "item_idx", "title")
+    stale = spark.read.parquet(str(tmp_path / "new" / "refreshed")).count()
+    assert 0 < stale < refreshed.catalogue.count() / 2
