@@ -129,7 +129,7 @@ def test_exact_for_any_blocking_and_skew(spark, monkeypatch, hot_user, hot_item,
             assert [f[2] for f in found] == pytest.approx([e[1] for e in expected[i]], abs=2e-9)
 
 
-@pytest.mark.parametrize("options", [{}, {"block_size": 16}, {"block_size": 16, "tile_cells": 40}])
+@pytest.mark.parametrize("options", [{}, {"block_size": 16, "light": 0}, {"block_size": 16, "tile_cells": 40, "light": 9}])
 @pytest.mark.parametrize("how", ["sum", "max"])
 def test_scores_over_whole_histories(spark, how, options):
     """Candidates take every similarity to the history, also beyond the nearest few of an item."""
