@@ -603,6 +603,19 @@ def q_als_fit(spark, sf):
     )
 
 
+def q_als_plain_fit(spark, sf):
+    """With the ridge as given: every item vector must solve its equation for the users returned."""
+    params = als_recommender.AlsParams(factors=32, iterations=3, plain_ridge=True)
+    model = als_recommender.AlsRecommender.fit(titled(spark, sf), scratch_path(spark, "als-model"), params)
+    swapped = model.tables["cells"].select(F.col("item_idx").alias("user_idx"), F.col("user_idx").alias("item_idx"), "c")
+    items = model.tables["item_factors"].withColumnRenamed("item_idx", "user_idx")
+    users = model.tables["user_factors"].withColumnRenamed("user_idx", "item_idx")
+    checked = als_recommender.equation_residuals(swapped, items, users, params.regularization, plain=True)
+    return checked.join(model.tables["catalogue"], checked["user_idx"] == F.col("item_idx")).select(
+        "asin", "n_cells", (F.col("residual") < 1e-6).alias("solved")
+    )
+
+
 def q_als_recommend_user(spark, sf):
     model = fitted_als(spark, sf)
     return model.recommend_users(model.tables["users"], 10)
@@ -968,6 +981,8 @@ SELECT (SELECT count(DISTINCT reviewerID) FROM r) AS n_users, (SELECT count(DIST
   (SELECT count(*) FROM train) AS nnz_train, (SELECT count(*) FROM targets SEMI JOIN train USING (reviewerID, asin)) AS n_already_seen,
   (SELECT count(*) FROM targets) AS n_evaluated, true AS plausible""",
         "als_foldin": f"WITH {EVENTS} SELECT reviewerID AS query, count(*) AS n, true AS solved FROM ev GROUP BY 1",
+        "als_plain_fit": f"""WITH {INTER} SELECT asin, count(DISTINCT reviewerID) AS n_cells, true AS solved FROM inter
+WHERE rating >= 4 GROUP BY 1""",
         "als_fit": f"""WITH {INTER} SELECT reviewerID, count(DISTINCT asin) AS n_cells, true AS solved FROM inter
 WHERE rating >= 4 GROUP BY 1""",
     }

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmate.functions.columns import dot
+from shelfmate.operators.als import fit_plain
 from shelfmate.operators.cleaning import coerce_rating, min_rating
 from shelfmate.operators.factors import fold_in, gram_array, similar_items, sum_vectors, times_matrix, top_items
 from shelfmate.operators.identity import build_catalogue, dense_codes, encode, title_or_default
@@ -31,6 +32,8 @@ class AlsParams:
     alpha: float = 40.0
     min_rating: float = 4.0
     seed: int = 42
+    #: The ridge term as it is, by half-steps over DataFrames; otherwise Spark's ALS, which scales it by the number of cells.
+    plain_ridge: bool = False
 
 
 def observed_ratings(interactions: DataFrame, params: AlsParams, also_required: list[str] | None = None) -> DataFrame:
@@ -43,10 +46,12 @@ def fit_factors(cells: DataFrame, params: AlsParams) -> tuple[DataFrame, DataFra
     Spark weighs a cell ``1 + alpha * r``; feeding ``r = c - 1`` with alpha 1 gives the same
     weight c. Its ridge term is scaled by the number of cells of the user or item.
     Block counts follow the number of cells, so a block stays small as the data grows. (The cells of one hot user
-    or item stay in one block; Spark's ALS does not split them.)
+    or item stay in one block; Spark's ALS does not split them.) ``plain_ridge`` has neither property: see fit_plain.
     """
     if params.alpha <= 0:
         raise ValueError("alpha must be positive")
+    if params.plain_ridge:
+        return fit_plain(cells, params.factors, params.iterations, params.regularization, params.seed)
     spark = cells.sparkSession
     ensure_checkpoint_dir(spark)
     blocks = max(10, spark.sparkContext.defaultParallelism, -(-cells.count() // CELLS_PER_BLOCK))
@@ -71,10 +76,10 @@ def fit_factors(cells: DataFrame, params: AlsParams) -> tuple[DataFrame, DataFra
     return users, items
 
 
-def equation_residuals(cells: DataFrame, users: DataFrame, items: DataFrame, regularization: float) -> DataFrame:
+def equation_residuals(cells: DataFrame, users: DataFrame, items: DataFrame, regularization: float, plain: bool = False) -> DataFrame:
     """(user_idx, n_cells, residual): how far each user vector is from solving its equation.
 
-    ``(Y'Y + sum (c-1) y y' + reg n I) x = sum c y``, largest absolute component, relative to
+    ``(Y'Y + sum (c-1) y y' + reg n I) x = sum c y`` (without n if ``plain``), largest absolute component, relative to
     the largest component of the right side.
     """
     gram = gram_array(items)
@@ -92,7 +97,7 @@ def equation_residuals(cells: DataFrame, users: DataFrame, items: DataFrame, reg
     sums = sum_vectors(both, "user_idx").join(
         cells.groupBy("user_idx").agg(F.count(F.lit(1)).alias("n_cells")), "user_idx"
     )
-    ridge = F.lit(float(regularization)) * F.col("n_cells")
+    ridge = F.lit(float(regularization)) * (F.lit(1) if plain else F.col("n_cells"))
     width = len(gram)
     gram_x = times_matrix(users.select("user_idx", F.col("vector").alias("gx")), "gx", gram)
     whole = sums.join(users.withColumnRenamed("vector", "x"), "user_idx").join(gram_x, "user_idx")
@@ -143,7 +148,7 @@ class AlsRecommender:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "AlsRecommender":
         stored = spark.read.json(f"{path}/params").first().asDict()
-        params = AlsParams(**stored)
+        params = AlsParams(**{k: v for k, v in stored.items() if k in AlsParams.__dataclass_fields__})
         return cls({name: spark.read.parquet(f"{path}/{name}") for name in cls.TABLES}, params)
 
     def _described(self, ranked: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from shelfmate.operators import factors
+from shelfmate.operators import als, factors
 from shelfmate.plans.als_recommender import AlsParams, AlsRecommender, equation_residuals, fit_factors
 
 
@@ -108,6 +108,41 @@ def test_user_vectors_solve_their_equation(spark, cells):
     assert rows(users, "user_idx", "vector") == rows(again, "user_idx", "vector")
 
 
+def test_plain_ridge_equals_plain_loops_with_hot_rows_split(spark):
+    rng = np.random.default_rng(17)
+    found = {(int(rng.integers(30)), int(rng.integers(40))): 1 + 40.0 * int(rng.integers(4, 6)) for _ in range(250)}
+    found |= {(99, i): 1 + 40.0 * (4 + i % 2) for i in range(120)}  # a third of the cells
+    cells = spark.createDataFrame([(u, i, c) for (u, i), c in found.items()], "user_idx int, item_idx int, c double")
+    users, items = als.fit_plain(cells, 4, 2, 0.05, chunk=25)
+    assert als.deal(cells, "user_idx", "item_idx", 25).where("key = 99").agg(F.max("parts"), F.countDistinct("part")).first() == (5, 5)
+    got_users = {r.user_idx: np.array(r.vector) for r in users.collect()}
+    got_items = {r.item_idx: np.array(r.vector) for r in items.collect()}
+    first = als.first_vectors(cells.select(F.col("item_idx").alias("idx")).distinct(), 4, 42)
+    y = {r.idx: np.array(r.vector) for r in first.collect()}
+
+    def step(fixed, side):
+        gram = sum(np.outer(v, v) for v in fixed.values())
+        out = {}
+        for key in {k[side] for k in found}:
+            mine = [(fixed[k[1 - side]], c) for k, c in found.items() if k[side] == key]
+            left = gram + sum((c - 1) * np.outer(v, v) for v, c in mine) + 0.05 * np.eye(4)
+            out[key] = np.linalg.solve(left, sum(c * v for v, c in mine))
+        return out
+
+    for _ in range(2):
+        x = step(y, 0)
+        y = step(x, 1)
+    assert set(got_users) == set(x) and set(got_items) == set(y)
+    assert all(np.allclose(got_users[k], x[k], rtol=1e-6, atol=1e-9) for k in x)
+    assert all(np.allclose(got_items[k], y[k], rtol=1e-6, atol=1e-9) for k in y)
+    # Each side against the vectors it was solved for.
+    swapped = cells.select(F.col("item_idx").alias("user_idx"), F.col("user_idx").alias("item_idx"), "c")
+    last = equation_residuals(swapped, items.withColumnRenamed("item_idx", "user_idx"), users.withColumnRenamed("user_idx", "item_idx"), 0.05, plain=True)
+    again = als.half_step(als.deal(cells, "user_idx", "item_idx", 25), items.withColumnRenamed("item_idx", "idx"), 0.05).withColumnRenamed("idx", "user_idx")
+    for checked in (last, equation_residuals(cells, again, items, 0.05, plain=True)):
+        assert checked.agg(F.max("residual")).first()[0] < 1e-6
+
+
 def test_alpha_must_be_positive(spark, cells):
     with pytest.raises(ValueError):
         fit_factors(cells, AlsParams(alpha=0.0))
