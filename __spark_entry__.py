@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from shelfmate.functions.columns import clean_text, confidence, dot, hybrid_score, recency_confidence  # noqa: E402
-from shelfmate.operators import cleaning, factors, holdout, identity, matrix, metrics, profile, quantiles  # noqa: E402
+from shelfmate.operators import cleaning, factors, holdout, identity, matrix, metrics, profile, quantiles, sentiment  # noqa: E402
 from shelfmate.operators.knn import cosine_similarities  # noqa: E402
 from shelfmate.operators.search import search_titles  # noqa: E402
 from shelfmate.plans import als_recommender, categories, evaluation, knn_recommender  # noqa: E402
@@ -404,6 +404,15 @@ def q_clean_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", clean_text(F.col("text")).alias("cleaned"))
 
 
+def q_lexicon_sentiment(spark, sf):
+    """Every document by the words that tell good from bad documents."""
+    docs = table(spark, sf, "documents")
+    counts = cut_lineage(sentiment.word_counts(docs, "doc_id", "text"))
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("key"), F.col("quality").alias("label"))
+    scored = sentiment.score_texts(docs, "doc_id", counts, sentiment.learn_lexicon(counts, labels))
+    return scored.select(F.col("key").alias("doc_id"), "n_words", "n_hits", six(F.col("score"), "score"))
+
+
 def q_hybrid_score(spark, sf):
     """Events as reviews: the rating from the number of the item, the value as sentiment."""
     events = event_cells(spark, sf).withColumn("rating", F.lit(1.0) + F.pmod(F.col("asin").cast("int"), F.lit(5)))
@@ -877,6 +886,17 @@ SELECT CAST(p_partkey AS VARCHAR) AS seed, rank, o.asin, round(score, 6) AS scor
 FROM part LEFT JOIN ids s ON s.asin = CAST(p_partkey AS VARCHAR)
 LEFT JOIN (SELECT * FROM near WHERE rank <= 10) near ON near.item_idx = s.item_idx LEFT JOIN ids o ON o.item_idx = other_idx""",
         "clean_text": """SELECT doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\p{M}]+', ' ', 'g')) AS cleaned FROM documents""",
+        "lexicon_sentiment": r"""WITH c AS (SELECT doc_id, word, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents) GROUP BY ALL),
+w AS (SELECT word, sum(n) AS n, coalesce(sum(n) FILTER (quality = 1), 0) AS n1, coalesce(sum(n) FILTER (quality = 0), 0) AS n0
+  FROM c LEFT JOIN labels USING (doc_id) GROUP BY word),
+a AS (SELECT *, 1000.0::DOUBLE * n / sum(n) OVER () AS a, sum(n1) OVER () AS t1, sum(n0) OVER () AS t0 FROM w),
+z AS (SELECT word, ln((n1 + a) / (t1 + 1000 - n1 - a)) - ln((n0 + a) / (t0 + 1000 - n0 - a)) AS weight,
+  sqrt(1 / (n1 + a) + 1 / (n0 + a)) AS error FROM a),
+s AS (SELECT doc_id, sum(n) AS n_words, sum(n) FILTER (weight IS NOT NULL) AS n_hits, sum(n * weight) AS total
+  FROM c LEFT JOIN (SELECT word, weight FROM z WHERE abs(weight / error) >= 1.96) USING (word) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_hits, 0)::BIGINT AS n_hits,
+  round(coalesce(total / n_hits, 0), 6) AS score FROM documents LEFT JOIN s USING (doc_id)""",
         "hybrid_score": f"""WITH {EVENTS}, b AS (SELECT min(value) AS low, max(value) AS high FROM ev)
 SELECT event_id, round(0.7::DOUBLE * (1 + CAST(asin AS INTEGER) % 5) + 0.3::DOUBLE * (1 + 4 * (value - low) / (high - low)), 6) AS score
 FROM ev, b""",
