@@ -248,7 +248,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def _encoder(token: str, entries, pattern) -> Encoder:
-    """One per worker process: it outlives the task."""
+    """One per worker process: it outlives the task, and so do the merges it remembers (at most REMEMBERED and a piece's)."""
     if token not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[token] = Encoder(entries.value, pattern)
@@ -275,7 +275,6 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
                 ids, counts = encoder.encode([t or "" for t in texts.slice(start, stop - start).to_pylist()])
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 yield _with(piece, out, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)))
-        encoder.merged.clear()
 
     return df.mapInArrow(run, _schema_with(df, out, T.ArrayType(T.IntegerType())))
 
