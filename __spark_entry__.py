@@ -573,6 +573,18 @@ def q_factor_top_items(spark, sf):
     return top.select("query", "rank", "item_idx", six(F.col("score"), "score"))
 
 
+def q_factor_top_weighted(spark, sf):
+    """As factor_top_items, over items of very different lengths and in small blocks, so that bounds leave groups out."""
+    length = F.pow(F.lit(1.5), F.col("label"))
+    items = table(spark, sf, "embeddings").select(
+        F.col("vec_id").cast("int").alias("item_idx"), F.transform("embedding", lambda x: x.cast("double") * length).alias("vector")
+    )
+    seen = event_histories(spark, sf).distinct()
+    users = factors.sum_vectors(seen.join(items, "item_idx"), "query")
+    top = factors.top_items(users, items, 10, exclude=seen, block_size=64)
+    return top.select("query", "rank", "item_idx", six(F.col("score"), "score"))
+
+
 def q_als_foldin(spark, sf):
     """Fold-in vectors put back into their equation: (G + reg I) x must give the item sum."""
     items = embedded_items(spark, sf)
@@ -780,6 +792,8 @@ def library_sql() -> dict[str, str]:
   SELECT p_partkey, p_type, CASE WHEN p_type <> 'ECONOMY' THEN p_name END AS title FROM part)"""
     embedded = """emb AS (
   SELECT CAST(vec_id AS INTEGER) AS item_idx, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
+    weighted = """emb AS (
+  SELECT CAST(vec_id AS INTEGER) AS item_idx, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * pow(1.5, label)) AS v FROM embeddings)"""
     event_ranked = f"{EVENTS}, ranked AS (SELECT *, CASE WHEN category <> 'error' THEN CAST(asin AS INTEGER) + 1 END AS rank FROM ev)"
     asked = " UNION ALL ".join(f"SELECT '{q}' AS query" for q in SEARCHES)
     titled_ids = f"{INTER}, {META}, {IDS}, cat AS (SELECT asin, item_idx, product_title AS title FROM ids LEFT JOIN meta ON asin = parent_asin)"
@@ -982,6 +996,15 @@ users AS (SELECT query, list(x ORDER BY i) AS v FROM sums GROUP BY query),
 s AS (SELECT query, item_idx, round(list_dot_product(u.v, e.v), 9) AS score FROM users u, emb e
   WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.query = u.query AND seen.item_idx = e.item_idx)),
 k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, item_idx) AS INTEGER) AS rank FROM s)
+SELECT query, rank, item_idx, round(score, 6) AS score FROM k WHERE rank <= 10""",
+        "factor_top_weighted": f"""WITH {EVENTS}, {weighted},
+seen AS (SELECT DISTINCT reviewerID AS query, CAST(asin AS INTEGER) AS item_idx FROM ev),
+parts AS (SELECT query, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM seen JOIN emb USING (item_idx)),
+sums AS (SELECT query, i, sum(x) AS x FROM parts GROUP BY ALL),
+users AS (SELECT query, list(x ORDER BY i) AS v FROM sums GROUP BY query),
+s AS (SELECT query, item_idx, round(list_dot_product(u.v, e.v), 9) AS score FROM users u, emb e
+  WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.query = u.query AND seen.item_idx = e.item_idx)),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, item_idx) AS INTEGER) AS rank FROM s)
 SELECT query, rank, item_idx, round(score, 6) AS score FROM k WHERE rank <= 10""",
         "als_recommend_checked": f"""WITH {INTER}, pairs AS (SELECT DISTINCT reviewerID, asin FROM inter WHERE rating >= 4)
 SELECT reviewerID, least(10, (SELECT count(DISTINCT asin) FROM pairs) - count(*)) AS n, 0 AS n_seen, true AS exact

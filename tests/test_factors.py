@@ -65,6 +65,16 @@ def test_bounds_leave_out_tiles_but_no_answer(spark, kind):
         assert report["visited"] < 0.6 * report["all"]
 
 
+def test_visits_on_the_embeddings_table(spark):
+    """Items of different lengths: part of the tiles answers every query."""
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    items = table.select(F.col("vec_id").alias("item_idx"), F.transform("embedding", lambda x: x * F.pow(F.lit(1.5), F.col("label"))).alias("vector"))
+    queries = table.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    report = {}
+    assert factors.top_items(queries, items, 10, block_size=32, report=report).count() == 10 * queries.count()
+    assert 0 < report["visited"] < 0.8 * report["all"]
+
+
 def test_similar_items_leave_out_the_seed(spark):
     y, items = vectors(spark, 30, 4, "item_idx", 5)
     seeds = spark.createDataFrame([(3,), (3,), (29,)], "item_idx int")
