@@ -15,7 +15,9 @@ pair at 0.8 with probability 0.9994.
 
 Verifying. Exact copies (equal word sequences) are one node. In a bucket, first every member is compared with the
 bucket's hub, the member that meets most others over all bands; hub links make components. Where a bucket is
-still in several components, each member outside the hub's component is compared with all others, in
+still in several components, HUBS members outside its largest one are compared with all members, in rows linear in the bucket; then
+all links of these hubs are known and they leave the bucket. Up to HUB_ROUNDS such rounds join what belongs together. In
+a bucket that is still in several components, each member outside the largest is compared with all others, in
 tiles of BLOCK x BLOCK texts whose total weights allow 0.8 at all. So no link inside a bucket that would join two components
 is missed, no list of pairs is ever made, and a tile returns at most a spanning forest of its links.
 
@@ -45,6 +47,8 @@ SIMILARITY = 0.8
 RARE = 1e-3
 BANDS, ROWS = 14, 4
 BLOCK = 128
+#: Hubs of a bucket in each further round, and most such rounds before what is left is compared in tiles.
+HUBS, HUB_ROUNDS = 32, 3
 #: Ratio of total weights of neighbouring weight classes: a pair at SIMILARITY is at most one class apart.
 _CLASS = float(np.log(1 / SIMILARITY))
 
@@ -372,8 +376,31 @@ def _links(members: DataFrame, texts: DataFrame, idf, similarity: float) -> Data
     return together.mapInArrow(_verify(idf, similarity), "a string, b string")
 
 
+def _unresolved(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, node, size, outside) of the buckets whose members are in several components; ``outside`` are the members
+    that are not in the bucket's largest one."""
+    rooted = splittable_join(met, roots, ["node"], "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root"))
+    parts = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    whole = parts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("_largest"), F.count(F.lit(1)).alias("_parts"))
+    whole = whole.where("_parts > 1").select("bucket", F.col("_largest.root").alias("_root"))
+    return splittable_join(rooted, whole, ["bucket"], "inner").select("bucket", "node", "size", (F.col("root") != F.col("_root")).alias("outside"))
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after more links (a, b): only the components that the links touch are worked on."""
+    ends = links
+    for end in ("a", "b"):
+        at = roots.select(F.col("node").alias(end), F.col("root").alias(f"_{end}"))
+        ends = splittable_join(ends, at, [end], "left")
+    ends = ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    onward = components(ends)
+    moved = splittable_join(roots, onward.select(F.col("node").alias("root"), F.col("root").alias("_root")), ["root"], "left")
+    fresh = splittable_join(onward, roots.select("node"), ["node"], "left_anti")
+    return moved.select("node", F.coalesce("_root", "root").alias("root")).unionAll(fresh.select("node", "root"))
+
+
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", *, similarity: float = SIMILARITY, bands: int = BANDS,
-                 rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+                 rows: int = ROWS, block: int = BLOCK, hubs_a_round: int = HUBS, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     """One row per document: key, node (digest of its words), class_id, class_size, kept."""
     spark = docs.sparkSession
     prepare(spark)
@@ -408,17 +435,30 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", *, si
     first = through_table(_links(members, texts, idf, similarity), "near-links")
     roots = through_table(components(first), "near-roots")
 
-    # Second round: buckets still in several components. Members outside the hub's component against all others.
-    rooted = met.join(roots.withColumnRenamed("root", "_root"), met["node"] == roots["node"], "left").select(
-        "bucket", met["node"], "size", F.coalesce("_root", met["node"]).alias("root")
-    )
-    hub_roots = hubs.join(roots.withColumnRenamed("root", "_root"), hubs["hub"] == roots["node"], "left").select(
-        "bucket", F.coalesce("_root", "hub").alias("hub_root")
-    )
-    # Members of one component count once here: a bucket wholly in its hub's component is done.
-    open_rows = splittable_join(rooted, hub_roots, ["bucket"], "inner").withColumn("outside", F.col("root") != F.col("hub_root"))
-    unresolved = open_rows.groupBy("bucket").agg(F.max("outside").alias("any")).where("any").select("bucket")
-    open_rows = through_table(splittable_join(open_rows, unresolved, ["bucket"], "inner"), "near-open")
+    # Further rounds: many hubs at once, chosen among those outside the largest component of a bucket.
+    for _ in range(hub_rounds):
+        still = through_table(_unresolved(met, roots), "near-open")
+        draw = Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
+        chosen = still.where("outside").withColumn("_place", F.row_number().over(draw)).where(F.col("_place") <= hubs_a_round)
+        chosen = through_table(chosen.select("bucket", F.col("node").alias("hub")), "near-hubs")
+        if chosen.isEmpty():
+            break
+        blocks = still.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(2 * block)).alias("blocks"))
+        named = lambda at: F.concat_ws("/", "bucket", at).alias("tile")
+        compared = splittable_join(still.select("bucket", "node"), blocks, ["bucket"], "inner")
+        compared = compared.select(named(F.pmod(F.xxhash64("node"), F.col("blocks"))), "node", F.lit(1).alias("side"))
+        asking = chosen.join(blocks, "bucket").withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        asking = asking.select(named(F.col("_at")), F.col("hub").alias("node"), F.lit(0).alias("side"))
+        found = through_table(_links(compared.unionAll(asking), texts, idf, similarity).where("a <> b").distinct(), "near-hub-links")
+        # All links of a hub in its bucket are known now, so it takes no further part there.
+        met = splittable_join(still.select("bucket", "node", "size"), chosen.withColumnRenamed("hub", "node"), ["bucket", "node"], "left_anti")
+        met = through_table(met, "near-left")
+        if found.isEmpty():
+            break
+        roots = through_table(_joined(roots, found), "near-roots")
+
+    # Last round: what is still in several components. Members outside the largest one against all others.
+    open_rows = through_table(_unresolved(met, roots), "near-open")
     by_size = open_rows.groupBy("bucket", "size").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("blocks"), F.max("outside").alias("any")
     )
@@ -437,9 +477,8 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", *, si
         return chosen.join(at, ["bucket", "size", "block"]).select("tile", "node", F.lit(which).alias("side"))
 
     members = side(0, placed.where("outside")).unionAll(side(1, placed))
-    second = _links(members, texts, idf, similarity).where("a <> b")
-    every = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(second)
-    classes = through_table(components(every), "near-classes")
+    last = through_table(_links(members, texts, idf, similarity).where("a <> b").distinct(), "near-last-links")
+    classes = through_table(_joined(roots, last), "near-classes")
 
     # Back to documents, through the node: hot nodes (many exact copies) are split.
     of_class = splittable_join(

@@ -28,8 +28,8 @@ def by_hand(docs, similarity=0.8):
     return classes_by_hand(links, keys)
 
 
-def check(spark, rows):
-    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+def check(spark, rows, **options):
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()
     mine = {}
     for r in got:
         mine.setdefault(r.class_id, set()).add(r.doc_id)
@@ -58,6 +58,29 @@ def test_group_of_edited_copies_and_common_passage(spark):
     check(spark, rows)
 
 
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_family_about_the_threshold_in_small_tiles(spark, rounds):
+    """Copies edited so much that few pairs are links, in tiles of four: hubs and tiles of several blocks against all pairs."""
+    draw = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(500)]
+    base = list(draw.choice(words, 150))
+    rows = []
+    for i in range(60):
+        copy = base.copy()
+        for place in draw.choice(150, draw.integers(2, 6), replace=False):
+            copy[place] = str(draw.choice(words))
+        rows.append((i, " ".join(copy)))
+    check(spark, rows, block=4, hubs_a_round=3, hub_rounds=rounds)
+
+
+def test_links_between_components(spark):
+    """More links join whole components, nodes that had no link before among them."""
+    roots = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), ("m", "m"), ("n", "m")], "node string, root string")
+    links = spark.createDataFrame([("d", "x"), ("b", "x"), ("y", "z")], "a string, b string")
+    got = {r.node: r.root for r in near_dedup._joined(roots, links).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "a", "m": "m", "n": "m", "y": "y", "z": "y"}
+
+
 def test_awkward(spark):
     docs = awkward(spark)
     got = near_dedup.near_classes(docs).collect()
