@@ -30,7 +30,8 @@ Character references are decoded, white space [\\x20\\x09-\\x0D] inside a block
 line feeds; <br> is white space.
 
 Defined results: a null or empty page has the text ''. Pages without a host form one group. Repeated rows are
-extracted each. Elements nested deeper than DEEPEST are treated as flat; their text stays. Only key, url and html are read.
+extracted each. Only key, url and html are read. Pages are read whole at any depth, in time linear in their length; below DEEPEST
+a wrapper knows only how much text there is and whether some of it is marked, so unchanging texts and link lists are not told there.
 """
 
 from __future__ import annotations
@@ -84,9 +85,8 @@ ENDS = {
 _KEEPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"},
           "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
-)
+_OPENING = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/<>]*))")
+_SPECIAL = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
 _PIECES = re.compile(r"[a-z]+")
@@ -122,59 +122,111 @@ def _label(tag: str, attributes: str) -> str:
     return tag
 
 
+class _Ends:
+    """Where tags of a page end: at the first ``>`` outside quotes. Starts ascend, and each quote or ``>`` that leads to no end
+    is remembered, so all starts together take time linear in the page."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.next, self.dead = -1, set()
+
+    def after(self, at: int) -> int:
+        """The place of the ``>`` that ends the tag whose name ends before ``at``, or -1."""
+        if at > self.last:
+            return -1
+        if self.next < at:
+            self.next = self._special(at)
+        here, met = self.next, []
+        while 0 <= here <= self.last and here not in self.dead:
+            sign = self.page[here]
+            if sign == ">":
+                return here
+            met.append(here)
+            close = self.page.find(sign, here + 1)
+            here = self._special(close + 1) if close >= 0 else -1
+        self.dead.update(met)
+        return -1
+
+    def _special(self, at: int) -> int:
+        found = _SPECIAL.search(self.page, at)
+        return found.start() if found else len(self.page)
+
+
+def _tokens(page: str):
+    """(text before, closing, tag, attributes, end) of every token; the tag is None for comments, declarations and the end."""
+    ends, at, end = _Ends(page), 0, len(page)
+    seek = 0
+    while True:
+        match = _OPENING.search(page, seek)
+        if not match:
+            yield page[at:], False, None, "", end
+            return
+        if match[2] is None:
+            close, width = ("-->", 3) if match[0] == "<!--" else (">", 1)
+            stop = page.find(close, match.end())
+            stop = end if stop < 0 else stop + width
+        else:
+            stop = ends.after(match.end()) + 1
+            if not stop:
+                seek = match.start() + 1
+                continue
+        jump = yield page[at : match.start()], bool(match[1]), match[2], page[match.end() : stop - 1], stop
+        at = seek = stop if jump is None else jump
+
+
 def parse(page: str) -> Element:
-    """The element tree of a page, however badly closed. Children are elements and texts."""
+    """The element tree of a page, however badly closed and however deep. Children are elements and texts."""
     root = Element("", "")
     stack = [root]
-    at = 0
+    places: dict[str, list[int]] = {}  # by tag, where the stack has it
+    blocks: list[int] = []  # where the stack has blocks other than paragraphs
     end = len(page)
-    while at < end:
-        match = _TOKEN.search(page, at)
-        start = match.start() if match else end
-        if start > at:
-            stack[-1].children.append(page[at:start])
-        if not match:
-            break
-        at = match.end()
-        tag = match[2]
+
+    def last(tags) -> int:
+        return max((places[tag][-1] for tag in tags if places.get(tag)), default=0)
+
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            places[stack.pop().tag].pop()
+        while blocks and blocks[-1] >= depth:
+            blocks.pop()
+
+    tokens = _tokens(page)
+    jump = None
+    while True:
+        try:
+            text, closing, tag, attributes, at = tokens.send(jump)
+        except StopIteration:
+            return root
+        jump = None
+        if text:
+            stack[-1].children.append(text)
         if tag is None:
             continue
         tag = tag.lower()
-        if match[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
-                    break
+        if closing:
+            if last((tag,)):
+                close(last((tag,)))
             continue
-        if tag in BLOCKS:
-            _close_paragraph(stack)
+        if tag in BLOCKS and last(("p",)) > (blocks[-1] if blocks else 0):
+            close(last(("p",)))
         if tag in ENDS:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag in _KEEPS[tag]:
-                    break
-                if stack[depth].tag in ENDS[tag]:
-                    del stack[depth:]
-                    break
-        element = Element(tag, _label(tag, match[3]))
+            ended = last(ENDS[tag])
+            if ended > last(_KEEPS[tag]):
+                close(ended)
+        element = Element(tag, _label(tag, attributes))
         stack[-1].children.append(element)
         if tag in RAW:
-            closing = re.compile(f"</{tag}[\\s/>]", re.I).search(page, at)
-            stop = closing.start() if closing else end
+            raw_end = re.compile(f"</{tag}[\\s/>]", re.I).search(page, at)
+            stop = raw_end.start() if raw_end else end
             element.children.append(page[at:stop])
-            at = page.find(">", stop) + 1 if closing else end
-            at = at or end
-        elif tag not in VOID and len(stack) < DEEPEST:
+            jump = page.find(">", stop) + 1 if raw_end else end
+            jump = jump or end
+        elif tag not in VOID:
+            places.setdefault(tag, []).append(len(stack))
+            if tag in BLOCKS and tag != "p":
+                blocks.append(len(stack))
             stack.append(element)
-    return root
-
-
-def _close_paragraph(stack: list[Element]) -> None:
-    for depth in range(len(stack) - 1, 0, -1):
-        if stack[depth].tag == "p":
-            del stack[depth:]
-            return
-        if stack[depth].tag in BLOCKS:
-            return
 
 
 def is_aside(label: str, in_main: bool) -> bool:
@@ -218,13 +270,30 @@ class Place:
         return f"({inner}){mark}" if mark else inner
 
 
-def own_wrapper(element: Element, in_link: bool = False) -> Place:
+def _flat(element: Element) -> list[Place]:
+    """What lies below a place at the greatest depth: one text slot, and the first element marked as main text."""
+    chars, main, work = 0, None, [element]
+    while work:
+        at = work.pop()
+        for child in reversed(at.children):
+            if not isinstance(child, Element):
+                chars += len(clean(child))
+            elif not is_aside(child.label, True):
+                if is_main(child.label):
+                    main = child.label
+                work.append(child)
+    return ([Place("#", chars=chars)] if chars else []) + ([Place(main)] if main else [])
+
+
+def own_wrapper(element: Element, in_link: bool = False, depth: int = 0) -> Place:
     """A page's own wrapper: its tokens, with repeats folded."""
+    if depth >= DEEPEST:
+        return Place(element.label, children=_flat(element))
     places = []
     link = in_link or element.tag == "a"
     for child in element.children:
         if isinstance(child, Element):
-            places.append(own_wrapper(child, link))
+            places.append(own_wrapper(child, link, depth + 1))
         else:
             text = clean(child)
             if text:
@@ -412,42 +481,59 @@ class _Blocks:
             self.done.append(block)
 
 
-def _take(element: Element, blocks: _Blocks, plan: dict, path: str = "", only: bool = False) -> None:
-    same = plan["same"].get(path, ())
-    for child in element.children:
-        if not isinstance(child, Element):
-            if not only and not (same and zlib.crc32(clean(child).encode()) in same):
-                blocks.text(child)
-            continue
-        below = f"{path}/{child.label}"
-        if below not in plan["kept"] and is_aside(child.label, True):
-            continue
-        block = child.tag in BLOCKS
-        if block:
-            blocks.end()
-        if below in plan["links"]:
-            continue
-        if child.tag == "br":
-            blocks.text("\n")
-        _take(child, blocks, plan, below, _only_headings(child.tag, only))
-        if block:
-            blocks.end()
+def _below(path: str | None, label: str, depth: int) -> str | None:
+    """The path of a child at ``depth``; None beyond the depth of wrappers, which no plan mentions."""
+    return f"{path}/{label}" if depth <= DEEPEST else None
+
+
+def _take(element: Element, blocks: _Blocks, plan: dict, path: str | None = "", depth: int = 0) -> None:
+    work = [(iter(element.children), path, False, False)]
+    while work:
+        children, path, only, is_block = work[-1]
+        same = plan["same"].get(path, ())
+        for child in children:
+            if not isinstance(child, Element):
+                if not only and not (same and zlib.crc32(clean(child).encode()) in same):
+                    blocks.text(child)
+                continue
+            below = _below(path, child.label, depth + len(work))
+            if below not in plan["kept"] and is_aside(child.label, True):
+                continue
+            block = child.tag in BLOCKS
+            if block:
+                blocks.end()
+            if below in plan["links"]:
+                continue
+            if child.tag == "br":
+                blocks.text("\n")
+            work.append((iter(child.children), below, _only_headings(child.tag, only), block))
+            break
+        else:
+            work.pop()
+            if is_block:
+                blocks.end()
 
 
-def _marked(element: Element, blocks: _Blocks, plan: dict, path: str = "") -> bool:
+def _marked(element: Element, blocks: _Blocks, plan: dict) -> bool:
     found = False
-    for child in element.children:
-        if not isinstance(child, Element):
-            continue
-        below = f"{path}/{child.label}"
-        if below not in plan["kept"] and is_aside(child.label, False):
-            continue
-        if is_main(child.label):
-            _take(child, blocks, plan, below)
-            blocks.end()
-            found = True
+    work = [(iter(element.children), "")]
+    while work:
+        children, path = work[-1]
+        for child in children:
+            if not isinstance(child, Element):
+                continue
+            below = _below(path, child.label, len(work))
+            if below not in plan["kept"] and is_aside(child.label, False):
+                continue
+            if is_main(child.label):
+                _take(child, blocks, plan, below, len(work))
+                blocks.end()
+                found = True
+            else:
+                work.append((iter(child.children), below))
+                break
         else:
-            found |= _marked(child, blocks, plan, below)
+            work.pop()
     return found
 
 

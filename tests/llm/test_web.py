@@ -6,6 +6,7 @@ import html
 import io
 import os
 import re
+import time
 import zlib
 
 import pytest
@@ -232,3 +233,30 @@ def test_main_text_awkward(spark):
     assert html_wrappers.main_text(spark.createDataFrame([], PAGES)).count() == 0
     many = "".join(f"<t{i % 40}>w{i}</t{i % 40}>" for i in range(500))
     assert html_wrappers.extract(html_wrappers.parse(many), None).count("w") == 500
+
+
+def text_of(page):
+    return html_wrappers.extract(html_wrappers.parse(page), None)
+
+
+def test_pages_of_any_depth():
+    nest, out = "<div>" * 400, "</div>" * 400
+    assert text_of(f"<article><p>Before</p>{nest}<p>inner</p>{out}<p>After the nest</article>") == "Before\n\ninner\n\nAfter the nest"
+    assert text_of(f"<article>{nest}<nav>menu</nav>deep{out}end</article>") == "deep\n\nend"
+    assert text_of(f"<p>side</p>{nest}<article>deep<header>by<h1>Title</h1></header></article>{out}") == "deep\n\nTitle"
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 350_000, "<a<" * 350_000, '<a "' * 250_000 + ">", "<a '" * 100_000 + '"' * 100_000 + ">", "<div>" * 200_000 + "x" + "</span>" * 100_000,
+     "<ul><li><ul>" + "<b>" * 100_000 + "<li></li>" * 100_000, "<b>" * 100_000 + "<hr>" * 100_000],
+)
+def test_malformed_pages_take_linear_time(page):
+    start = time.time()
+    text_of(page)
+    assert time.time() - start < 30
+
+
+def test_tags_end_outside_quotes():
+    assert text_of("<p title='a > b' class=\"x>y\">one</p><p>a < b and <c") == "one\n\na < b and c"
+    assert text_of('<p>one <a href="x> two</p>') == 'one <a href="x> two'
