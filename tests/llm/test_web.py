@@ -258,5 +258,5 @@ def test_malformed_pages_take_linear_time(page):
 
 
 def test_tags_end_outside_quotes():
-    assert text_of("<p title='a > b' class=\"x>y\">one</p><p>a < b and <c") == "one\n\na < b and c"
+    assert text_of("<p title='a > b' class=\"x>y\">one</p><p>a < b and <c") == "one\n\na < b and <c"
     assert text_of('<p>one <a href="x> two</p>') == 'one <a href="x> two'
