@@ -14,9 +14,9 @@ Two texts agree with probability equal to their weighted Jaccard similarity. 14
 pair at 0.8 with probability 0.9994.
 
 Verifying. Exact copies (equal word sequences) are one node. In a bucket, first every member is compared with the
-bucket's hub, the member that meets most others over all bands; hub links make components. Where a bucket is
-still in several components, HUBS members outside its largest one are compared with all members, in rows linear in the bucket; then
-all links of these hubs are known and they leave the bucket. Up to HUB_ROUNDS such rounds join what belongs together. In
+bucket's hub, the member that meets most others over all bands; hub links make components. With ``hub_rounds``, where a bucket
+is still in several components, ``hubs_a_round`` members outside its largest one are compared with all members, in rows linear in
+the bucket; then all links of these hubs are known and they leave the bucket. In
 a bucket that is still in several components, each member outside the largest is compared with all others, in
 tiles of BLOCK x BLOCK texts whose total weights allow 0.8 at all. So no link inside a bucket that would join two components
 is missed, no list of pairs is ever made, and a tile returns at most a spanning forest of its links.
@@ -47,8 +47,9 @@ SIMILARITY = 0.8
 RARE = 1e-3
 BANDS, ROWS = 14, 4
 BLOCK = 128
-#: Hubs of a bucket in each further round, and most such rounds before what is left is compared in tiles.
-HUBS, HUB_ROUNDS = 32, 3
+#: Hubs of a bucket in each further round, and most such rounds before what is left is compared in tiles. None unless asked
+#: for: they pay where large groups hang together by chains of links, and cost time where a group is mostly unlike.
+HUBS, HUB_ROUNDS = 64, 0
 #: Ratio of total weights of neighbouring weight classes: a pair at SIMILARITY is at most one class apart.
 _CLASS = float(np.log(1 / SIMILARITY))
 
