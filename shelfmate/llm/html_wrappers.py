@@ -178,7 +178,8 @@ def parse(page: str) -> Element:
     """The element tree of a page, however badly closed and however deep. Children are elements and texts."""
     root = Element("", "")
     stack = [root]
-    places: dict[str, list[int]] = {}  # by tag, where the stack has it
+    places: dict[str, list[int]] = {"p": []}  # by tag, where the stack has it
+    paragraphs = places["p"]
     blocks: list[int] = []  # where the stack has blocks other than paragraphs
     end = len(page)
 
@@ -205,11 +206,11 @@ def parse(page: str) -> Element:
             continue
         tag = tag.lower()
         if closing:
-            if last((tag,)):
-                close(last((tag,)))
+            if places.get(tag):
+                close(places[tag][-1])
             continue
-        if tag in BLOCKS and last(("p",)) > (blocks[-1] if blocks else 0):
-            close(last(("p",)))
+        if paragraphs and tag in BLOCKS and paragraphs[-1] > (blocks[-1] if blocks else 0):
+            close(paragraphs[-1])
         if tag in ENDS:
             ended = last(ENDS[tag])
             if ended > last(_KEEPS[tag]):
