@@ -317,29 +317,50 @@ def sum_vectors(df: DataFrame, by: str, column: str = "vector") -> DataFrame:
     return df.groupBy(by).agg(vector_to_array(Summarizer.sum(as_vector)).alias(column))
 
 
-def fold_in(histories: DataFrame, items: DataFrame, regularization: float, gram: np.ndarray | None = None) -> DataFrame:
+def ridge_factor(gram: np.ndarray, regularization: float) -> np.ndarray:
+    """Lower Cholesky factor of ``Y'Y + reg I``: made once per model and stored with it."""
+    return np.linalg.cholesky(gram + regularization * np.eye(len(gram)))
+
+
+def fold_in(
+    histories: DataFrame, items: DataFrame, regularization: float, gram: np.ndarray | None = None, factor: np.ndarray | None = None
+) -> DataFrame:
     """User vectors for histories the model has not seen: (query, vector).
 
     Every history item counts with weight one, so the normal equation is
     ``(Y'Y + reg I) x = sum of the item vectors``; repeated items count repeatedly and
-    items without factors are ignored. The solve is one small matrix, inverted once.
+    items without factors are ignored. ``factor``, the model's ``ridge_factor``, saves the pass over all items; tasks solve
+    with it batch by batch.
     """
-    gram = gram_array(items) if gram is None else gram
-    inverse = np.linalg.inv(gram + regularization * np.eye(len(gram)))
+    if factor is None:
+        factor = ridge_factor(gram_array(items) if gram is None else gram, regularization)
     known = histories.join(items.select("item_idx", "vector"), "item_idx")
     sums = sum_vectors(known, "query")
-    return times_matrix(sums.select("query", "vector"), "vector", inverse)
+    return solve_with(sums.select("query", "vector"), "vector", factor)
+
+
+def solve_with(df: DataFrame, column: str, factor: np.ndarray) -> DataFrame:
+    """Solve ``L L' x = b`` for the vectors b of a column, one Arrow batch at a time."""
+
+    def solve(vectors: np.ndarray) -> np.ndarray:
+        return np.linalg.solve(factor.T, np.linalg.solve(factor, vectors.T)).T
+
+    return map_vectors(df, column, solve)
 
 
 def times_matrix(df: DataFrame, column: str, matrix: np.ndarray) -> DataFrame:
     """Multiply a vector column by a small symmetric matrix, one Arrow batch at a time."""
+    return map_vectors(df, column, lambda vectors: vectors @ matrix)
+
+
+def map_vectors(df: DataFrame, column: str, function) -> DataFrame:
+    """Replace a vector column by a function of its (rows x f) batches."""
     ship_package(df.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                product = np.stack(frame[column].to_numpy()) @ matrix
-                frame = frame.assign(**{column: list(product)})
+                frame = frame.assign(**{column: list(function(np.stack(frame[column].to_numpy())))})
             yield frame
 
     typed = df.withColumn(column, F.col(column).cast("array<double>"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import asdict, dataclass
 
+import numpy as np
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,13 +13,14 @@ from pyspark.sql import functions as F
 from shelfmate.functions.columns import dot
 from shelfmate.operators.als import fit_plain
 from shelfmate.operators.cleaning import coerce_rating, min_rating
-from shelfmate.operators.factors import fold_in, gram_array, similar_items, sum_vectors, times_matrix, top_items
+from shelfmate.operators.factors import fold_in, gram_array, ridge_factor, similar_items, sum_vectors, times_matrix, top_items
 from shelfmate.operators.identity import build_catalogue, dense_codes, encode, title_or_default
 from shelfmate.operators.matrix import confidence_matrix
 from shelfmate.operators.search import search_titles
 from shelfmate.plans.knn_recommender import answer_histories, answer_seeds, check_top_k
 from shelfmate.schemas import ITEM, USER
 from shelfmate.session import cut_lineage, ensure_checkpoint_dir
+from shelfmate.sources.tables import write_report
 
 # Spark reads a zero preference as "not observed".
 SMALLEST_PREFERENCE = 1e-6
@@ -111,19 +114,28 @@ def equation_residuals(cells: DataFrame, users: DataFrame, items: DataFrame, reg
 
 
 class AlsRecommender:
-    """Factors, cells, user codes and catalogue as Parquet tables."""
+    """Factors, cells, user codes, catalogue and the factorised Gram matrix (one row per line of it) as Parquet tables,
+    parameters and training report as JSON."""
 
-    TABLES = ("user_factors", "item_factors", "cells", "users", "catalogue")
+    TABLES = ("user_factors", "item_factors", "cells", "users", "catalogue", "ridge_factor")
 
     def __init__(self, tables: dict[str, DataFrame], params: AlsParams):
         self.tables = tables
         self.params = params
+        self._factor = None
+
+    @property
+    def factor(self) -> np.ndarray:
+        """The stored factor of Y'Y + reg I: f x f numbers, read once."""
+        if self._factor is None:
+            self._factor = np.array([r.line for r in self.tables["ridge_factor"].orderBy("i").collect()])
+        return self._factor
 
     @classmethod
     def fit(cls, interactions: DataFrame, path: str, params: AlsParams = AlsParams()) -> "AlsRecommender":
         """Encode, weigh, train and store. The cells are written before training, so the
         iterations read a small table instead of repeating the joins."""
-        spark = interactions.sparkSession
+        spark, started = interactions.sparkSession, time.monotonic()
         rows = observed_ratings(interactions, params)
         # What the rows are derived from (filters, a holdout) is evaluated once.
         wanted = [c for c in (USER, ITEM, "rating", "product_title") if c in rows.columns]
@@ -139,9 +151,17 @@ class AlsRecommender:
         weighted = confidence_matrix(rows, params.alpha)
         coded = encode(encode(weighted, users, USER), catalogue.select(ITEM, "item_idx"), ITEM)
         coded.select("user_idx", "item_idx", "c").write.mode("overwrite").parquet(f"{path}/cells")
-        user_factors, item_factors = fit_factors(spark.read.parquet(f"{path}/cells"), params)
+        cells, prepared = spark.read.parquet(f"{path}/cells"), time.monotonic()
+        user_factors, item_factors = fit_factors(cells, params)
         user_factors.write.mode("overwrite").parquet(f"{path}/user_factors")
         item_factors.write.mode("overwrite").parquet(f"{path}/item_factors")
+        trained = time.monotonic()
+        factor = ridge_factor(gram_array(spark.read.parquet(f"{path}/item_factors")), params.regularization)
+        lines = spark.createDataFrame([(i, line.tolist()) for i, line in enumerate(factor)], "i int, line array<double>")
+        lines.coalesce(1).write.mode("overwrite").parquet(f"{path}/ridge_factor")
+        counts = {"n_rows": rows, "n_users": users, "n_items": catalogue, "n_cells": cells}
+        seconds = {"prepare_s": prepared - started, "train_s": trained - prepared, "total_s": time.monotonic() - started}
+        write_report(spark, {**{k: v.count() for k, v in counts.items()}, **seconds}, f"{path}/report")
         spark.createDataFrame([asdict(params)]).coalesce(1).write.mode("overwrite").json(f"{path}/params")
         return cls.load(spark, path)
 
@@ -178,7 +198,7 @@ class AlsRecommender:
         check_top_k(top_k)
         items = self.tables["item_factors"]
         # Scoring counts the queries before it uses them, so they are solved once and kept.
-        queries = cut_lineage(fold_in(histories, items, self.params.regularization))
+        queries = cut_lineage(fold_in(histories, items, self.params.regularization, factor=self.factor))
         return self._described(top_items(queries, items, top_k, exclude=histories.select("query", "item_idx")))
 
     def recommend_item_histories(self, histories: DataFrame, top_k: int = 10) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmate.functions.columns import json_object, json_text, whole_number
 from shelfmate.schemas import JOIN_KEY, RAW_REVIEW
+from shelfmate.session import cut_lineage
 
 # A metadata file is read three times as far as the review file when a limit is set.
 METADATA_LINES_PER_REVIEW_LINE = 3
@@ -81,18 +83,36 @@ def read_metadata(spark: SparkSession, path: str, limit: int | None = None, key_
         json_text(record, "main_category").alias("main_category"),
         "position",
     )
-    return first_per_key(records.where(F.col(JOIN_KEY) != ""), JOIN_KEY, F.col("position"))
+    # Parsed once: the narrow records are stored before the two passes of first_per_key.
+    records = cut_lineage(records.where(F.col(JOIN_KEY) != ""))
+    return first_per_key(packed_position(records), JOIN_KEY, F.col("position"))
+
+
+def packed_position(records: DataFrame) -> DataFrame:
+    """``position`` as one number: place of the file by name, byte offset of the split, row of the task's read (33 bits).
+
+    The table of file names is as long as Spark's own listing of them; whether it is broadcast is left to its size.
+    """
+    names = records.select(F.col("position.file").alias("_file")).distinct()
+    names = names.withColumn("_place", F.row_number().over(W.orderBy("_file")).cast("decimal(10,0)"))
+    offset = F.col("position.split").cast("decimal(14,0)")
+    row = F.col("position.line").bitwiseAND(F.lit((1 << 33) - 1)).cast("decimal(10,0)")
+    place = F.col("_place") * F.lit(10**14).cast("decimal(15,0)") + offset
+    packed = (place.cast("decimal(25,0)") * F.lit(10**10).cast("decimal(11,0)") + row).cast("decimal(38,0)")
+    joined = records.join(names, F.col("position.file") == F.col("_file"))
+    return joined.withColumn("position", packed).drop("_file", "_place")
 
 
 def first_per_key(df: DataFrame, key: str, position: Column) -> DataFrame:
-    """Keep the earliest row of every key.
+    """Keep the earliest row of every key. Positions are numbers, not NULL and distinct within a key.
 
-    An aggregate rather than a window: copies collapse before the shuffle, so a key
-    that fills a third of the file costs one row per task.
+    The least position of a key is a hash aggregate, whose copies collapse before the shuffle, so a key
+    that fills a third of the file costs one number per task; a semi join by key and position, which no key
+    makes hot, then fetches the rows. ``df`` is read twice.
     """
-    others = [c for c in df.columns if c not in (key, "position")]
-    first = F.min_by(F.struct(*others), position)
-    return df.groupBy(key).agg(first.alias("first")).select(key, *[f"first.{c}" for c in others])
+    least = df.groupBy(F.col(key).alias("_key")).agg(F.min(position).alias("_least"))
+    first = df.join(least, F.col(key).eqNullSafe(F.col("_key")) & (position == F.col("_least")), "left_semi")
+    return first.select(key, *[c for c in df.columns if c not in (key, "position")])
 
 
 def write_metadata_cache(spark: SparkSession, source: str, target: str) -> DataFrame:

@@ -4,7 +4,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from shelfmate.operators import holdout, identity, metrics, profile, quantiles
-from shelfmate.operators.search import search_titles
+from shelfmate.operators.search import rarest_grams, search_titles, title_index
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +19,24 @@ def test_search_is_literal_and_ordered(catalogue):
     assert rows(search_titles(catalogue, ["DRILL"], limit=1), "item_idx") == [(0,)]
 
 
+def test_queries_that_begin_alike_use_their_rarest_gram(spark, tmp_path):
+    titles = [f"the part {chr(97 + i % 26)}{i:04d}x" for i in range(2000)]
+    catalogue = spark.createDataFrame([(f"a{i}", i, t) for i, t in enumerate(titles)], "asin string, item_idx int, title string")
+    title_index(catalogue).write.parquet(str(tmp_path / "index"))
+    stored = spark.read.parquet(str(tmp_path / "index"))
+    queries = [f"The part {chr(97 + i % 26)}{i:04d}" for i in range(0, 400, 7)] + ["the", "the part zz"]
+    want = sorted(
+        (q, pos + 1, i) for q in queries for pos, i in enumerate([i for i, t in enumerate(titles) if q.lower() in t][:10])
+    )
+    for index in (None, stored):
+        assert rows(search_titles(catalogue, queries, 10, index), "query", "pos", "item_idx") == sorted(want, key=repr)
+    asked = spark.createDataFrame([(q, q.lower()) for q in queries], "query string, _low string")
+    chosen, _ = rarest_grams(asked, stored)
+    met = {r["query"]: r.n for r in chosen.collect()}
+    assert met.pop("the") == 2000 and "the part zz" not in met
+    assert len(met) == 58 and max(met.values()) <= 210  # the first three letters would meet all 2,000 titles each
+
+
 @pytest.mark.parametrize("queries, limit", [(["a"], 0), (["a"], 51), ([""], 10)])
 def test_search_bounds(catalogue, queries, limit):
     with pytest.raises(ValueError):

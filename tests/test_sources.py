@@ -49,6 +49,31 @@ def test_first_copy_wins_across_many_partitions(spark):
     assert rows(out) == [("k", "t0")]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_row_is_found_by_hash_aggregates(spark, tmp_path):
+    """A key with a third of the rows, over files and splits; the smallest file name comes first, not the largest file."""
+    folder = tmp_path / "meta"
+    folder.mkdir()
+    for name, count in (("b", 4000), ("a", 50), ("c", 900)):
+        lines = [json.dumps({"parent_asin": "hot" if i % 3 == 0 else f"k{i % 70}", "title": f"{name}{i:05d}"}) for i in range(count)]
+        write(folder / f"{name}.jsonl", lines)
+    want = {}
+    for name, count in (("a", 50), ("b", 4000), ("c", 900)):
+        for i in range(count):
+            want.setdefault("hot" if i % 3 == 0 else f"k{i % 70}", f"{name}{i:05d}")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        out = json_lines.read_metadata(spark, str(folder))
+        assert {r.parent_asin: r.product_title for r in out.collect()} == want
+        assert "SortAggregate" not in plan_of(out) and "HashAggregate" in plan_of(out)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 @pytest.mark.parametrize("zipped", [False, True])
 def test_limit_counts_physical_lines(spark, tmp_path, zipped):
     lines = ["broken" if i % 7 == 0 else json.dumps({"user_id": f"u{i}", "asin": "a"}) for i in range(50)]
