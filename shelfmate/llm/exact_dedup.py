@@ -6,8 +6,10 @@ combined in three steps, and every step groups by the whole normalised text besi
 1. locally: the map side of the first aggregation merges the copies a task has read;
 2. salted: digests with more than one row in a thousand are spread over salts, so that a
    text owning a third of all rows is merged by many tasks;
-3. globally: the winners of the salts are combined. Only hot digests carry their text here, as
-   all others have already met in one task.
+3. globally: the winners of the salts are combined, again by the whole text.
+
+Documents are then matched with their group by digest and a 64-bit hash, without texts; two contents under one such pair
+would end the run with an error rather than be taken for copies.
 
 There are fewer than 1000 hot digests whatever the input, so their list is broadcast.
 
@@ -78,17 +80,19 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     merged = salted.groupBy("_sha", "_variant", "_salt", "_hot", "_body").agg(
         F.max(best).alias("_best"), F.count(F.lit(1)).alias("_n")
     )
-    groups = (
-        merged.withColumn("_body", F.when(F.col("_hot"), F.col("_body")))
-        .groupBy("_sha", "_variant", "_body")
-        .agg(F.max("_best").alias("_best"), F.sum("_n").alias("group_size"))
+    contents = merged.groupBy("_sha", "_variant", "_body").agg(
+        F.max("_best").alias("_best"), F.sum("_n").alias("group_size"), F.max("_hot").alias("_hot")
+    )
+    one = F.when(F.count(F.lit(1)) == 1, F.max("_best")).otherwise(F.raise_error(F.lit("two texts share a digest")).cast("decimal(38,0)"))
+    groups = contents.groupBy("_sha", "_variant").agg(
+        one.alias("_best"), F.max("group_size").alias("group_size"), F.max("_hot").alias("_hot")
     )
     part = F.col("_best") % _dec(_BASE)
     winners = groups.select(
         "_sha",
         "_variant",
         "group_size",
-        F.col("_body").isNotNull().alias("_hot"),  # only hot digests still carry their text
+        "_hot",
         F.when(part != 0, (_dec(_TOP) - part).cast("long")).alias("keep_id"),
         F.floor((F.col("_best") - part) / _dec(_BASE)).cast("long").alias("_keep_chars"),
     )

@@ -10,7 +10,8 @@ worked off from the largest document to the smallest, so the last one is small;
 exchanges mass with the whole rest of its block, and one without which (or with which) its source cannot come to its
 target at all is taken (or left).
 
-Blocks hold about ``block_rows`` documents of one source, dealt by a hash of the document, so a source
+Blocks hold about ``block_rows`` documents of one source, dealt by a hash of the document and, where rows repeat doc_id and
+size, of their number among those, so a source
 owning a third of all rows is spread over as many tasks as it has blocks. The tree has
 log(blocks) / log(block_rows) levels above that. All draws are functions of the seed, the
 document and the block: reruns agree, whatever the number of partitions.
@@ -42,6 +43,21 @@ SHARE = 1.5
 MOST_COPIES = 2
 BLOCK_ROWS = 4096
 LARGE, ODD = 0.02, 3.0
+#: Rows of equal document and size that one task numbers.
+NUMBERED = 10_000
+
+
+def number_repeats(sized: DataFrame) -> DataFrame:
+    """The rows (_doc, source, size) with ``_repeat``, their number from 0 among equal rows.
+
+    Equal rows collapse to a count before the shuffle; the count is dealt out in parts of NUMBERED, so no task holds or
+    writes all rows of a hot key.
+    """
+    counted = sized.groupBy("_doc", "source", "size").agg(F.count(F.lit(1)).alias("_times"))
+    parts = counted.withColumn("_start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1, F.lit(NUMBERED).cast("long"))))
+    parts = parts.repartition("_doc", "size", "_start")
+    last = F.least(F.col("_start") + NUMBERED, F.col("_times")) - 1
+    return parts.select("_doc", "source", "size", F.explode(F.sequence("_start", last)).alias("_repeat"))
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_COPIES) -> DataFrame:
@@ -158,9 +174,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     plan = targets.join(counts, targets["source"].eqNullSafe(counts["source"]), "left").select(
         targets["source"].alias("_source"), "source_size", "target", "_n"
     )
-    spread = F.pmod(F.xxhash64("_doc", "size"), F.lit(64))
+    spread = F.pmod(F.xxhash64("_doc", "size", "_repeat"), F.lit(64))
     plan = plan.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    rows = sized.withColumn("_part", spread).alias("d").join(
+    rows = number_repeats(sized).withColumn("_part", spread).alias("d").join(
         plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p._source")) & (F.col("d._part") == F.col("p._part"))
     )
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -168,7 +184,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         "_doc", F.col("size").alias("_size"), "_source", "source_size", "target",
         F.when(F.col("size") > 0, F.least(F.floor(rate), F.lit(most)).cast("int")).otherwise(0).alias("_whole"),
         F.when(F.col("size") > 0, rate - F.floor(rate)).otherwise(F.lit(0.0)).alias("_share"),
-        F.xxhash64(F.lit(seed), "_doc", "size").alias("_order"),
+        F.xxhash64(F.lit(seed), "_doc", "size", "_repeat").alias("_order"),
         F.ceil(F.col("_n") / F.lit(block_rows)).alias("_blocks"),
     ).withColumn("_block", F.pmod(F.col("_order"), F.greatest(F.coalesce("_blocks", F.lit(1)), F.lit(1))))
     columns = ["_doc", "_size", "_source", "source_size", "target", "_whole", "_share", "_order", "_blocks", "_block"]

@@ -44,6 +44,8 @@ KEY_FIELD, REFERS_FIELD = "X-Row-Key", "X-Refers-To-Row-Key"
 
 MIN_REVISIT = 1000
 RANGE_BYTES = 8 << 20
+#: Ranges grow beyond RANGE_BYTES where there would be more tasks than this.
+MOST_RANGES = 100_000
 _PROBE = 1 << 12
 _STEP = 1 << 18
 _BATCH = 4 << 20
@@ -229,10 +231,20 @@ def _read_ranges(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _READ)], schema=_READ)
 
 
-def read_archive(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """All records: path, offset of the member, warc_type, target_uri, headers, http_headers, payload."""
+def range_size(total: int, most: int = MOST_RANGES) -> int:
+    return max(RANGE_BYTES, -(-total // most))
+
+
+def read_archive(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
+    """All records: path, offset of the member, warc_type, target_uri, headers, http_headers, payload.
+
+    A task reads ``range_bytes``; by default they follow from the size of all files. Members are read one by one, so a
+    larger range takes longer but no more memory.
+    """
     prepare(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+    if range_bytes is None:
+        range_bytes = range_size(files.agg(F.sum("length")).first()[0] or 0)
     ranges = files.select(
         "path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("start")
     ).select("path", "start", F.least(F.col("start") + range_bytes, "length").alias("end"))

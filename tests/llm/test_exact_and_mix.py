@@ -127,6 +127,23 @@ def test_large_documents_are_settled_first():
     assert shares[0] == 1 and (shares * [1300.0, *[100] * 10]).sum() == pytest.approx(0.65 * 2300)
 
 
+def test_mix_spreads_repeated_keys(spark):
+    """100,000 rows without a doc_id and of one size: no block beyond block_rows by much, and the target is met."""
+    from pyspark.sql import functions as F
+
+    hot = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two three").alias("text"), F.lit("a").alias("source"))
+    own = spark.range(5_000).select(F.col("id").alias("doc_id"), F.lit("word").alias("text"), F.lit("b").alias("source"))
+    numbered = mixing.number_repeats(hot.select(F.col("doc_id").alias("_doc"), "source", F.lit(3).cast("long").alias("size")))
+    assert numbered.agg(F.count("*"), F.count_distinct("_repeat"), F.max("_repeat")).first()[:] == (100_000, 100_000, 99_999)
+    blocks = 100
+    dealt = numbered.groupBy(F.pmod(F.xxhash64(F.lit(17), "_doc", "size", "_repeat"), F.lit(blocks)).alias("b")).count()
+    assert dealt.agg(F.max("count")).first()[0] < 1_200
+    got = mixing.mix(hot.unionAll(own), block_rows=1_000)
+    assert got.count() == 105_000
+    for row in got.groupBy("target").agg(F.sum("taken").alias("taken")).collect():
+        assert abs(row.taken - row.target) <= 3
+
+
 def test_mix_awkward(spark):
     docs = awkward(spark)
     got = mixing.mix(docs)
