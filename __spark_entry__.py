@@ -624,6 +624,14 @@ def q_als_fit(spark, sf):
     )
 
 
+def q_als_report(spark, sf):
+    """The report a training run stores: counts, and seconds that add up."""
+    path = scratch_path(spark, "als-model")
+    als_recommender.AlsRecommender.fit(titled(spark, sf), path, als_recommender.AlsParams(factors=8, iterations=2))
+    timed = (F.col("prepare_s") > 0) & (F.col("train_s") > 0) & (F.col("total_s") >= F.col("prepare_s") + F.col("train_s"))
+    return spark.read.json(f"{path}/report").select("n_rows", "n_users", "n_items", "n_cells", timed.alias("timed"))
+
+
 def q_als_plain_fit(spark, sf):
     """With the ridge as given: every item vector must solve its equation for the users returned."""
     params = als_recommender.AlsParams(factors=32, iterations=3, plain_ridge=True)
@@ -1026,6 +1034,8 @@ SELECT (SELECT count(DISTINCT reviewerID) FROM r) AS n_users, (SELECT count(DIST
         "als_foldin": f"WITH {EVENTS} SELECT reviewerID AS query, count(*) AS n, true AS solved FROM ev GROUP BY 1",
         "als_plain_fit": f"""WITH {INTER} SELECT asin, count(DISTINCT reviewerID) AS n_cells, true AS solved FROM inter
 WHERE rating >= 4 GROUP BY 1""",
+        "als_report": f"""WITH {INTER} SELECT count(*) AS n_rows, count(DISTINCT reviewerID) AS n_users, count(DISTINCT asin) AS n_items,
+count(DISTINCT (reviewerID, asin)) AS n_cells, true AS timed FROM inter WHERE rating >= 4""",
         "als_fit": f"""WITH {INTER} SELECT reviewerID, count(DISTINCT asin) AS n_cells, true AS solved FROM inter
 WHERE rating >= 4 GROUP BY 1""",
     }

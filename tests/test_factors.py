@@ -166,6 +166,10 @@ def test_stored_als_model(spark, tmp_path):
     AlsRecommender.fit(df, str(tmp_path), AlsParams(factors=3, iterations=2))
     model = AlsRecommender.load(spark, str(tmp_path))
     assert model.params.factors == 3
+    report = spark.read.json(f"{tmp_path}/report").first()
+    assert report.n_rows == df.where("rating >= '4' and rating <> 'bad'").count() and report.total_s > report.train_s > 0
+    vectors = np.array([r.vector for r in model.tables["item_factors"].collect()], dtype=float)
+    assert np.allclose(model.factor @ model.factor.T, vectors.T @ vectors + model.params.regularization * np.eye(3))
     seen = model.tables["cells"].select(F.col("user_idx").alias("query"), "item_idx")
     answers = model.recommend_users(model.tables["users"], 5)
     assert answers.count() > 0
@@ -174,7 +178,9 @@ def test_stored_als_model(spark, tmp_path):
     assert every.count() == 5 * model.tables["users"].count()
 
     histories = spark.createDataFrame([("x", 0), ("x", 1), ("y", 2), ("z", 999)], "query string, item_idx int")
-    folded = model.recommend_histories(histories, 4)
+    with pytest.MonkeyPatch.context() as patch:  # the stored factor is enough: no pass over the items for a Gram matrix
+        patch.setattr(factors, "gram_array", lambda *a: pytest.fail("Gram matrix made anew"))
+        folded = model.recommend_histories(histories, 4)
     assert rows(folded.groupBy("query").count()) == [("x", 4), ("y", 4)]
     assert folded.join(histories, ["query", "item_idx"], "left_semi").count() == 0
 
