@@ -45,6 +45,8 @@ DIMENSIONS, NOISE, STEPS, RATE = 32, 10, 200, 0.05
 SMOOTHING = 10.0
 FREQUENT = 2e-6
 FOLDS, HELD_OUT = 7, 2
+#: Up to so many classes a task adds its pairs up in a table; beyond, it hands on the pairs of each piece.
+DENSE = 2048
 
 END = b"\n"  # no word contains it
 _FLUSH = 200_000
@@ -121,20 +123,26 @@ def _count_words(batches):
 def _count_pairs(classes):
     def run(batches):
         n = classes.value.size
-        counts = np.zeros(0, np.int64)
-        if n <= 2048:
-            counts = np.zeros(n * n, np.int64)
+        dense = n <= DENSE
+        counts = np.zeros(n * n if dense else 0, np.int64)
+
+        def rows(cells, numbers):
+            for start in range(0, len(cells), 100_000):
+                part = slice(start, start + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(cells[part]), pa.array(numbers[part])], names=["cell", "n"])
+
         for batch in batches:
             for _, lengths, words, index in _pieces(batch.column(0)):
                 cls = classes.value.of(words, hashes(words))[index]
                 ends = np.cumsum(lengths)
                 before = np.concatenate([[0], cls[:-1]])
                 before[np.concatenate([[0], ends[:-1]])] = classes.value.place[_END_HASH]  # a text starts after an end
-                counts += np.bincount(before * n + cls, minlength=n * n)
+                if dense:
+                    counts += np.bincount(before * n + cls, minlength=n * n)
+                else:
+                    yield from rows(*np.unique(before * n + cls, return_counts=True))
         cells = np.flatnonzero(counts)
-        for start in range(0, len(cells), 100_000):
-            some = cells[start : start + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["cell", "n"])
+        yield from rows(cells, counts[cells])
 
     return run
 

@@ -260,3 +260,8 @@ def test_malformed_pages_take_linear_time(page):
 def test_tags_end_outside_quotes():
     assert text_of("<p title='a > b' class=\"x>y\">one</p><p>a < b and <c") == "one\n\na < b and <c"
     assert text_of('<p>one <a href="x> two</p>') == 'one <a href="x> two'
+
+
+def test_warc_ranges_follow_the_total():
+    assert warc.range_size(0) == warc.range_size(10**9) == warc.RANGE_BYTES
+    assert warc.range_size(10**14) == 10**9 and 10**14 / warc.range_size(10**14) <= warc.MOST_RANGES
