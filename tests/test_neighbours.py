@@ -265,3 +265,26 @@ def test_refresh_equals_rebuild(spark, tmp_path):
     assert rows(refreshed.catalogue, "asin", "item_idx", "title") == rows(rebuilt.catalogue, "asin", "item_idx", "title")
     stale = spark.read.parquet(str(tmp_path / "new" / "refreshed")).count()
     assert 0 < stale < refreshed.catalogue.count() / 2
+
+
+@pytest.mark.parametrize("hot_cells", [None, 12])
+def test_light_users_send_rows_not_pairs(spark, monkeypatch, hot_cells):
+    """Where all users are light no pair is shuffled, unless its item is hot; the parts' number does not matter."""
+    monkeypatch.setattr(knn, "PART_PRODUCTS", 500)
+    if hot_cells:
+        monkeypatch.setattr(knn, "HOT_CELLS", hot_cells)
+    cells, df = random_cells(spark, False, True)
+    items = matrix.coded_items(df)
+    codes = {r.asin: r.item_idx for r in items.collect()}
+    expected = brute_force(cells, codes, 5)
+    every = {(i, j): s for i, best in brute_force(cells, codes, len(codes)).items() for j, s in best}
+    for seeds in (None, items.select("item_idx", (F.col("item_idx") % 3 + 1).alias("k")).where("item_idx % 2 = 0")):
+        found = knn.cosine_neighbours(df, items, 5, seeds=seeds)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert (hot_cells is not None) == any("Aggregate [item_idx" in line and "other_idx" in line for line in plan.splitlines())
+        got = {(r.item_idx, r["rank"]): (r.other_idx, r.score) for r in found.collect()}
+        wanted = {i: best[: 5 if seeds is None else i % 3 + 1] for i, best in expected.items() if seeds is None or i % 2 == 0}
+        assert {k: v[0] for k, v in got.items()} == {(i, n): j for i, best in wanted.items() for n, (j, _) in enumerate(best, 1)}
+        similar = knn.cosine_similarities(df, items, items.select("item_idx") if seeds is None else seeds)
+        scores = {(r.item_idx, r.other_idx): r.score for r in similar.collect()}
+        assert scores == pytest.approx({p: s for p, s in every.items() if seeds is None or p[0] % 2 == 0}, abs=2e-9)
