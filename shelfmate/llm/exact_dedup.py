@@ -6,7 +6,8 @@ combined in three steps, and every step groups by the whole normalised text besi
 1. locally: the map side of the first aggregation merges the copies a task has read;
 2. salted: digests with more than one row in a thousand are spread over salts, so that a
    text owning a third of all rows is merged by many tasks;
-3. globally: the winners of the salts are combined, again by the whole text.
+3. globally: the winners of the salts are combined, again by the whole text. Only hot digests have several salts; the texts
+   of all others have met in step 2 and travel no further.
 
 Documents are then matched with their group by digest and a 64-bit hash, without texts; two contents under one such pair
 would end the run with an error rather than be taken for copies.
@@ -80,9 +81,11 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     merged = salted.groupBy("_sha", "_variant", "_salt", "_hot", "_body").agg(
         F.max(best).alias("_best"), F.count(F.lit(1)).alias("_n")
     )
-    contents = merged.groupBy("_sha", "_variant", "_body").agg(
+    contents = merged.where("_hot").groupBy("_sha", "_variant", "_body").agg(
         F.max("_best").alias("_best"), F.sum("_n").alias("group_size"), F.max("_hot").alias("_hot")
     )
+    single = merged.where("not _hot").select("_sha", "_variant", "_body", "_best", F.col("_n").alias("group_size"), "_hot")
+    contents = contents.unionByName(single)
     one = F.when(F.count(F.lit(1)) == 1, F.max("_best")).otherwise(F.raise_error(F.lit("two texts share a digest")).cast("decimal(38,0)"))
     groups = contents.groupBy("_sha", "_variant").agg(
         one.alias("_best"), F.max("group_size").alias("group_size"), F.max("_hot").alias("_hot")

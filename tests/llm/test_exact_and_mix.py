@@ -154,3 +154,15 @@ def test_mix_awkward(spark):
     assert mixed.count() == got.groupBy().sum("copies").first()[0]
     assert mixing.mix(nothing(spark)).count() == 0
     assert mixing.mixed_documents(nothing(spark)).count() == 0
+
+
+def test_only_hot_texts_meet_twice(spark):
+    """Texts that own few rows are grouped whole once; the second grouping by text reads hot digests alone."""
+    rows = [(i, "hot text" if i % 2 else f"text {i // 4}") for i in range(40)]
+    groups = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = groups._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    second = next(n for n, line in enumerate(plan) if "Aggregate [_sha" in line and "_body" in line and "_salt" not in line)
+    # A filter on hot turns the outer join with the hot digests into an inner one.
+    assert "Join Inner" in next(line for line in plan[second + 1 :] if "Join" in line)
+    sizes = {r.doc_id: (r.keep_id, r.group_size) for r in groups.collect()}
+    assert sizes[1] == (1, 20) and sizes[2] == (0, 2) and len(sizes) == 40
