@@ -187,3 +187,25 @@ def test_stored_als_model(spark, tmp_path):
     near = model.similar(spark.createDataFrame([("i1",), ("nope",)], "seed string"), 3)
     assert rows(near.groupBy("seed", "status").count()) == [("i1", "ok", 3), ("nope", "not_found", 1)]
     assert near.where("seed = asin").count() == 0
+
+
+def test_vectors_travel_once_per_bundle(spark, monkeypatch):
+    """Queries go to bundles of tiles, not to each tile; the answers do not depend on the bundles."""
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(300, 4)) * 1.5 ** rng.integers(0, 9, size=(300, 1))
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "item_idx int, vector array<double>")
+    groups, placed = factors.group_items(items, 16)
+    bundles = groups.bundles(16)
+    assert len(bundles) == groups.tiles.sum() > 2 * len(set(bundles.tolist()))
+    assert placed.count() == 300 and (np.diff(bundles) >= 0).all()
+    scores = np.round(vectors[:40] @ vectors.T, factors.SCORE_DIGITS)
+    np.fill_diagonal(scores, -np.inf)
+    expected = {q: np.lexsort((np.arange(300), -row))[:5].tolist() for q, row in enumerate(scores)}
+    queries = items.where("item_idx < 40").withColumnRenamed("item_idx", "query")
+    itself = queries.select("query", queries["query"].alias("item_idx"))
+    for size in (16, 100):
+        monkeypatch.setattr(factors, "BUNDLE", size)
+        got = {}
+        for r in factors.top_items(queries, items, 5, exclude=itself, block_size=16).orderBy("query", "rank").collect():
+            got.setdefault(r["query"], []).append(r.item_idx)
+        assert got == expected
