@@ -22,7 +22,7 @@ from shelfmate.operators.knn import cosine_similarities  # noqa: E402
 from shelfmate.operators.search import search_titles  # noqa: E402
 from shelfmate.plans import als_recommender, categories, evaluation, knn_recommender  # noqa: E402
 from shelfmate.plans.driver_tables import ROW_ID, event_cells, interactions, metadata, table  # noqa: E402
-from shelfmate.session import cut_lineage, scratch_path  # noqa: E402
+from shelfmate.session import cut_lineage, scratch_path, stored  # noqa: E402
 from shelfmate.sources import json_lines, tables  # noqa: E402
 
 try:  # the operators of a training-data pipeline are a subpackage that may be left out
@@ -241,7 +241,9 @@ def with_missing_keys(rows):
 
 
 def q_core_filter(spark, sf, **thresholds):
-    return categories.build_interactions(with_missing_keys(interactions(spark, sf)), metadata(spark, sf), **thresholds)
+    # Rows that come from a join are made once, not for each count and for the filter again.
+    rows = stored(with_missing_keys(interactions(spark, sf)).drop(*ROW_ID), "reviews")
+    return categories.build_interactions(rows, metadata(spark, sf), **thresholds)
 
 
 def q_core_filter_strict(spark, sf):

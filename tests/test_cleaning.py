@@ -1,7 +1,10 @@
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
+import __spark_entry__ as registered
 from shelfmate.operators import cleaning
+from shelfmate.operators.joins import splittable_join
 from shelfmate.plans.categories import build_all_categories, build_interactions
 from shelfmate.schemas import INTERACTION_COLUMNS
 
@@ -91,3 +94,23 @@ def test_rating_floor_and_columns_reach_the_file_reader(spark, tmp_path):
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(rating,4.0)" in plan
     assert "ReadSchema: struct<asin:string,rating:double>" in plan
+
+
+def test_joined_rows_are_made_once_for_both_counts_and_the_filter(spark, tmp_path):
+    lines = [(1, 1, 7, 31.0, "R", "F"), (1, 2, 8, 31.0, "N", "O")]
+    lines_schema = "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(lines, lines_schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = spark.sql("SELECT 1L AS o_orderkey, 5L AS o_custkey, TIMESTAMP_NTZ'2020-01-01 00:00:00' AS o_orderdate")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    parts = spark.createDataFrame([(7, "seven", "ECONOMY")], "p_partkey long, p_name string, p_type string")
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    kept = registered.q_core_filter(spark, str(tmp_path), min_user=2, min_item=1)
+    assert "l_orderkey" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(kept, "reviewerID", "asin", "product_title") == [("5", "7", "seven"), ("5", "8", None)]
+
+
+def test_the_key_added_to_a_join_is_one_bit(spark):
+    left = spark.range(1000).withColumn("key", F.col("id").cast("string"))
+    joined = splittable_join(left, left.select("key").distinct(), ["key"], "left_semi")
+    assert joined.count() == 1000
+    assert "shiftrightunsigned" in joined._jdf.queryExecution().optimizedPlan().toString()
