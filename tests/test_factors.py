@@ -153,6 +153,30 @@ def test_plain_ridge_equals_plain_loops_with_hot_rows_split(spark):
         assert checked.agg(F.max("residual")).first()[0] < 1e-6
 
 
+@pytest.mark.parametrize("chunk", [25, 20_000])
+def test_residuals_by_hand_and_a_vector_travels_once_per_cell(spark, chunk):
+    rng = np.random.default_rng(23)
+    found = {(u, int(i)): 1.0 + 40 * int(rng.integers(1, 6)) for u in range(12) for i in rng.choice(130, 5, replace=False)}
+    found |= {(99, i): 1 + 40.0 * (4 + i % 2) for i in range(120)} | {(7, 500): 41.0, (8, 501): 41.0, (50, 500): 41.0}
+    x = {u: rng.normal(size=3) for u in [*range(11), 50, 60, 99]}  # 11 has no vector, 50 only a cell of an unknown item
+    y = {i: rng.normal(size=3) for i in range(130)}
+    cells = spark.createDataFrame([(u, i, c) for (u, i), c in found.items()], "user_idx int, item_idx int, c double")
+    users = spark.createDataFrame([(u, v.tolist()) for u, v in x.items()], "user_idx int, vector array<double>")
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in y.items()], "item_idx int, vector array<double>")
+    gram = sum(np.outer(v, v) for v in y.values())
+    for scaled in (True, False):
+        got = {r.user_idx: (r.n_cells, r.residual) for r in als.residuals(cells, users, items, 0.05, scaled, chunk).collect()}
+        assert set(got) == {*range(11), 99}
+        for u, (n, residual) in got.items():
+            mine = [(y[i], c) for (v, i), c in found.items() if v == u and i in y]
+            assert n == sum(v == u for v, _ in found)
+            left = gram @ x[u] + sum((c - 1) * v * (v @ x[u]) for v, c in mine) + 0.05 * (n if scaled else 1) * x[u]
+            right = sum(c * v for v, c in mine)
+            assert np.isclose(residual, np.abs(left - right).max() / np.abs(right).max())
+    plan = equation_residuals(cells, users, items, 0.05)._jdf.queryExecution().optimizedPlan().toString()
+    assert "item_idx" not in plan  # no join of both vectors to every cell is left to run
+
+
 def test_alpha_must_be_positive(spark, cells):
     with pytest.raises(ValueError):
         fit_factors(cells, AlsParams(alpha=0.0))
