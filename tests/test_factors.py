@@ -4,6 +4,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from shelfmate.operators import als, factors
+from shelfmate.plans import als_recommender
 from shelfmate.plans.als_recommender import AlsParams, AlsRecommender, equation_residuals, fit_factors
 
 
@@ -118,6 +119,17 @@ def test_user_vectors_solve_their_equation(spark, cells):
     assert rows(users, "user_idx", "vector") == rows(again, "user_idx", "vector")
 
 
+def test_als_blocks_follow_the_cells_and_not_the_cores(spark, cells, monkeypatch):
+    seen = []
+    real = als_recommender.ALS
+    monkeypatch.setattr(als_recommender, "ALS", lambda **given: seen.append(given) or real(**given))
+    for per_block, blocks in ((1_000_000, 5), (20, -(-cells.count() // 20))):
+        monkeypatch.setattr(als_recommender, "CELLS_PER_BLOCK", per_block)
+        users, _ = fit_factors(cells, AlsParams(factors=2, iterations=1))
+        assert users.count() == cells.select("user_idx").distinct().count()
+        assert seen[-1]["numUserBlocks"] == seen[-1]["numItemBlocks"] == blocks
+
+
 def test_plain_ridge_equals_plain_loops_with_hot_rows_split(spark):
     rng = np.random.default_rng(17)
     found = {(int(rng.integers(30)), int(rng.integers(40))): 1 + 40.0 * int(rng.integers(4, 6)) for _ in range(250)}
