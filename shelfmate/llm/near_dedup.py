@@ -17,8 +17,11 @@ Verifying. Exact copies (equal word sequences) are one node. In a bucket, first
 bucket's hub, the member that meets most others over all bands; hub links make components. With ``hub_rounds``, where a bucket
 is still in several components, ``hubs_a_round`` members outside its largest one are compared with all members, in rows linear in
 the bucket; then all links of these hubs are known and they leave the bucket. In
-a bucket that is still in several components, each member outside the largest is compared with all others, in
-tiles of BLOCK x BLOCK texts whose total weights allow 0.8 at all. So no link inside a bucket that would join two components
+a bucket that is still in several components, two members can only be similar, and not both linked to the hub, if they share
+enough of what tells them from the hub (``prefixes``). So each gives the rarest-looking part of that, and those that share
+one of these features and a hub are compared, in tiles of up to about BLOCK x BLOCK texts. Copies that
+each have edits of their own share few such features, so a large group of them makes rows in proportion to its size; where
+one feature is shared by many, they are all compared. No link inside a bucket that would join two components
 is missed, no list of pairs is ever made, and a tile returns at most a spanning forest of its links.
 
 Classes are the connected components of the links. Defined results: a null text counts as empty; a text without
@@ -50,8 +53,6 @@ BLOCK = 128
 #: Hubs of a bucket in each further round, and most such rounds before what is left is compared in tiles. None unless asked
 #: for: they pay where large groups hang together by chains of links, and cost time where a group is mostly unlike.
 HUBS, HUB_ROUNDS = 64, 0
-#: Ratio of total weights of neighbouring weight classes: a pair at SIMILARITY is at most one class apart.
-_CLASS = float(np.log(1 / SIMILARITY))
 
 _PIECE = 1 << 21
 _FLUSH = 200_000
@@ -349,42 +350,122 @@ def _verify(idf, similarity: float):
         )
 
     def run(batches):
-        name, nodes, sides, texts, whole, size = None, [], [], [], [], 0
-        for batch in batches:
-            for tile, node, side, text in zip(*(batch.column(i) for i in range(4))):
-                tile = tile.as_py()
-                if tile != name:
-                    if nodes:
-                        whole.append((nodes, sides, texts))
-                        if size >= _PIECE:
-                            yield links(whole)
-                            whole, size = [], 0
-                    name, nodes, sides, texts = tile, [], [], []
-                nodes.append(node.as_py())
-                sides.append(side.as_py())
-                texts.append(text.as_py().encode())
-                size += len(texts[-1])
-        if nodes:
-            yield links([*whole, (nodes, sides, texts)])
+        for tiles in _whole_tiles(batches):
+            yield links([tile[:3] for tile in tiles])
+
+    return run
+
+
+def _whole_tiles(batches):
+    """Lists of whole tiles (nodes, sides, texts, roots), of about _PIECE bytes of text each."""
+    name, tile, whole, size = None, ([], [], [], []), [], 0
+    for batch in batches:
+        for at, node, side, text, root in zip(*(batch.column(i) for i in range(5))):
+            if at.as_py() != name:
+                if tile[0]:
+                    whole.append(tile)
+                    if size >= _PIECE:
+                        yield whole
+                        whole, size = [], 0
+                name, tile = at.as_py(), ([], [], [], [])
+            for column, value in zip(tile, (node.as_py(), side.as_py(), text.as_py().encode(), root.as_py())):
+                column.append(value)
+            size += len(tile[2][-1])
+    if tile[0]:
+        yield [*whole, tile]
+
+
+def prefixes(codes: np.ndarray, weights: np.ndarray, hub_codes: np.ndarray, hub_weights: np.ndarray, similarity: float):
+    """What a text and its hub do not share, in one order for all texts of the hub; and how many of these features the text asks
+    with (0 if it is linked to the hub) and is found by.
+
+    x and y are similar if what they do not share weighs at most k (|x| + |y|), k = (1 - s) / (1 + s). With D(x) for what x does not
+    share with the hub that is |D(x)| + |D(y)| - 2 |D(x) & D(y)|; so similar texts share at least (|D(x)| + |D(y)| - k (|x| + |y|)) / 2
+    of their differences. Where x is not linked to the hub, |D(x)| > k (|x| + |hub|), which is more than 0 for every y but the hub's
+    equals. As |x| <= |y| / s and |D(x)| >= |D(y)| - k (|x| + |y|), it is also at least |D(y)| - |y| (1 - s) / s. The first
+    shared feature lies before the rest that weighs less than that, on both sides.
+    """
+    added = ~np.isin(codes, hub_codes)
+    gone = ~np.isin(hub_codes, codes)
+    feature, weight = np.concatenate([codes[added], hub_codes[gone]]), np.concatenate([weights[added], hub_weights[gone]])
+    late = np.repeat([0, 1], [added.sum(), gone.sum()])  # what most texts of the hub lack comes last
+    order = np.lexsort((feature, -weight, late))
+    sums = np.cumsum(weight[order])
+    own, hub, apart = weights.sum(), hub_weights.sum(), sums[-1] if len(sums) else 0.0
+    shared = weights[~added].sum()
+    linked = shared / max(own + hub - shared, 1e-12) >= similarity - 1e-9
+    k, least = (1 - similarity) / (1 + similarity), apart - own * (1 - similarity) / max(similarity, 1e-9)
+    slack = 1e-6 * (own + hub)
+
+    def first(need: float) -> int:
+        return min(len(sums), int(np.searchsorted(sums, apart - max(need, least) + slack, side="right")) + 1)
+
+    asks = 0 if linked else first((apart - k * (own + hub)) / 2)
+    return feature[order], asks, first((apart - k * (own - hub)) / 2)
+
+
+def _differences(idf, similarity: float):
+    def run(batches):
+        for tiles in _whole_tiles(batches):
+            made, at = _Tile([t for _, _, texts, _ in tiles for t in texts], idf.value), 0
+            hubs, nodes, roots, found, asks, told = [], [], [], [], [], []
+            for names, sides, texts, root in tiles:
+                of = [slice(made.bounds[i], made.bounds[i + 1]) for i in range(at, at + len(texts))]
+                hub = sides.index(0)
+                for i in range(len(texts)):
+                    if i == hub:
+                        continue
+                    feature, n_asks, n_told = prefixes(
+                        made.code[of[i]], made.weight[of[i]], made.code[of[hub]], made.weight[of[hub]], similarity
+                    )
+                    n = max(n_asks, n_told)
+                    hubs += [names[hub]] * n
+                    nodes += [names[i]] * n
+                    roots += [root[i]] * n
+                    found.append(feature[:n].view(np.int64))
+                    asks.append(np.arange(n) < n_asks)
+                    told.append(np.arange(n) < n_told)
+                at += len(texts)
+            if nodes:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hubs), pa.array(nodes), pa.array(roots), *(pa.array(np.concatenate(c)) for c in (found, asks, told))],
+                    names=["hub", "node", "root", "feature", "asks", "told"],
+                )
 
     return run
 
 
+def _in_tiles(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """members: (tile, node, side) or (tile, node, side, root); a tile has bounded rows, and none is dropped."""
+    rooted = members if "root" in members.columns else members.withColumn("root", F.lit(None).cast("string"))
+    rows = splittable_join(rooted.distinct(), texts, ["node"], "inner").select("tile", "node", "side", "text", "root")
+    return rows.repartition("tile").sortWithinPartitions("tile")
+
+
 def _links(members: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
-    """Links inside tiles. members: (tile, node, side); a tile has bounded rows, and none is dropped."""
-    rows = splittable_join(members.distinct(), texts, ["node"], "inner").select("tile", "node", "side", "text")
-    together = rows.repartition("tile").sortWithinPartitions("tile")
-    return together.mapInArrow(_verify(idf, similarity), "a string, b string")
+    """Links inside tiles."""
+    return _in_tiles(members, texts).mapInArrow(_verify(idf, similarity), "a string, b string")
+
+
+def _about_hubs(spokes: DataFrame, block: int) -> DataFrame:
+    """Tiles of (hub, node) rows: up to about 2 x ``block`` nodes on one side, their hub on the other. Other columns are kept."""
+    blocks = spokes.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(2 * block)).alias("blocks"))
+    more = [c for c in spokes.columns if c not in ("hub", "node")]
+    spokes = splittable_join(spokes, blocks, ["hub"], "inner")
+    tile = F.concat_ws("/", "hub", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    spokes = spokes.select(tile.alias("tile"), "hub", "node", *more)
+    hubs = spokes.select("tile", F.col("hub").alias("node"), F.lit(0).alias("side"), *(F.lit(None).alias(c) for c in more))
+    return spokes.select("tile", "node", F.lit(1).alias("side"), *more).unionAll(hubs)
 
 
 def _unresolved(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, node, size, outside) of the buckets whose members are in several components; ``outside`` are the members
+    """(bucket, node, outside) of the buckets whose members are in several components; ``outside`` are the members
     that are not in the bucket's largest one."""
-    rooted = splittable_join(met, roots, ["node"], "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root"))
+    rooted = splittable_join(met, roots, ["node"], "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     parts = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     whole = parts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("_largest"), F.count(F.lit(1)).alias("_parts"))
     whole = whole.where("_parts > 1").select("bucket", F.col("_largest.root").alias("_root"))
-    return splittable_join(rooted, whole, ["bucket"], "inner").select("bucket", "node", "size", (F.col("root") != F.col("_root")).alias("outside"))
+    return splittable_join(rooted, whole, ["bucket"], "inner").select("bucket", "node", (F.col("root") != F.col("_root")).alias("outside"))
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -412,7 +493,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", *, si
     )
     # Exact copies are one node; they agree in everything, so any row's signature is the node's.
     nodes = signed.where("node is not null").dropDuplicates(["node"])
-    in_bucket = nodes.select("node", F.floor(F.log("total") / F.lit(_CLASS)).alias("size"), F.explode("bands").alias("bucket"))
+    in_bucket = nodes.select("node", F.explode("bands").alias("bucket"))
     sizes = in_bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = through_table(splittable_join(in_bucket, sizes, ["bucket"], "inner"), "near-buckets")
     texts = narrow.select(word_digest(F.col("_text")).alias("node"), F.col("_text").alias("text"))
@@ -424,15 +505,9 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", *, si
     central = met.groupBy("node").agg(F.sum("n").alias("reach"))
     reached = met.select("bucket", "node", "n").join(central, "node")
     hubs = reached.groupBy("bucket").agg(F.max(F.struct("reach", "node")).alias("h")).select("bucket", F.col("h.node").alias("hub"))
+    hubs = through_table(hubs, "near-bucket-hubs")
     spokes = splittable_join(met.select("bucket", "node"), hubs, ["bucket"], "inner").where("node <> hub").select("hub", "node").distinct()
-    spokes = through_table(spokes, "near-spokes")
-    blocks = spokes.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(2 * block)).alias("blocks"))
-    spokes = splittable_join(spokes, blocks, ["hub"], "inner")
-    tile = F.concat_ws("/", "hub", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    spokes = spokes.select(tile.alias("tile"), "hub", "node")
-    members = spokes.select("tile", "node", F.lit(1).alias("side")).unionAll(
-        spokes.select("tile", F.col("hub").alias("node"), F.lit(0).alias("side"))
-    )
+    members = _about_hubs(through_table(spokes, "near-spokes"), block)
     first = through_table(_links(members, texts, idf, similarity), "near-links")
     roots = through_table(components(first), "near-roots")
 
@@ -452,32 +527,36 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", *, si
         asking = asking.select(named(F.col("_at")), F.col("hub").alias("node"), F.lit(0).alias("side"))
         found = through_table(_links(compared.unionAll(asking), texts, idf, similarity).where("a <> b").distinct(), "near-hub-links")
         # All links of a hub in its bucket are known now, so it takes no further part there.
-        met = splittable_join(still.select("bucket", "node", "size"), chosen.withColumnRenamed("hub", "node"), ["bucket", "node"], "left_anti")
+        met = splittable_join(still.select("bucket", "node"), chosen.withColumnRenamed("hub", "node"), ["bucket", "node"], "left_anti")
         met = through_table(met, "near-left")
         if found.isEmpty():
             break
         roots = through_table(_joined(roots, found), "near-roots")
 
-    # Last round: what is still in several components. Members outside the largest one against all others.
-    open_rows = through_table(_unresolved(met, roots), "near-open")
-    by_size = open_rows.groupBy("bucket", "size").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("blocks"), F.max("outside").alias("any")
+    # Last round: what is still in several components, by what the texts do not share with their bucket's hub.
+    still = splittable_join(_unresolved(met, roots).select("bucket", "node"), hubs, ["bucket"], "inner")
+    still = still.where("node <> hub").select("hub", "node").distinct()
+    still = splittable_join(still, roots, ["node"], "left").select("hub", "node", F.coalesce("root", "node").alias("root"))
+    members = _about_hubs(through_table(still, "near-open"), block)
+    differences = _in_tiles(members, texts).mapInArrow(
+        _differences(idf, similarity), "hub string, node string, root string, feature long, asks boolean, told boolean"
     )
-    asking = by_size.where("any").select("bucket", F.col("size").alias("size0"), F.col("blocks").alias("blocks0"))
-    pairs = asking.withColumn("size1", F.explode(F.array([F.col("size0") + d for d in (-1, 0, 1)]))).join(
-        by_size.select("bucket", F.col("size").alias("size1"), F.col("blocks").alias("blocks1")), ["bucket", "size1"]
+    differences = through_table(differences, "near-differences")
+    count = lambda flag: F.ceil(F.sum(F.col(flag).cast("int")) / F.lit(block))
+    shared = differences.groupBy("hub", "feature").agg(
+        count("asks").alias("blocks0"), count("told").alias("blocks1"), F.min("root").alias("_low"), F.max("root").alias("_high")
     )
+    shared = shared.where("blocks0 > 0 and blocks1 > 0 and _low <> _high").drop("_low", "_high")
+    placed = splittable_join(differences, shared, ["hub", "feature"], "inner")
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    tiles = pairs.withColumn("block0", upto("blocks0")).withColumn("block1", upto("blocks1"))
-    tiles = tiles.withColumn("tile", F.concat_ws("/", "bucket", "size0", "block0", "size1", "block1"))
-    placed = splittable_join(open_rows, by_size.drop("any"), ["bucket", "size"], "inner")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
 
     def side(which: int, chosen: DataFrame) -> DataFrame:
-        at = tiles.select("bucket", F.col(f"size{which}").alias("size"), F.col(f"block{which}").alias("block"), "tile")
-        return chosen.join(at, ["bucket", "size", "block"]).select("tile", "node", F.lit(which).alias("side"))
+        own = F.pmod(F.xxhash64("node"), F.col(f"blocks{which}"))
+        at = chosen.withColumn("_own", own).withColumn("_other", upto(f"blocks{1 - which}"))
+        blocks = ("_own", "_other") if which == 0 else ("_other", "_own")
+        return at.select(F.concat_ws("/", "hub", "feature", *blocks).alias("tile"), "node", F.lit(which).alias("side"))
 
-    members = side(0, placed.where("outside")).unionAll(side(1, placed))
+    members = side(0, placed.where("asks")).unionAll(side(1, placed.where("told")))
     last = through_table(_links(members, texts, idf, similarity).where("a <> b").distinct(), "near-last-links")
     classes = through_table(_joined(roots, last), "near-classes")
 

@@ -73,6 +73,64 @@ def test_family_about_the_threshold_in_small_tiles(spark, rounds):
     check(spark, rows, block=4, hubs_a_round=3, hub_rounds=rounds)
 
 
+def star(n, edits=6, seed=5):
+    """Copies of one text, each with words of its own in a few places: near none of the others."""
+    draw = np.random.default_rng(seed)
+    base = [f"w{i}" for i in draw.choice(500, 150)]
+    rows = []
+    for i in range(n):
+        copy = base.copy()
+        for place in draw.choice(150, edits, replace=False):
+            copy[place] = f"own{i}x{place}"
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+def test_large_group_below_the_threshold_is_not_compared_with_itself(spark, monkeypatch):
+    """Rows into the last tiles grow with the group, not with its square."""
+    links, seen = near_dedup._links, []
+
+    def counted(members, *rest):
+        seen.append(members.count())
+        return links(members, *rest)
+
+    monkeypatch.setattr(near_dedup, "_links", counted)
+    made = []
+    for n in (100, 200):
+        rows = star(n) + [(1000 + i, f"{t} end") for i, t in star(3)]
+        got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), block=4).collect()
+        assert {r.doc_id: r.class_id for r in got} == {i: i % 1000 for i, _ in rows}
+        made.append(seen[-1])
+    assert made[1] <= 3 * made[0] + 50 and made[1] < 2000
+
+
+@pytest.mark.parametrize("kind", ["replaced", "cut", "added"])
+def test_prefixes_lose_no_similar_pair(kind):
+    """Of similar texts that are not both linked to the hub, one asks with a feature the other is found by."""
+    draw = np.random.default_rng(2)
+    weight = draw.uniform(1, 8, 4000)
+    hub = np.arange(100)
+    texts = []
+    for _ in range(12):  # kinds of copies, more or less like the hub, and copies of each
+        lost, more = draw.random(100) < draw.uniform(0, 0.3), 100 + draw.choice(60, draw.integers(0, 25), replace=False)
+        for _ in range(10):
+            gone = np.zeros(100, bool) if kind == "added" else lost ^ (draw.random(100) < 0.03)
+            new = [] if kind == "cut" else more[draw.random(len(more)) > 0.1]
+            texts.append(np.sort(np.concatenate([hub[~gone], new])).astype(int))
+    total = lambda of: weight[of].sum()
+    similar = lambda a, b: total(np.intersect1d(a, b)) / total(np.union1d(a, b)) >= 0.8
+    made = [near_dedup.prefixes(t.astype(np.uint64), weight[t], hub.astype(np.uint64), weight[hub], 0.8) for t in texts]
+    asks, told = [set(f[:n]) for f, n, _ in made], [set(f[:n]) for f, _, n in made]
+    pairs = 0
+    for i, a in enumerate(texts):
+        assert (made[i][1] == 0) == similar(a, hub)
+        for j, b in enumerate(texts):
+            if i != j and not similar(a, hub) and not np.array_equal(b, hub) and similar(a, b):
+                assert asks[i] & told[j]
+                pairs += 1
+    assert pairs > 20
+
+
 def test_links_between_components(spark):
     """More links join whole components, nodes that had no link before among them."""
     roots = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), ("m", "m"), ("n", "m")], "node string, root string")
