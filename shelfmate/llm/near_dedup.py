@@ -543,10 +543,13 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", *, si
     )
     differences = through_table(differences, "near-differences")
     count = lambda flag: F.ceil(F.sum(F.col(flag).cast("int")) / F.lit(block))
+    # Features that the same texts share make one tile: its members are told by two sums of hashes.
+    told_by = [F.sum(F.xxhash64(F.lit(n), "node", "asks", "told").cast("decimal(38,0)")).alias(f"_by{n}") for n in (0, 1)]
     shared = differences.groupBy("hub", "feature").agg(
-        count("asks").alias("blocks0"), count("told").alias("blocks1"), F.min("root").alias("_low"), F.max("root").alias("_high")
+        count("asks").alias("blocks0"), count("told").alias("blocks1"), F.min("root").alias("_low"), F.max("root").alias("_high"), *told_by
     )
-    shared = shared.where("blocks0 > 0 and blocks1 > 0 and _low <> _high").drop("_low", "_high")
+    shared = shared.where("blocks0 > 0 and blocks1 > 0 and _low <> _high")
+    shared = shared.groupBy("hub", "_by0", "_by1", "blocks0", "blocks1").agg(F.min("feature").alias("feature")).drop("_by0", "_by1")
     placed = splittable_join(differences, shared, ["hub", "feature"], "inner")
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
