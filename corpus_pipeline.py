@@ -32,8 +32,9 @@ def mixed_sources(spark, docs, sf_dir):
 
 
 def token_ids(spark, docs, sf_dir):
-    """doc_id, ids, n_tokens, and digests of the ids and of the text they decode to; a row per copy."""
-    return bpe.tokenized(docs)
+    """doc_id, ids, n_tokens, and digests of the ids and of the text they decode to; a row per copy. Workers stay for the
+    stages of the next run, so no more than one a task is started here."""
+    return bpe.tokenized(docs, stored=True)
 
 
 STAGES = [

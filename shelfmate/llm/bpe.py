@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmate.llm.common import prepare, read_table
+from shelfmate.llm.common import prepare, read_table, through_table
 
 
 PIECE = 1 << 21
@@ -309,12 +309,17 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "bytes") -> Da
     return df.mapInArrow(run, _schema_with(df, out, T.BinaryType()))
 
 
-def tokenized(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, ids, n_tokens, and digests of the ids and of the bytes they decode to."""
+def tokenized(docs: DataFrame, path: str | None = None, pattern: str | None = None, *, stored: bool = False) -> DataFrame:
+    """doc_id, ids, n_tokens, and digests of the ids and of the bytes they decode to.
+
+    ``stored``: the ids are written before they are decoded, so that a task has one Python worker at a time instead of two.
+    """
     import public_tokenizers
 
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = encode(docs.select("doc_id", "text"), path, pattern or public_tokenizers.PATTERN).drop("text")
+    if stored:
+        coded = through_table(coded, "bpe-ids")
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return decode(coded, path).select(
         "doc_id",

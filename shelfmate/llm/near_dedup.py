@@ -54,7 +54,8 @@ BLOCK = 128
 #: for: they pay where large groups hang together by chains of links, and cost time where a group is mostly unlike.
 HUBS, HUB_ROUNDS = 64, 0
 
-_PIECE = 1 << 21
+#: Bytes of text that a worker holds shingles of at a time; what it once held it keeps until it ends.
+_PIECE = 1 << 19
 _FLUSH = 200_000
 _U = np.uint64
 _ODD32 = np.uint32(0x9E3779B1)

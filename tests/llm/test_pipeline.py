@@ -40,3 +40,12 @@ def test_awkward_and_empty(spark):
             docs = stage(spark, docs, SF_DIR)
             assert name == "byte_bpe" or docs.columns == awkward(spark).columns
         docs.count()
+
+
+def test_tokens_take_one_python_worker_a_task(spark):
+    """Ids are decoded in another stage than they are made in."""
+    docs = documents(spark)
+    got = corpus_pipeline.token_ids(spark, docs, SF_DIR)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert sorted(got.collect()) == sorted(bpe.tokenized(docs).collect())
