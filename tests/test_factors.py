@@ -245,3 +245,22 @@ def test_vectors_travel_once_per_bundle(spark, monkeypatch):
         for r in factors.top_items(queries, items, 5, exclude=itself, block_size=16).orderBy("query", "rank").collect():
             got.setdefault(r["query"], []).append(r.item_idx)
         assert got == expected
+
+
+@pytest.mark.parametrize("n_factors", [3, 24])
+def test_many_cells_train_without_shuffled_vectors(spark, cells, monkeypatch, n_factors):
+    """Beyond MOST_SHUFFLED_CELLS the same equations are solved by half-steps that read written vectors; hot rows go in parts."""
+    monkeypatch.setattr(als_recommender, "MOST_SHUFFLED_CELLS", 100)
+    monkeypatch.setattr(als_recommender, "ALS", lambda **given: pytest.fail("vectors would be shuffled once per block"))
+    hot = spark.createDataFrame([(99, i, 1 + 40.0 * (4 + i % 2)) for i in range(40)], "user_idx int, item_idx int, c double")
+    params = AlsParams(factors=n_factors, iterations=3)
+    users, items = fit_factors(cells.union(hot), params)
+    assert users.schema["vector"].dataType.simpleString() == "array<float>"
+    assert "Exchange" not in users._jdf.queryExecution().executedPlan().toString()
+    checked = equation_residuals(cells.union(hot), users, items, params.regularization)
+    assert checked.count() == users.count() == cells.select("user_idx").distinct().count() + 1
+    assert checked.agg(F.max("residual")).first()[0] < 1e-4
+    split_users, split_items = als.fit_plain(cells.union(hot), n_factors, 3, params.regularization, chunk=12, scaled=True)
+    assert equation_residuals(cells.union(hot), split_users, split_items, params.regularization).agg(F.max("residual")).first()[0] < 1e-6
+    whole = {r.user_idx: r.vector for r in users.collect()}
+    assert all(np.allclose(r.vector, whole[r.user_idx], rtol=1e-2, atol=1e-3) for r in split_users.collect())
