@@ -12,7 +12,7 @@ from shelfmate.operators.metrics import drop_unknown_items, rank_metrics, target
 from shelfmate.plans.als_recommender import AlsParams, AlsRecommender, observed_ratings
 from shelfmate.plans.knn_recommender import KnnRecommender
 from shelfmate.schemas import ITEM, USER
-from shelfmate.session import cut_lineage
+from shelfmate.session import cut_lineage, stored
 
 
 def evaluate_knn(
@@ -50,6 +50,9 @@ def evaluate_als(
     already met in training, which can never be found because known items are left out.
     """
     rows = observed_ratings(interactions, params, also_required=["timestamp"])
+    # Used by the split, the training and the counts: made once, with the columns these need.
+    wanted = dict.fromkeys([USER, ITEM, "rating", "timestamp", *row_id, "product_title"])
+    rows = stored(rows.select(*[c for c in wanted if c in rows.columns]), "reviews")
     split = time_holdout(rows, row_id, min_history)
     started = time.perf_counter()
     model = AlsRecommender.fit(split.train, path, params)

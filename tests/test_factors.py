@@ -264,3 +264,46 @@ def test_many_cells_train_without_shuffled_vectors(spark, cells, monkeypatch, n_
     assert equation_residuals(cells.union(hot), split_users, split_items, params.regularization).agg(F.max("residual")).first()[0] < 1e-6
     whole = {r.user_idx: r.vector for r in users.collect()}
     assert all(np.allclose(r.vector, whole[r.user_idx], rtol=1e-2, atol=1e-3) for r in split_users.collect())
+
+
+def test_items_and_queries_meet_without_a_join(spark, monkeypatch):
+    """Every block of queries reads the written tiles; an item's vector is neither shuffled nor joined."""
+    monkeypatch.setattr(factors, "QUERY_BLOCK", 7)
+    q, queries = vectors(spark, 23, 5, "query", 1)
+    y, items = vectors(spark, 300, 5, "item_idx", 2)
+    seen = spark.createDataFrame([(a, i) for a in range(23) for i in range(a, 300, 31)], "query int, item_idx int")
+    found = factors.top_items(queries, items, 4, exclude=seen, block_size=16)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    scores = np.round(q @ y.T, 9)
+    for a in range(23):
+        scores[a, a::31] = -np.inf
+    got = {(r["query"], r["rank"]): (r.item_idx, r.score) for r in found.collect()}
+    for a in range(23):
+        for rank, i in enumerate(np.lexsort((np.arange(300), -scores[a]))[:4], 1):
+            assert got[a, rank] == (i, pytest.approx(scores[a, i], abs=2e-9))
+
+
+@pytest.mark.parametrize("scale", [1e-30, 1e30])
+def test_very_small_and_large_vectors_keep_their_order(spark, scale):
+    q, queries = vectors(spark, 9, 4, "query", 3)
+    y, items = vectors(spark, 80, 4, "item_idx", 4)
+    big = items.withColumn("vector", F.transform("vector", lambda v: v * F.lit(scale)))
+    turned = queries.withColumn("vector", F.transform("vector", lambda v: v * F.lit(1 / scale)))
+    got = {}
+    for r in factors.top_items(turned, big, 6, block_size=16).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append(r.item_idx)
+    assert got == {a: np.argsort(-(y @ q[a]))[:6].tolist() for a in range(9)}
+
+
+def test_sums_of_items_shuffle_no_vector(spark, monkeypatch):
+    monkeypatch.setattr(factors, "SUMMED_BYTES", 100)
+    y, items = vectors(spark, 40, 3, "item_idx", 9)
+    history = [(f"q{a}", (a * 7 + b) % 45) for a in range(12) for b in range(a)] + [("q3", 21), ("only", 99), (None, 3), ("q1", None)]
+    histories = spark.createDataFrame(history, "query string, item_idx int").repartition(2)
+    found = factors.sum_of_items(histories, items.union(items.where("item_idx = 5")))  # the vector of 5 is there twice
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["query"]: r.vector for r in found.collect()}
+    y[5] *= 2
+    for name in {h[0] for h in history}:
+        mine = [i for n, i in history if n == name and i is not None and i < 40]
+        assert (name in got) == bool(mine) and (not mine or np.allclose(got[name], y[mine].sum(axis=0)))
