@@ -288,3 +288,61 @@ def test_light_users_send_rows_not_pairs(spark, monkeypatch, hot_cells):
         similar = knn.cosine_similarities(df, items, items.select("item_idx") if seeds is None else seeds)
         scores = {(r.item_idx, r.other_idx): r.score for r in similar.collect()}
         assert scores == pytest.approx({p: s for p, s in every.items() if seeds is None or p[0] % 2 == 0}, abs=2e-9)
+
+
+def test_light_users_rows_are_read_and_not_sent_to_parts(spark, monkeypatch):
+    """Parts read the users' written rows: neither cells nor pairs are shuffled for them."""
+    monkeypatch.setattr(knn, "PART_PRODUCTS", 5_000)
+    monkeypatch.setattr(knn, "PRODUCTS_PER_STEP", 300)
+    monkeypatch.setattr(knn, "PACKED_CELLS", 50)
+    cells, df = random_cells(spark)
+    items = matrix.coded_items(df)
+    codes = {r.asin: r.item_idx for r in items.collect()}
+    found = knn.cosine_neighbours(df, items, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Range (0, " in plan
+    got = {(r.item_idx, r["rank"]): (r.other_idx, r.score) for r in found.collect()}
+    assert got == {(i, n): (j, pytest.approx(s, abs=2e-9)) for i, best in brute_force(cells, codes, 5).items() for n, (j, s) in enumerate(best, 1)}
+
+
+@pytest.mark.parametrize("how", ["sum", "max"])
+@pytest.mark.parametrize("products", [300, 10**7])
+def test_histories_are_scored_without_shuffled_similarities(spark, monkeypatch, how, products):
+    """A history with more products than a task takes at a time takes its items in groups."""
+    monkeypatch.setattr(knn, "PART_PRODUCTS", products)
+    monkeypatch.setattr(knn, "PRODUCTS_PER_STEP", 500)
+    cells, df = random_cells(spark, seed=5)
+    items = matrix.coded_items(df)
+    codes = {r.asin: r.item_idx for r in items.collect()}
+    sims = {i: dict(best) for i, best in brute_force(cells, codes, len(codes)).items()}
+    names = sorted(codes)
+    histories = {"one": names[:1], "few": names[3:7], "many": names[: len(names) - 15], None: names[:2], "gone": ["nothing"]}
+    asked = spark.createDataFrame([(q, n, i) for q, h in histories.items() for n, i in enumerate(h)], "query string, pos int, asin string")
+    answers = kr.recommend_histories_by_score(df, items.withColumn("title", F.lit("t")), asked, 10, how)
+    plan = answers._jdf.queryExecution().optimizedPlan().toString()
+    assert "other_idx" not in plan
+    found = [r for r in answers.collect() if r.status == "ok"]
+    for q in ("one", "few", "many"):
+        seen = {codes[i] for i in histories[q]}
+        scores = {j: [sims[i][j] for i in seen if j in sims[i]] for j in set(codes.values()) - seen}
+        scores = {j: round({"sum": sum, "max": max}[how](s), 9) for j, s in scores.items() if s}
+        want = sorted(scores, key=lambda j: (-scores[j], j))[:10]
+        got = sorted((r["rank"], r.item_idx, r.score) for r in found if r.query == q)
+        assert [g[0] for g in got] == list(range(1, len(want) + 1))
+        assert [g[2] for g in got] == pytest.approx([scores[j] for j in want], abs=1e-7)
+
+
+def test_similarities_within_wanted_labels(spark):
+    cells, df = random_cells(spark, seed=6)
+    items = matrix.coded_items(df)
+    codes = {r.asin: r.item_idx for r in items.collect()}
+    every = brute_force(cells, codes, len(codes))
+    label = {i: None if i % 11 == 0 else i % 4 for i in codes.values()}
+    want = {i: None if i % 7 == 0 else (i + 1) % 4 for i in codes.values()}
+    labels = spark.createDataFrame([(i, label[i], want[i]) for i in label], "item_idx int, label long, want long")
+    got = {}
+    for r in knn.cosine_similarities(df, items, items.select("item_idx"), labels=labels, depth=3).collect():
+        got.setdefault(r.item_idx, {})[r.other_idx] = r.score
+    for i, best in every.items():
+        same = [(j, s) for j, s in best if want[i] is not None and label[j] == want[i]][:3]
+        assert got.get(i, {}) == {j: pytest.approx(s, abs=2e-9) for j, s in same}
